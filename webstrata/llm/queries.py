@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination
+from webstrata.llm import decontamination, fingerprints, ngram_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
+        "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
     }
 
 
