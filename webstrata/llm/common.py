@@ -112,6 +112,7 @@ def text_id(text: str | Column = "text") -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(col, F.lit("")).cast("binary"), 256), 1, 32))
 
 
-def digest_long(digest: Column) -> Column:
-    """The first 8 bytes of a digest as a long."""
-    return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long")
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """25 bytes that tell rows apart and sort them: ids in order, null ids last, then the text's digest."""
+    number = F.when(F.col(doc_id).isNull(), F.lit("01" + "0" * 16)).otherwise(F.concat(F.lit("00"), F.lpad(F.hex(F.col(doc_id).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint"))), 16, "0")))
+    return F.unhex(F.concat(number, F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32)))

@@ -34,6 +34,8 @@ from webstrata.llm import kernels as K
 from webstrata.llm.common import join_sized, stored, text_id
 
 WINDOW = 13
+#: Bytes of text in a block of the index.
+BLOCK = 1 << 19
 #: Benchmark words handled in one pass; a larger benchmark takes more passes over the index.
 WORDS_PER_PASS = 200_000
 
@@ -44,7 +46,7 @@ MATCHES = "doc_id bigint, n_words bigint, spans array<struct<start:int,stop:int>
 def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
-        for w in K.words(batch.column(1)):
+        for w in K.words(batch.column(1), piece=BLOCK):
             order = np.argsort(w.hashes, kind="stable")
             terms, counts = np.unique(w.hashes[order], return_counts=True)
             yield pa.RecordBatch.from_arrays(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, ngram_join
+from webstrata.llm import decontamination, fingerprints, mixing, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op6_mixing": mixing.op6_mixing,
         "op9_ngram_join": ngram_join.op9_ngram_join,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.OP1_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
