@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, mixing, ngram_join, warc
+from webstrata.llm import decontamination, fingerprints, line_dedup, mixing, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_fingerprints": fingerprints.op2_fingerprints,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op6_mixing": mixing.op6_mixing,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_warc": warc.op10_warc,
