@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, language_id, line_dedup, mixing, ngram_join, warc
+from webstrata.llm import decontamination, fingerprints, language_id, line_dedup, lm_scoring, mixing, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op5_language_id": language_id.op5_language_id,
         "op6_mixing": mixing.op6_mixing,
+        "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_warc": warc.op10_warc,
     }
