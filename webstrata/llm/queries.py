@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, language_id, line_dedup, lm_scoring, mixing, ngram_join, warc
+from webstrata.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_fingerprints": fingerprints.op2_fingerprints,
         "op3_line_dedup": line_dedup.op3_line_dedup,
+        "op4_html_extract": html_extract.op4_html_extract,
         "op5_language_id": language_id.op5_language_id,
         "op6_mixing": mixing.op6_mixing,
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
