@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, html_extract, language_id, line_dedup, lm_scoring, mixing, ngram_join, warc
+from webstrata.llm import decontamination, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_html_extract": html_extract.op4_html_extract,
         "op5_language_id": language_id.op5_language_id,
         "op6_mixing": mixing.op6_mixing,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_warc": warc.op10_warc,
@@ -28,5 +29,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.OP1_SQL,
+        "op7_license_scan": license_scan.OP7_SQL,
         "op10_warc": warc.OP10_SQL,
     }
