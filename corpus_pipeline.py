@@ -6,16 +6,42 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination
+from webstrata.llm import decontamination, language_id, line_dedup, mixing, ngram_join
 from webstrata.llm.common import shared_dir
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified."""
+    return language_id.accepted(docs)
+
+
+def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the blocks of lines that an earlier one has."""
+    return line_dedup.deduplicated(docs)
+
+
+def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngram_join.one_of_each(docs)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stand in a benchmark item."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontamination", decontaminated)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: every document as often as it is taken, with its size and the number of the copy."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language_id", identified),
+    ("line_dedup", lines_deduplicated),
+    ("ngram_join", one_of_each_class),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+]
 
 #: Word statistics, alignment and tilting are not expressible in SQL; see tests/llm.
 ORACLE_SQL = None
