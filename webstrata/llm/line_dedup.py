@@ -168,9 +168,14 @@ def remaining(text: str = "text", gone: str = "gone") -> F.Column:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with common blocks deleted from the later documents; rows and columns stay."""
-    out = with_gone(docs)
-    return out.withColumn("text", remaining()).select(*docs.columns)
+    """``docs`` with common blocks deleted from the later documents; rows and columns stay.
+
+    If there is a column ``n_chars``, it is brought up to date where lines went.
+    """
+    out = with_gone(docs).withColumn("text", remaining())
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*docs.columns)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
