@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import components, cut, join_sized, stored, text_id
+from webstrata.llm.common import components, cut, join_sized, partitions, stored, text_id
 
 THRESHOLD, NGRAM, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
 
 
 def band_plan(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -173,7 +173,7 @@ def nodes_and_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     sized = grouped.join(texts.select(F.col("node"), "first", "shingles"), "node")
     stats = cut(sized.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.sum("shingles").alias("load")))
     total, split = stats.agg(F.sum("load"), F.max("blocks")).first()
-    bundles = max(1, int(total or 0) // BLOCK_SHINGLES)
+    bundles = max(4 * partitions(spark), int(total or 0) // BLOCK_SHINGLES)
     picks = cut(sized.join(stats, "root").select("node", "root", "first", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")))
     wanted = join_sized(source.withColumn("node", text_id()), picks, ["node"], "inner", row_bytes=80).where(F.col("doc_id").eqNullSafe(F.col("first")))
     sets = wanted.select("node", "root", "blocks", "block", "text").mapInArrow(lambda b: _sets(b, n), "node binary, root binary, blocks int, block int, shingles binary")

@@ -179,7 +179,8 @@ def read(spark: SparkSession, paths: str | list[str], loader: str = "auto", erro
     """Exchanges of all files below ``paths``, those still being written (``.part``) left out.
 
     ``loader``: auto (by extension), wrr, wrrb or some (one or many). ``errors``: fail raises at the
-    first bad row, skip keeps bad rows with their ``error``, ignore drops them. ``boring`` marks
+    first bad row, skip keeps bad rows with their ``error``, ignore drops them (files of no bytes at all
+    are left out by Spark's scan). ``boring`` marks
     low-priority inputs, which are indexed but are no roots.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
