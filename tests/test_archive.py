@@ -162,7 +162,7 @@ def test_assembly_of_halves_in_a_stream(spark, tmp_path):
     schema = "id string, a string, b string"
     spark.createDataFrame([("1", "x", None), ("2", None, "q"), ("1", None, "y"), ("2", "p", None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    jobs.run_now(jobs.assembled(stream, "id", ["a", "b"]), str(tmp_path / "out"))
+    jobs.run_now(jobs.assembled(stream, "id", ["a", "b"]), str(tmp_path / "out"), timeouts=True)
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("1", "x", "y", True), ("2", "p", "q", True)}
 
 

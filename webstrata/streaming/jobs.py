@@ -96,15 +96,23 @@ def archive_to(stores: dict[int, Callable[[DataFrame, int], None]], failures: Ca
     return run
 
 
-def run_now(stream: DataFrame, path: str, mode: str = "append") -> StreamingQuery:
+def run_now(stream: DataFrame, path: str, mode: str = "append", timeouts: bool = False) -> StreamingQuery:
     """Process what is there and stop; the result is a Parquet table at ``path``.
 
     Append mode writes with the file sink, the others overwrite the table with every batch's result.
+    State with processing-time ``timeouts`` (``assembled``) asks for batches without data for ever, so
+    such a run does without them; rows that still wait are left to the next run.
     """
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}.state").trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(path)
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    conf, idle = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(idle)
+    conf.set(idle, "false" if timeouts else before)
+    try:
+        if mode == "append":
+            query = writer.format("parquet").start(path)
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start()
+    finally:
+        conf.set(idle, before)
     query.awaitTermination()
     return query
