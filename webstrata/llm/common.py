@@ -106,6 +106,24 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def set_aside(df: DataFrame, used: list[str]) -> DataFrame:
+    """The ``used`` columns of ``df`` that it has, and all others together in the struct ``_rest``.
+
+    So an operator's own column names cannot clash with those of the table; ``put_back`` undoes it.
+    """
+    rest = [_named(c) for c in df.columns if c not in used]
+    return df.select(*[_named(c) for c in df.columns if c in used], *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def put_back(columns: list[str], used: list[str]) -> list[Column]:
+    """The ``columns`` of the table before ``set_aside``, in their order."""
+    return [_named(c) if c in used else F.col("_rest").getField(c).alias(c) for c in columns]
+
+
+def _named(column: str) -> Column:
+    return F.col("`{}`".format(column.replace("`", "``")))
+
+
 def text_id(text: str | Column = "text") -> Column:
     """A 128-bit digest of the text (null counts as empty) as 16 bytes."""
     col = F.col(text) if isinstance(text, str) else text

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import join_sized, stored, text_id
+from webstrata.llm.common import join_sized, put_back, set_aside, stored, text_id
 
 WINDOW = 13
 #: Bytes of text in a block of the index.
@@ -304,9 +304,10 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so that rows which share an id are judged separately.
     """
-    numbered = docs.withColumn("_row", F.xxhash64("doc_id", text_id()))
+    used = ["doc_id", "text"]
+    numbered = set_aside(docs, used).withColumn("_row", F.xxhash64("doc_id", text_id()))
     bad = stored(
         find(build_index(numbered, doc_id="_row"), benchmark, slop=-1).where(F.size("spans") > 0).withColumn("n_hit", covered_words()).where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("_row")).distinct(),
         "contaminated",
     )
-    return join_sized(numbered, bad, ["_row"], "left_anti", row_bytes=16).drop("_row")
+    return join_sized(numbered, bad, ["_row"], "left_anti", row_bytes=16).select(*put_back(docs.columns, used))

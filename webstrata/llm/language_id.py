@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import join_sized, row_key, stored
+from webstrata.llm.common import join_sized, put_back, row_key, set_aside, stored
 
 TRAIN_ROWS, LANGUAGES, MIN_ROWS = 20_000, 64, 10
 GRAMS = 1 << 16
@@ -198,7 +198,9 @@ def _primary(code: F.Column) -> F.Column:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is identified; columns unchanged."""
     bad = stored(identify(document_rows(docs)).where("rejected").select("row").distinct(), "rejected")
-    return join_sized(docs.withColumn("row", row_key()), bad, ["row"], "left_anti", row_bytes=48).drop("row")
+    used = ["doc_id", "text"]
+    keyed = set_aside(docs, used).withColumn("row", row_key())
+    return join_sized(keyed, bad, ["row"], "left_anti", row_bytes=48).select(*put_back(docs.columns, used))
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

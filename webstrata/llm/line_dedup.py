@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import BROADCAST_BYTES, join_salted, row_key, stored
+from webstrata.llm.common import BROADCAST_BYTES, join_salted, put_back, row_key, set_aside, stored
 
 #: Words of a line that can bring two documents together, and of a block that is deleted.
 LINE_WORDS, BLOCK_WORDS = 5, 10
@@ -172,10 +172,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     If there is a column ``n_chars``, it is brought up to date where lines went.
     """
-    out = with_gone(docs).withColumn("text", remaining())
+    used = ["doc_id", "text", "n_chars"]
+    out = with_gone(set_aside(docs, used)).withColumn("text", remaining())
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    return out.select(*put_back(docs.columns, used))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

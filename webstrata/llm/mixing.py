@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import cut, join_sized, stored
+from webstrata.llm.common import cut, join_sized, put_back, set_aside, stored
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
 #: Documents of one source and size that are ranked in one task.
@@ -149,9 +149,13 @@ def with_copies(rows: DataFrame, slim: DataFrame | None = None) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` mixed: each row as often as it has copies, with ``copy`` numbered from 1 and ``size``."""
-    rows = with_copies(docs.withColumn("size", n_words()))
-    return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns, "size", "copy")
+    """``docs`` mixed: each row as often as it has copies, with ``copy`` numbered from 1 and ``size``.
+
+    Columns ``size`` and ``copy`` that ``docs`` may have itself give way to these.
+    """
+    used, kept = ["doc_id", "source", "text"], [c for c in docs.columns if c not in ("size", "copy")]
+    rows = with_copies(set_aside(docs.select(*kept), used).withColumn("size", n_words()))
+    return rows.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*put_back(kept, used), "size", "copy")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

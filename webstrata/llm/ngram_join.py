@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import components, cut, join_sized, partitions, stored, text_id
+from webstrata.llm.common import components, cut, join_sized, partitions, put_back, set_aside, stored, text_id
 
 THRESHOLD, NGRAM, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
@@ -218,10 +218,11 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -
     judged = members.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("rows")).join(nodes.select("node", "head"), "node")
     stays = (F.col("head.node") == F.col("node")) & F.col("head.doc_id").eqNullSafe(F.col("doc_id"))
     marks = stored(judged.where(~stays | (F.col("rows") > 1)).select(F.xxhash64("doc_id", "node").alias("_row"), F.col("node").alias("_node"), stays.alias("_repeated")), "copies")
-    keyed = docs.withColumn("_node", text_id()).withColumn("_row", F.xxhash64("doc_id", "_node"))
+    used = ["doc_id", "text"]
+    keyed = set_aside(docs, used).withColumn("_node", text_id()).withColumn("_row", F.xxhash64("doc_id", "_node"))
     marked = join_sized(keyed, marks, ["_row", "_node"], "left", row_bytes=64)
     kept = marked.where(F.col("_repeated").isNull()).unionByName(marked.where("_repeated").dropDuplicates(["_row", "_node"]))
-    return kept.select(*docs.columns)
+    return kept.select(*put_back(docs.columns, used))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
