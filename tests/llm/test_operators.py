@@ -208,7 +208,7 @@ def test_tilts_meet_the_constraint(spark):
 
 def test_license_inheritance(spark):
     mit = license_scan.TEMPLATES[3][1]
-    files = spark.createDataFrame([("p/LICENSE", f"Copyright some body\n{mit}"), ("p/src/a.c", "int main"), ("p/src/b.c", "Licensed under CC BY 4.0.\nint x"), ("q/c.c", None), (None, "x")], "path string, text string")
+    files = spark.createDataFrame([("p/LICENSE", f"Copyright some body\n{mit}"), ("p/src/a.c", "int main"), ("p/src/b.c", "Licensed under CC BY 4.0.\n" + " ".join(f"int x{k} = {k};" for k in range(40))), ("q/c.c", None), (None, "x")], "path string, text string")
     found = {r.path: (r.license, r.origin, r.from_dir) for r in license_scan.scan(files).collect()}
     assert found["p/LICENSE"][:2] == ("MIT", "own") and found["p/src/a.c"] == ("MIT", "inherited", "p")
     assert found["p/src/b.c"][:2] == ("CC-BY-4.0", "own") and found["q/c.c"] == (None, "none", None)
