@@ -176,6 +176,14 @@ def test_language_of_held_out_rows(documents):
     assert (held["declared"] == held["language"]).mean() > 0.9
 
 
+def test_gibberish_is_rejected(spark, documents):
+    rng = random.Random(9)
+    noise = [(10**6 + k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(300)), "en", "web", 0) for k in range(3)]
+    noise.append((10**6 + 3, "0123 4567 --- 89", "en", "web", 0))
+    kept = {r.doc_id for r in language_id.accepted(documents.unionByName(spark.createDataFrame(noise, documents.schema))).select("doc_id").collect()}
+    assert not kept & {r[0] for r in noise} and len(kept) > 0.95 * documents.count()
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100]) == [200.0, 250 / 3, 500 / 3]
     assert mixing.targets([0, 10]) == [0.0, 15.0]
