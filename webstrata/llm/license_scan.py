@@ -58,8 +58,21 @@ def words(text: F.Column) -> F.Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")
 
 
-def sentences(text: F.Column) -> F.Column:
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
+def bags(text: F.Column) -> F.Column:
+    """The words of each sentence that has any. One pass rewrites the text, so that the rest are splits at single characters."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    plain = F.regexp_replace(F.regexp_replace(lower, r"[.!?][ \t\r\n]+", "\n"), r"[^a-z0-9\n]+", " ")
+    lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.split(x, " "))
+
+
+def parts_of(text: F.Column, anchors: F.Column) -> F.Column:
+    """whole and words of the text and of its sentences, those with an anchor; every word is cut out once."""
+    one = lambda whole, words: F.struct(F.lit(whole).alias("whole"), words.alias("words"))
+    # the array around the bags binds them, so that they are computed once
+    near = F.transform(F.array(bags(text)), lambda b: F.struct(b.alias("all"), F.filter(b, lambda w: F.arrays_overlap(w, anchors)).alias("near")))
+    near = F.filter(near, lambda x: F.size(x["near"]) > 0)
+    return F.flatten(F.transform(near, lambda x: F.concat(F.array(one(True, F.flatten(x["all"]))), F.transform(x["near"], lambda w: one(False, w)))))
 
 
 def _values(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -100,12 +113,10 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tupl
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     anchors = F.array(*[F.lit(w) for w in _anchors(weights.collect(), threshold)])
 
-    some = files.where(F.arrays_overlap(words(F.col("text")), anchors))
-    whole = some.select("path", F.lit(True).alias("whole"), F.col("text").alias("part"))
-    single = some.select("path", F.lit(False).alias("whole"), F.explode(F.array_distinct(sentences(F.col("text")))).alias("part"))
-    parts = whole.unionByName(single).withColumn("words", words(F.col("part"))).where(F.arrays_overlap("words", anchors))
-    # a part is told apart by its words in order
-    parts = parts.select("path", "whole", F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("part"), F.explode("words").alias("word"))
+    parts = files.select("path", F.explode(parts_of(F.col("text"), anchors)).alias("found")).select("path", "found.whole", "found.words")
+    # a sentence is told apart by its words in order; repeats of one scale its vector, which leaves the cosine as it is
+    part = F.when(F.col("whole"), F.lit("")).otherwise(F.sha2(F.array_join("words", " ").cast("binary"), 256))
+    parts = parts.select("path", "whole", part.alias("part"), F.explode("words").alias("word"))
     used = parts.groupBy("path", "whole", "part", "word").agg(F.count(F.lit(1)).cast("double").alias("uses"))
     heavy = used.join(F.broadcast(idf), "word", "left").withColumn("weight", F.col("uses") * F.coalesce("idf", rarest)).drop("idf")
     heavy = cut(heavy)
