@@ -227,6 +227,23 @@ def test_license_inheritance(spark):
     assert found["p/src/b.c"][:2] == ("CC-BY-4.0", "own") and found["q/c.c"] == (None, "none", None)
 
 
+def test_wrapped_notices_and_license_files(spark):
+    import textwrap
+
+    code = "\n".join(f"int x{k} = {k};" for k in range(60))
+    wrap = lambda k, mark: "\n".join(mark + x for x in textwrap.wrap(license_scan.TEMPLATES[k][1], 60))
+    affero = "\n".join(" * " + x for x in textwrap.wrap(license_scan.NOTICES[2][1], 60))
+    data = [(f"w/{k}.c", f"/* a file */\n{wrap(k, mark)}\n\n{code}") for k, mark in ((3, " * "), (5, "// "), (11, "# "), (12, "dnl "))]
+    data += [("w/affero.c", f"/*\n{affero}\n */\n{code}"), ("w/none.c", code)]
+    data += [(f"{name}/COPYING", f"Copyright (c) 2020 Some Body\n\n{text}") for name, text in license_scan.texts()] + [(f"{name}/a.c", code) for name, _ in license_scan.texts()]
+    found = {r.path: (r.license, r.origin) for r in license_scan.scan(spark.createDataFrame(data, "path string, text string")).collect()}
+    for k, name in ((3, "MIT"), (5, "GPL-3.0"), (11, "BSD-3-Clause"), (12, "ISC")):
+        assert found[f"w/{k}.c"] == (name, "own")
+    assert found["w/affero.c"] == ("AGPL-3.0", "own") and found["w/none.c"] == (None, "none")
+    for name, _ in license_scan.texts():
+        assert found[f"{name}/COPYING"] == (name, "own") and found[f"{name}/a.c"] == (name, "inherited")
+
+
 def test_language_model(spark, rows):
     found = {r.doc_id: r for r in queries.queries()["op8_lm_scoring"](spark, SF).collect()}
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}

@@ -7,11 +7,19 @@ Built from DataFrame and SQL functions only.
 2. A text is compared as a whole (a licence file) and sentence by sentence (a header or notice).
    Only files with an anchor word are compared: the anchors of a template are its heaviest words, as
    many as it takes for the others to be too light to reach the threshold alone. So none is missed.
-3. A file whose whole text matches, or whose name says licence and which has a matching sentence,
+3. Line ends are then disregarded, as notices are wrapped and stand in comments: ``TEMPLATES`` and
+   ``NOTICES`` are compared with every paragraph, every sentence of it and every run of as many words
+   as the template has, and full licence texts (``texts``) with the whole text. A unit is compared if
+   it has as many of a template's heavy words as any text needs that reaches the threshold (``_signs``),
+   a whole text if a bound on its score reaches it (``_near_texts``). Equal units of all files are
+   compared once. The best score of steps 2 and 3 counts.
+4. A file whose whole text matches, or whose name says licence and which has a matching sentence,
    licenses its directory. A file's licence is its own best match, or else that of its nearest
    ancestor directory which has one, found by joining the paths of all directories to their ancestors.
 
-Words are lower-cased runs of a-z and 0-9; sentences end at line ends or at . ! ? and white space.
+Words are lower-cased runs of a-z and 0-9; sentences end at line ends (in step 3 at blank lines, which
+may hold comment marks) or at . ! ? and white space. Step 3 takes rows that share a path one by one.
+There are full texts for the ids that have a file in ``licenses``.
 Defined cases: rows that share a path are one file with the words of all; a null path is a file at
 the root named ""; a null text matches nothing but inherits; equal scores go to the licence id that
 sorts last; extra columns are ignored.
@@ -19,7 +27,10 @@ sorts last; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from functools import cache
 from math import sqrt
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +62,18 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# Compared in step 3 only: notices and titles that differ from a template in the name or the version.
+_NOTICE = "This {} is free software: you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+NOTICES = [
+    ("GPL-2.0", _NOTICE.format("program", "GNU General Public License", 2)),
+    ("LGPL-3.0", _NOTICE.format("program", "GNU Lesser General Public License", 3)),
+    ("AGPL-3.0", _NOTICE.format("program", "GNU Affero General Public License", 3)),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+]
+
 LICENCE_NAME = r"^(?i)(un)?(licen[cs]e|copying|copyright)([.-].*)?$"
 
 
@@ -75,6 +98,12 @@ def parts_of(text: F.Column, anchors: F.Column) -> F.Column:
     return F.flatten(F.transform(near, lambda x: F.concat(F.array(one(True, F.flatten(x["all"]))), F.transform(x["near"], lambda w: one(False, w)))))
 
 
+@cache
+def texts() -> tuple[tuple[str, str], ...]:
+    """SPDX ids and full texts of licences."""
+    return tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("licenses").glob("*.txt")))
+
+
 def _values(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     rows = ", ".join("({}, '{}', '{}')".format(k, *(x.replace("\\", "\\\\").replace("'", "\\'") for x in t)) for k, t in enumerate(templates))
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, text)")
@@ -98,19 +127,113 @@ def _anchors(weights: list, threshold: float) -> list[str]:
     return sorted(out)
 
 
+def _signs(weights: list, threshold: float) -> dict[int, tuple[list[str], int]]:
+    """Heavy words of each template, and how many of them any text has that reaches the threshold with it.
+
+    The cosine is at most the norm of the template's weights on the words it shares with the text.
+    """
+    by_template: dict[int, list] = {}
+    for row in weights:
+        by_template.setdefault(row["template"], []).append((row["weight"] ** 2, row["word"]))
+    need = threshold * threshold * (1 - 1e-9)
+    out = {}
+    for template, own in by_template.items():
+        own.sort(reverse=True)
+        total = sum(w for w, _ in own)
+        heavy, rest = [], total
+        while rest > total * need / 2:
+            heavy.append(own[len(heavy)])
+            rest = sum(w for w, _ in own[len(heavy) :])
+        least, reached = 0, rest
+        while reached < total * need:
+            reached += heavy[least][0]
+            least += 1
+        out[template] = [word for _, word in heavy], least
+    return out
+
+
+def _list(words: list[str]) -> F.Column:
+    return F.split(F.lit(" ".join(words)), " ")
+
+
+def _runs(words: F.Column, sign: F.Column) -> F.Column:
+    """All runs of as many words as the template has that may reach the threshold."""
+    n = sign["n"]
+    run = lambda at: F.slice(words, at, n)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+    return F.transform(F.filter(starts, lambda at: F.size(F.array_intersect(run(at), sign["heavy"])) >= sign["least"]), run)
+
+
+def _near_texts(files: DataFrame, first: int, weights: DataFrame, norms: DataFrame, idf: DataFrame, rarest: F.Column, threshold: float) -> DataFrame:
+    """path and row of the files that may reach the threshold with a full text (templates from ``first`` on).
+
+    A word's uses squared are at least its uses, so a file's size is at least the root of the sum of
+    idf squared over its tokens, repeats included; that sum and the dot products need no bag.
+    """
+    theirs = weights.where(F.col("template") >= first).join(norms, "template").select("word", "template", (F.col("weight") / F.col("norm")).alias("w"))
+    ids = sorted(r["template"] for r in theirs.select("template").distinct().collect())
+    columns = [F.sum(F.when(F.col("template") == k, F.col("w"))).alias(f"w{k}") for k in ids]
+    by_word = cut(idf.join(theirs.groupBy("word").agg(*columns), "word", "left"))
+    tokens = files.select("path", F.xxhash64("text").alias("row"), F.explode(words(F.col("text"))).alias("word"))
+    known = tokens.join(F.broadcast(by_word), "word", "left")
+    weight = F.coalesce("idf", rarest)
+    sums = known.groupBy("path", "row").agg(F.sqrt(F.sum(weight * weight)).alias("size"), *[F.sum(F.col("idf") * F.col(f"w{k}")).alias(f"w{k}") for k in ids])
+    best = F.greatest(*[F.coalesce(f"w{k}", F.lit(0.0)) for k in ids], F.lit(0.0))
+    return sums.where(best >= threshold * (1 - 1e-6) * F.col("size")).select("path", "row")
+
+
+def unwrapped(files: DataFrame, templates: list[tuple[str, str]], n_texts: int, weights: DataFrame, norms: DataFrame, idf: DataFrame, rarest: F.Column, threshold: float) -> DataFrame:
+    """Matches as of ``matches`` of units without regard to line ends; the last ``n_texts`` templates are full texts."""
+    first = len(templates) - n_texts
+    signs = _signs(weights.where(F.col("template") < first).collect(), threshold)
+    table = F.array(
+        *[F.struct(F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, least) in sorted(signs.items())]
+    )
+    heaviest = _list(sorted({w for heavy, _ in signs.values() for w in heavy}))
+    # the array around the file's words binds them, so that they are computed once
+    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.filter(table, lambda s: F.size(F.array_intersect(own, s["heavy"])) >= s["least"])))
+    close = stored(files.select("path", "text", near.alias("near")).where(F.size("near") > 0), "near_licenses")
+    plain = F.regexp_replace(F.lower("text"), r"(?m)^[^a-z0-9\n]*(?:rem|dnl)\b", " ")
+    cut_at = lambda ends: F.transform(F.split(plain, ends), words)
+    blank = r"\n[^a-z0-9\n]*(?=\n)"
+    rows = close.select("path", "near", words(plain).alias("words"), F.array_distinct(F.concat(cut_at(blank), cut_at(blank + r"|[.!?][ \t\r\n]+"))).alias("pieces"))
+    pairs = rows.select("path", "words", "pieces", F.explode("near").alias("sign"))
+    sign = F.col("sign")
+    pieces = F.filter("pieces", lambda x: F.size(F.array_intersect(x, sign["heavy"])) >= sign["least"])
+    units = F.array_distinct(F.concat(pieces, _runs(F.col("words"), sign)))
+    found = pairs.select("path", "sign.template", F.lit(False).alias("whole"), F.explode(units).alias("words"))
+    near_texts = stored(_near_texts(files, first, weights, norms, idf, rarest, threshold), "near_texts")
+    entire = join_sized(files.withColumn("row", F.xxhash64("text")), near_texts, ["path", "row"], "inner", row_bytes=160)
+    entire = entire.select("path", F.explode(F.sequence(F.lit(first), F.lit(len(templates) - 1))).alias("template"), F.lit(True).alias("whole"), words(F.col("text")).alias("words"))
+    found = stored(found.unionByName(entire).withColumn("unit", F.sha2(F.array_join("words", " ").cast("binary"), 256)), "license_units")
+    used = found.select("template", "unit", "words").dropDuplicates(["template", "unit"]).select("template", "unit", F.explode("words").alias("word")).groupBy("template", "unit", "word").agg(F.count(F.lit(1)).cast("double").alias("uses"))
+    heavy = used.join(F.broadcast(idf), "word", "left").withColumn("weight", F.col("uses") * F.coalesce("idf", rarest)).drop("idf")
+    heavy = heavy.join(F.broadcast(weights.select("template", "word", F.col("weight").alias("theirs"))), ["template", "word"], "left")
+    sums = heavy.groupBy("template", "unit").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"), F.sum(F.col("weight") * F.col("theirs")).alias("dot"))
+    licenses = F.broadcast(weights.select("template", "license").distinct().join(norms, "template"))
+    scored = sums.join(licenses, "template").withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)).where(F.col("score") >= threshold)
+    scored = cut(scored.select("template", "unit", "license", "score"))
+    hits = join_sized(found.select("path", "whole", "template", "unit"), scored, ["template", "unit"], "inner", row_bytes=160)
+    best = F.max(F.struct("score", "license"))
+    return hits.groupBy("path").agg(best.alias("best"), F.max("whole").alias("whole")).select("path", "best", F.when(F.col("whole"), F.col("best")).alias("entire"))
+
+
 def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """path, license, score and whether the whole text matched, for every file with a match."""
     spark = files.sparkSession
-    known = _values(spark, templates).select("template", "license", F.explode(words(F.col("text"))).alias("word"))
-    use = known.groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("uses"))
-    vocabulary = sorted(r["word"] for r in use.select("word").distinct().collect())
-    own = F.array_intersect(words(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))
-    counted = files.select(F.explode(own).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    full = [*templates, *NOTICES, *texts()]
+    known = _values(spark, full).select("template", "license", F.explode(words(F.col("text"))).alias("word"))
+    use = cut(known.groupBy("template", "license", "word").agg(F.count(F.lit(1)).alias("uses")))
+    held = F.broadcast(use.select("word").distinct())
+    counted = files.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(held, "word").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     total = files.count()
-    idf = cut(use.select("word").distinct().join(F.broadcast(counted), "word", "left").select("word", (F.log(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
+    every = cut(use.select("word").distinct().join(F.broadcast(counted), "word", "left").select("word", (F.log(F.lit(total + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf")))
     rarest = F.log(F.lit(total + 1.0)) + 1.0
-    weights = cut(use.join(F.broadcast(idf), "word").select("template", "license", "word", (F.col("uses") * F.col("idf")).alias("weight")))
-    norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    heaviest = cut(use.join(F.broadcast(every), "word").select("template", "license", "word", (F.col("uses") * F.col("idf")).alias("weight")))
+    norms = heaviest.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    # steps 1 and 2 know the words of ``templates`` only
+    weights = heaviest.where(F.col("template") < len(templates))
+    idf = cut(every.join(F.broadcast(weights.select("word").distinct()), "word"))
     anchors = F.array(*[F.lit(w) for w in _anchors(weights.collect(), threshold)])
 
     parts = files.select("path", F.explode(parts_of(F.col("text"), anchors)).alias("found")).select("path", "found.whole", "found.words")
@@ -124,7 +247,9 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tupl
     held = F.broadcast(weights.withColumnRenamed("weight", "theirs").join(norms, "template"))
     dots = heavy.join(held, "word").groupBy("path", "whole", "part", "template", "license", "norm").agg(F.sum(F.col("weight") * F.col("theirs")).alias("dot"))
     scored = dots.join(sizes, ["path", "whole", "part"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)).where(F.col("score") >= threshold)
-    return scored.groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"), F.max(F.when(F.col("whole"), F.struct("score", "license"))).alias("entire"))
+    lined = scored.groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"), F.max(F.when(F.col("whole"), F.struct("score", "license"))).alias("entire"))
+    joined = unwrapped(files, full, len(texts()), heaviest, norms, every, rarest, threshold)
+    return lined.unionByName(joined).groupBy("path").agg(F.max("best").alias("best"), F.max("entire").alias("entire"))
 
 
 def directory(path: F.Column) -> F.Column:
