@@ -136,6 +136,32 @@ def test_line_dedup(spark):
     assert all(found[r.doc_id] == r.text for r in docs.collect() if r.doc_id != 2)
 
 
+def test_line_dedup_finds_blocks_of_short_lines(spark):
+    lines = [f"some short words number{k} x{k}" for k in range(12)]
+    small = [f"tiny line{k} is" for k in range(9)]
+    chinese = "这是一个没有空格的很长的句子用来测试重复文本的删除"
+    data = [(k, f"own head of document {k}\n{lines[k]}\nown tail of document {k}") for k in range(12)]
+    blocks = "\n".join(lines), "\n\n".join(small), chinese
+    data += [(20, "\n".join(["only in twenty", *blocks])), (21, "\n".join(["only in twenty-one", *blocks[::-1], "end of it"]))]
+    found = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [x for x in found[21].split("\n") if x] == ["only in twenty-one", "end of it"]
+    assert all(found[k] == text for k, text in data if k != 21)
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(11)
+    pool = [" ".join(f"w{k}{i}" for i in range(rng.choice([1, 2, 4, 6, 9]))) for k in range(25)]
+    docs = [[pool[(a + i) % 25] for a in (rng.randrange(25) for _ in range(3)) for i in range(rng.randrange(1, 6))] for _ in range(60)]
+    data = [(k, "\n".join(lines)) for k, lines in enumerate(docs)]
+    found = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    seen = set()
+    for k, lines in enumerate(docs):
+        runs = [(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if len(" ".join(lines[a:b]).split()) >= line_dedup.BLOCK_WORDS]
+        gone = {i for a, b in runs if tuple(lines[a:b]) in seen for i in range(a, b)}
+        assert found[k] == "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        seen.update(tuple(lines[a:b]) for a, b in runs)
+
+
 def test_line_dedup_leaves_no_long_repeat(spark, rows):
     got = {r.doc_id: r for r in queries.queries()["op3_line_dedup"](spark, SF).collect()}
     seen, gone = set(), 0

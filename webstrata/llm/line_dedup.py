@@ -1,13 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Lines of ``LINE_WORDS`` or more words are hashed. The documents that share a line are linked to the
-earliest of them, so a line in n documents makes n - 1 pairs, not n^2; a pair remembers the rarest
-line it shares. Each pair is aligned by patience diff over all its lines: lines that are unique on
+Lines of ``LINE_WORDS`` or more words are hashed, and so are runs of consecutive lines that just reach
+``BLOCK_WORDS`` words: the shortest from every line on and the shortest up to every line. The documents
+that share a line or a run are linked to the earliest that has it, so one in n documents makes n - 1
+pairs, not n^2; a pair remembers the rarest one it shares. Each pair is aligned by patience diff over all its lines: lines that are unique on
 both sides and in order are anchors, the gaps between them are aligned in the same way, and where
 none are left, equal lines are matched by occurrence. Runs of aligned lines that are consecutive in
 both documents are common blocks; blocks of ``BLOCK_WORDS`` or more words are deleted from the later
-document. Any line that the later document shares with any earlier one is covered by the pair with
-the line's earliest document.
+document, as are the runs that alignment left because they stand in another order. Every line of a
+block shared with any earlier document is in one of the runs, and the run's earliest document has it.
+
+Empty lines do not interrupt a block. Two characters of a script that is written without spaces
+count as a word.
 
 Documents are ordered by doc_id (null last), then by the text's digest. Defined cases: repeated rows
 (same doc_id and text) are one document and all keep the same lines; a null text stays null; a
@@ -34,7 +38,40 @@ LINE_WORDS, BLOCK_WORDS = 5, 10
 _LINE = np.ones(256, np.bool_)
 _LINE[0x0A] = False
 
-LINES = "key binary, hashes array<bigint>, words array<int>, places array<int>"
+LINES = "key binary, hashes array<bigint>, words array<int>, places array<int>, runs array<bigint>"
+
+
+def _unspaced(buf: np.ndarray) -> np.ndarray:
+    """First bytes of characters of scripts without spaces: kana and Han, Thai, Lao, Tibetan, Myanmar and Khmer."""
+    after = np.append(buf[1:], np.uint8(0)) if len(buf) else buf
+    han = ((buf >= 0xE3) & (buf <= 0xE9)) | ((buf == 0xF0) & (after >= 0xA0))
+    return han | ((buf == 0xE0) & (after >= 0xB8)) | ((buf == 0xE1) & (((after >= 0x80) & (after <= 0x82)) | (after == 0x9E) | (after == 0x9F)))
+
+
+def _spans(words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 line of the shortest runs of ``least`` words, from each line on and up to each line."""
+    sums = np.concatenate([[0], np.cumsum(words)])
+    n = len(words)
+    to = np.searchsorted(sums, sums[:-1] + least)
+    start = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    a = np.concatenate([np.arange(n)[to <= n], start[start >= 0]])
+    b = np.concatenate([to[to <= n], np.arange(1, n + 1)[start >= 0]])
+    both = np.unique(a * (n + 1) + b)
+    return both // (n + 1), both % (n + 1)
+
+
+def _run_hashes(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of more than one line."""
+    a, b = _spans(words)
+    a, b = a[b - a > 1], b[b - a > 1]
+    if not len(a):
+        return np.zeros(0, np.int64)
+    out = np.zeros(len(a), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int((b - a).max())):
+            on = np.flatnonzero(a + k < b)
+            out[on] = K.mix(out[on] * np.uint64(K._BASE) + hashes[a[on] + k])
+    return np.unique(out).view(np.int64)
 
 
 def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,15 +81,20 @@ def _line_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             solid = K.SOLID[w.buf]
             begins = solid.copy()
             begins[1:] &= ~solid[:-1]
+            begins[w.starts] = solid[w.starts]  # a document's first word follows the last byte of the one before
             words = np.concatenate([[0], np.cumsum(begins)])
+            signs = np.concatenate([[0], np.cumsum(_unspaced(w.buf))])
             breaks = np.concatenate([[0], np.cumsum(w.buf == 0x0A)])
             counts = np.diff(w.first)
             # a document's first byte: newlines before it do not count
             sizes = np.concatenate([[0], np.cumsum(_bytes(batch.column(1), w.docs))])
             places = breaks[w.starts] - np.repeat(breaks[sizes[:-1]], counts)
             first = pa.array(w.first.astype(np.int32))
-            lists = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (w.hashes.view(np.int64), (words[w.ends] - words[w.starts]).astype(np.int32), places.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.docs.start, len(w.docs)), *lists], names=["key", "hashes", "words", "places"])
+            sizes = (words[w.ends] - words[w.starts] + (signs[w.ends] - signs[w.starts]) // 2).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(first, pa.array(v)) for v in (w.hashes.view(np.int64), sizes, places.astype(np.int32))]
+            runs = [_run_hashes(w.hashes[a:b], sizes[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
+            lists.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in runs]).astype(np.int32)), pa.array(np.concatenate(runs))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.docs.start, len(w.docs)), *lists], names=["key", "hashes", "words", "places", "runs"])
 
 
 def _bytes(column: pa.Array, docs: range) -> np.ndarray:
@@ -125,7 +167,16 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], least:
             block = []
         block.append(j)
         last = (i, j)
-    return out
+    return sorted({*out, *_moved(earlier, later, words, least)})
+
+
+def _moved(earlier: list[int], later: list[int], words: list[int], least: int) -> set[int]:
+    """Places in ``later`` in runs of at least ``least`` words that ``earlier`` has anywhere."""
+    size = dict(zip(later, words))
+    # a line that only the earlier has ends a run: it is counted as one and matches nothing
+    runs = lambda lines: zip(*(x.tolist() for x in _spans(np.array([size.get(x, 1) for x in lines], np.int64), least)))
+    have = {tuple(earlier[a:b]) for a, b in runs(earlier)}
+    return {j for a, b in runs(later) if tuple(later[a:b]) in have for j in range(a, b)}
 
 
 def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +194,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """(key, gone): the line numbers to delete from each document that has any; keys as ``row_key``."""
     lines = stored(docs.select(row_key().alias("key"), "text").mapInArrow(_line_batches, LINES).dropDuplicates(["key"]), "lines")
     each = lines.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).where(F.col("line.words") >= LINE_WORDS).select("key", F.col("line.hashes").alias("h"))
+    each = each.unionByName(lines.select("key", F.explode("runs").alias("h")))
     shared = each.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("head") != F.col("last")).drop("last")
     pairs = stored(each.join(shared, "h").where(F.col("key") != F.col("head")).groupBy("key", "head").agg(F.min("n").alias("rarest")), "pairs")
     later = lines.select("key", F.col("hashes").alias("later"), "words", "places")
