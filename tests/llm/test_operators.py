@@ -99,6 +99,19 @@ def test_a_large_benchmark_in_passes_finds_the_same(spark, documents, monkeypatc
     assert parts == whole
 
 
+def test_passes_tell_rows_of_one_id_apart(spark, monkeypatch):
+    data = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (1, "delta epsilon zeta"), (None, "alpha beta gamma"), (None, "no hit here"), (None, None), (2, "delta epsilon zeta")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha beta gamma"), (8, "delta epsilon zeta"), (9, "other words only")], "item_id long, text string")
+    index = decontamination.build_index(docs)
+    judged = lambda: sorted(((r.doc_id, r.n_words, r["items"], r.n_hit) for r in decontamination.find(index, items, slop=-1).withColumn("n_hit", decontamination.covered_words()).collect()), key=repr)
+    whole = judged()
+    monkeypatch.setattr(decontamination, "WORDS_PER_PASS", 3)
+    assert judged() == whole
+    hits = {"alpha beta gamma": ["7"], "delta epsilon zeta": ["8"]}
+    assert whole == sorted(((d, len(words(t)), hits.get(t, []), 3 if t in hits else 0) for d, t in data), key=repr)
+
+
 def test_fingerprints(spark, rows):
     found = {r.doc_id: r for r in queries.queries()["op2_fingerprints"](spark, SF).collect()}
     assert len(found) == len(rows)

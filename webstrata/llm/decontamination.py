@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +40,12 @@ BLOCK = 1 << 19
 #: Benchmark words handled in one pass; a larger benchmark takes more passes over the index.
 WORDS_PER_PASS = 200_000
 
-INDEX = "doc_ids array<bigint>, doc_starts array<int>, terms binary, counts binary, positions binary"
-MATCHES = "doc_id bigint, n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"
+INDEX = "doc_ids array<bigint>, doc_starts array<int>, terms binary, counts binary, positions binary, block bigint"
+MATCHES = "block bigint, place int, doc_id bigint, n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"
 
 
 def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block = TaskContext.get().partitionId() << 33  # blocks are numbered within their task
     for batch in batches:
         ids = batch.column(0)
         for w in K.words(batch.column(1), piece=BLOCK):
@@ -56,9 +58,11 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array([terms.tobytes()], pa.binary()),
                     pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
                     pa.array([order.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([block], pa.int64()),
                 ],
-                names=["doc_ids", "doc_starts", "terms", "counts", "positions"],
+                names=["doc_ids", "doc_starts", "terms", "counts", "positions", "block"],
             )
+            block += 1
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,13 +231,15 @@ def _match_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.
             n = len(starts) - 1
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([batch.column(5)[row].as_py()] * n, pa.int64()),
+                    pa.array(np.arange(n, dtype=np.int32)),
                     ids,
                     pa.array(np.diff(starts), pa.int64()),
                     pa.array([spans.get(i, []) for i in range(n)], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))),
                     pa.array([items.get(i, []) for i in range(n)], pa.list_(pa.string())),
                     pa.array([close.get(i, []) for i in range(n)], pa.list_(pa.string())),
                 ],
-                names=["doc_id", "n_words", "spans", "items", "near"],
+                names=["block", "place", "doc_id", "n_words", "spans", "items", "near"],
             )
 
 
@@ -252,14 +258,13 @@ def find(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str
         share = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         windows = cut_windows(share.toArrow(), window)
         held = index.sparkSession.sparkContext.broadcast(_plan(windows, _frequencies(index, windows.vocabulary), slop))
-        source = index if passes == 1 else index.withColumn("block", F.monotonically_increasing_id())
-        one = source.select("doc_ids", "doc_starts", "terms", "counts", "positions").mapInArrow(lambda batches, held=held: _match_blocks(batches, held.value), MATCHES)
+        one = index.select("doc_ids", "doc_starts", "terms", "counts", "positions", "block").mapInArrow(lambda batches, held=held: _match_blocks(batches, held.value), MATCHES)
         out = one if out is None else out.unionByName(one)
-    if passes > 1:  # a document's matches of all passes together
-        out = out.groupBy("doc_id", "n_words").agg(
+    if passes > 1:  # a document's matches of all passes together; its place tells it from others of its id
+        out = out.groupBy("block", "place", "doc_id", "n_words").agg(
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")
         )
-    return out
+    return out.drop("block", "place")
 
 
 def covered_words(spans: str = "spans") -> F.Column:
