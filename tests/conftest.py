@@ -46,12 +46,18 @@ def oracle():
 
 def _cell(x):
     import math
+    from numbers import Integral
 
+    import numpy as np
     import pandas as pd
 
     if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and math.isnan(x)):
         return None
-    return int(x) if isinstance(x, float) and x == int(x) else str(x) if not isinstance(x, (int, bool)) else x
+    if isinstance(x, (bool, np.bool_)):
+        return bool(x)
+    if isinstance(x, Integral) or (isinstance(x, float) and x == int(x)):
+        return int(x)
+    return str(x)
 
 
 def rows_of(frame):

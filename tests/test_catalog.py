@@ -22,6 +22,12 @@ def test_time_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(ts)" in plan and "LessThan(ts" in plan
 
 
+@pytest.mark.parametrize("name, pushed", [("scan_filter_prefix", "StringStartsWith(url"), ("filter_not_before", "GreaterThanOrEqual(ts"), ("filter_conjunction", "GreaterThan(n_chars"), ("range_visits", "LessThanOrEqual(ts")])
+def test_filters_are_pushed_down(spark, name, pushed):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan.split("PushedFilters: ")[1]
+
+
 def test_bundles_keep_order_and_limit(spark):
     packed = catalog.queries()["bundle_bin_pack"](spark, SF).toPandas().sort_values(["bucket", "seq"])
     for _, one in packed.groupby("bucket"):

@@ -1,7 +1,8 @@
 """The filter algebra: clauses of an option are alternatives, options are ANDed, and every clause has
 a negated twin. Missing values match nothing, so their negation holds (two-valued logic).
 
-Native comparisons come first in the conjunction; Spark pushes those on plain columns to the scan.
+Positive clauses stay bare: WHERE drops unknown rows itself, and Spark pushes comparisons of plain
+columns to the scan. Only ``negated`` has to make unknown false first.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ def _known(predicate: Column) -> Column:
 
 
 def any_of(clauses: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, [_known(c) for c in clauses])
+    return reduce(lambda a, b: a | b, clauses)
 
 
 def all_of(clauses: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, [_known(c) for c in clauses])
+    return reduce(lambda a, b: a & b, clauses)
 
 
 def negated(predicate: Column) -> Column:
@@ -47,12 +48,12 @@ def after(stime: Column, *dates: str | datetime) -> Column:
 
 
 def not_before(stime: Column, *dates: str | datetime) -> Column:
-    """None of the dates is later: all of the negations hold."""
-    return negated(stime < F.lit(max(map(_time, dates))))
+    """None of the dates is later; an unknown time passes. Written so that it can be pushed down."""
+    return stime.isNull() | (stime >= F.lit(max(map(_time, dates))))
 
 
 def not_after(stime: Column, *dates: str | datetime) -> Column:
-    return negated(stime > F.lit(min(map(_time, dates))))
+    return stime.isNull() | (stime <= F.lit(min(map(_time, dates))))
 
 
 def text(value: Column, exact: Iterable[str] = (), prefix: Iterable[str] = (), regex: Iterable[str] = ()) -> Column:
