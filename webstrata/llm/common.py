@@ -7,7 +7,6 @@ by ``spark.checkpoint.dir``, which all executors share, so a lost executor costs
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,18 +14,17 @@ from pyspark.sql import functions as F
 
 #: A join side is broadcast only while its counted rows stay under this many bytes.
 BROADCAST_BYTES = 16 << 20
-#: Rows of one key that a single task may get before the key is salted.
-HOT_ROWS = 20_000
+#: Rows of one key that a single task may always get; a key is salted from a third of a task's share on.
+HOT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share, as the session names it."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="webstrata-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
@@ -62,19 +60,22 @@ def join_sized(big: DataFrame, small: DataFrame, on: list[str], how: str, row_by
     return join_salted(big, small, on, how)
 
 
-def join_salted(big: DataFrame, small: DataFrame, on: list[str], how: str, hot: int = HOT_ROWS) -> DataFrame:
+def join_salted(big: DataFrame, small: DataFrame, on: list[str], how: str, counts: DataFrame | None = None) -> DataFrame:
     """Join ``big`` to ``small``, which has one row a key, so that no key of ``big`` meets in one task.
 
-    Keys with more than ``max(hot, rows / 10000)`` rows are split over as many salts as they need;
-    there are at most 10000 such keys, so their list may be broadcast. ``small`` gets one copy of
-    such a key's row for each salt. Salts come from the row's content, so a repeated task deals alike.
+    Keys with more rows than a third of a task's share (``HOT_ROWS`` at least) are split over as many
+    salts as they need; there are at most three times as many such keys as partitions, so their list
+    may be broadcast. ``small`` gets one copy of such a key's row for each salt. Salts come from the
+    row's content, so a repeated task deals alike. ``counts`` may hold the stored keys with their number
+    ``n`` of rows in ``big``.
     """
-    counts = cut(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot))
-    total = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    if not total[1]:
+    if counts is None:
+        counts = cut(big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS))
+    share = counts.where(F.col("n") > HOT_ROWS).agg(F.sum("n")).first()[0]
+    if not share:
         return big.join(small, on, how)
-    limit = max(hot, int(total[0]) // 10_000)
-    hot_keys = F.broadcast(counts.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    limit = max(HOT_ROWS, int(share) // (3 * partitions(big.sparkSession)))
+    hot_keys = F.broadcast(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
     left = big.join(hot_keys, on, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*big.columns), F.col("_salts")).cast("int"))).drop("_salts")
     right = small.join(hot_keys, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
@@ -83,7 +84,7 @@ def join_salted(big: DataFrame, small: DataFrame, on: list[str], how: str, hot:
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
-    ``edges`` has long columns ``u`` and ``v``. Returns ``node``, ``root`` (the smallest node of its
+    ``edges`` has columns ``u`` and ``v`` of one type. Returns ``node``, ``root`` (the smallest node of its
     component) for every node that has an edge. Only minima are aggregated, never neighbour lists,
     and every round is checkpointed. Raises if the rounds do not converge.
     """
@@ -91,11 +92,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")))
+        large = join_salted(both, least.drop("n"), ["u"], "inner", counts=least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        joined = join_salted(large, least.drop("n"), ["u"], "inner", counts=least)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = cut(small.where("u <> v").distinct())
         at = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()

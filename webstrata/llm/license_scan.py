@@ -4,15 +4,14 @@ Built from DataFrame and SQL functions only.
 
 1. ``idf`` of every template word is counted over all files; words of no template weigh as a word
    that no file has, so a text is compared with all of its words.
-2. A text is compared as a whole (a licence file) and sentence by sentence (a header or notice).
-   Only files with an anchor word are compared: the anchors of a template are its heaviest words, as
-   many as it takes for the others to be too light to reach the threshold alone. So none is missed.
+2. A text is compared as a whole (a licence file) and sentence by sentence (a header or notice), but
+   only with the templates it is near: a text that reaches the threshold has so many of the template's
+   heavy words (``_signs``), and so has the file around it. None is missed, and the texts of all other
+   files are looked at once.
 3. Line ends are then disregarded, as notices are wrapped and stand in comments: ``TEMPLATES`` and
    ``NOTICES`` are compared with every paragraph, every sentence of it and every run of as many words
-   as the template has, and full licence texts (``texts``) with the whole text. A unit is compared if
-   it has as many of a template's heavy words as any text needs that reaches the threshold (``_signs``),
-   a whole text if a bound on its score reaches it (``_near_texts``). Equal units of all files are
-   compared once. The best score of steps 2 and 3 counts.
+   as the template has, and full licence texts (``texts``) with the whole text. Equal units of all files
+   are compared once. The best score of steps 2 and 3 counts.
 4. A file whose whole text matches, or whose name says licence and which has a matching sentence,
    licenses its directory. A file's licence is its own best match, or else that of its nearest
    ancestor directory which has one, found by joining the paths of all directories to their ancestors.
@@ -20,7 +19,7 @@ Built from DataFrame and SQL functions only.
 Words are lower-cased runs of a-z and 0-9; sentences end at line ends (in step 3 at blank lines, which
 may hold comment marks) or at . ! ? and white space. Step 3 takes rows that share a path one by one.
 There are full texts for the ids that have a file in ``licenses``.
-Defined cases: rows that share a path are one file with the words of all; a null path is a file at
+Defined cases: an empty table gives no rows; rows that share a path are one file with the words of all; a null path is a file at
 the root named ""; a null text matches nothing but inherits; equal scores go to the licence id that
 sorts last; extra columns are ignored.
 """
@@ -35,7 +34,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webstrata.llm.common import cut, join_sized, stored
+from webstrata.llm.common import cut, join_sized, put_back, set_aside, stored
 
 THRESHOLD = 0.75
 
@@ -89,13 +88,11 @@ def bags(text: F.Column) -> F.Column:
     return F.transform(lines, lambda x: F.split(x, " "))
 
 
-def parts_of(text: F.Column, anchors: F.Column) -> F.Column:
-    """whole and words of the text and of its sentences, those with an anchor; every word is cut out once."""
+def parts_of(text: F.Column) -> F.Column:
+    """whole and words of the text and of its sentences; every word is cut out once."""
     one = lambda whole, words: F.struct(F.lit(whole).alias("whole"), words.alias("words"))
     # the array around the bags binds them, so that they are computed once
-    near = F.transform(F.array(bags(text)), lambda b: F.struct(b.alias("all"), F.filter(b, lambda w: F.arrays_overlap(w, anchors)).alias("near")))
-    near = F.filter(near, lambda x: F.size(x["near"]) > 0)
-    return F.flatten(F.transform(near, lambda x: F.concat(F.array(one(True, F.flatten(x["all"]))), F.transform(x["near"], lambda w: one(False, w)))))
+    return F.flatten(F.transform(F.array(bags(text)), lambda b: F.concat(F.array(one(True, F.flatten(b))), F.transform(b, lambda w: one(False, w)))))
 
 
 @cache
@@ -109,24 +106,6 @@ def _values(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, text)")
 
 
-def _anchors(weights: list, threshold: float) -> list[str]:
-    """Words of which any text must have one to reach the threshold with some template."""
-    by_template: dict[int, list] = {}
-    for row in weights:
-        by_template.setdefault(row["template"], []).append((row["weight"], row["word"]))
-    out: set[str] = set()
-    for own in by_template.values():
-        own.sort(reverse=True)
-        norm = sqrt(sum(w * w for w, _ in own))
-        left = norm
-        for k, (_, word) in enumerate(own):
-            if left < threshold * norm * (1 - 1e-9):
-                break
-            out.add(word)
-            left = sqrt(max(0.0, sum(w * w for w, _ in own[k + 1 :])))
-    return sorted(out)
-
-
 def _signs(weights: list, threshold: float) -> dict[int, tuple[list[str], int]]:
     """Heavy words of each template, and how many of them any text has that reaches the threshold with it.
 
@@ -164,47 +143,34 @@ def _runs(words: F.Column, sign: F.Column) -> F.Column:
     return F.transform(F.filter(starts, lambda at: F.size(F.array_intersect(run(at), sign["heavy"])) >= sign["least"]), run)
 
 
-def _near_texts(files: DataFrame, first: int, weights: DataFrame, norms: DataFrame, idf: DataFrame, rarest: F.Column, threshold: float) -> DataFrame:
-    """path and row of the files that may reach the threshold with a full text (templates from ``first`` on).
+def _near(files: DataFrame, signs: dict[int, tuple[list[str], int]]) -> DataFrame:
+    """path, text and ``near``, the templates of which a file has as many heavy words as a match needs.
 
-    A word's uses squared are at least its uses, so a file's size is at least the root of the sum of
-    idf squared over its tokens, repeats included; that sum and the dot products need no bag.
+    This is the only look at the texts of files that are near no template.
     """
-    theirs = weights.where(F.col("template") >= first).join(norms, "template").select("word", "template", (F.col("weight") / F.col("norm")).alias("w"))
-    ids = sorted(r["template"] for r in theirs.select("template").distinct().collect())
-    columns = [F.sum(F.when(F.col("template") == k, F.col("w"))).alias(f"w{k}") for k in ids]
-    by_word = cut(idf.join(theirs.groupBy("word").agg(*columns), "word", "left"))
-    tokens = files.select("path", F.xxhash64("text").alias("row"), F.explode(words(F.col("text"))).alias("word"))
-    known = tokens.join(F.broadcast(by_word), "word", "left")
-    weight = F.coalesce("idf", rarest)
-    sums = known.groupBy("path", "row").agg(F.sqrt(F.sum(weight * weight)).alias("size"), *[F.sum(F.col("idf") * F.col(f"w{k}")).alias(f"w{k}") for k in ids])
-    best = F.greatest(*[F.coalesce(f"w{k}", F.lit(0.0)) for k in ids], F.lit(0.0))
-    return sums.where(best >= threshold * (1 - 1e-6) * F.col("size")).select("path", "row")
-
-
-def unwrapped(files: DataFrame, templates: list[tuple[str, str]], n_texts: int, weights: DataFrame, norms: DataFrame, idf: DataFrame, rarest: F.Column, threshold: float) -> DataFrame:
+    table = F.array(*[F.struct(F.lit(k).alias("template"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, least) in sorted(signs.items())])
+    heaviest = _list(sorted({w for heavy, _ in signs.values() for w in heavy}))
+    # the array around the file's words binds them, so that they are computed once
+    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.transform(F.filter(table, lambda s: F.size(F.array_intersect(own, s["heavy"])) >= s["least"]), lambda s: s["template"])))
+    return stored(files.select("path", "text", near.alias("near")).where(F.size("near") > 0), "near_licenses")
+
+
+def unwrapped(close: DataFrame, templates: list[tuple[str, str]], n_texts: int, signs: dict, weights: DataFrame, norms: DataFrame, idf: DataFrame, rarest: F.Column, threshold: float) -> DataFrame:
     """Matches as of ``matches`` of units without regard to line ends; the last ``n_texts`` templates are full texts."""
     first = len(templates) - n_texts
-    signs = _signs(weights.where(F.col("template") < first).collect(), threshold)
     table = F.array(
-        *[F.struct(F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, least) in sorted(signs.items())]
+        *[F.struct(F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, least) in sorted(signs.items()) if k < first]
     )
-    heaviest = _list(sorted({w for heavy, _ in signs.values() for w in heavy}))
-    # the array around the file's words binds them, so that they are computed once
-    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.filter(table, lambda s: F.size(F.array_intersect(own, s["heavy"])) >= s["least"])))
-    close = stored(files.select("path", "text", near.alias("near")).where(F.size("near") > 0), "near_licenses")
     plain = F.regexp_replace(F.lower("text"), r"(?m)^[^a-z0-9\n]*(?:rem|dnl)\b", " ")
     cut_at = lambda ends: F.transform(F.split(plain, ends), words)
     blank = r"\n[^a-z0-9\n]*(?=\n)"
     rows = close.select("path", "near", words(plain).alias("words"), F.array_distinct(F.concat(cut_at(blank), cut_at(blank + r"|[.!?][ \t\r\n]+"))).alias("pieces"))
-    pairs = rows.select("path", "words", "pieces", F.explode("near").alias("sign"))
+    pairs = rows.select("path", "words", "pieces", F.explode(F.filter(table, lambda s: F.array_contains("near", s["template"]))).alias("sign"))
     sign = F.col("sign")
     pieces = F.filter("pieces", lambda x: F.size(F.array_intersect(x, sign["heavy"])) >= sign["least"])
     units = F.array_distinct(F.concat(pieces, _runs(F.col("words"), sign)))
     found = pairs.select("path", "sign.template", F.lit(False).alias("whole"), F.explode(units).alias("words"))
-    near_texts = stored(_near_texts(files, first, weights, norms, idf, rarest, threshold), "near_texts")
-    entire = join_sized(files.withColumn("row", F.xxhash64("text")), near_texts, ["path", "row"], "inner", row_bytes=160)
-    entire = entire.select("path", F.explode(F.sequence(F.lit(first), F.lit(len(templates) - 1))).alias("template"), F.lit(True).alias("whole"), words(F.col("text")).alias("words"))
+    entire = close.select("path", F.explode(F.filter("near", lambda k: k >= first)).alias("template"), F.lit(True).alias("whole"), words(F.col("text")).alias("words"))
     found = stored(found.unionByName(entire).withColumn("unit", F.sha2(F.array_join("words", " ").cast("binary"), 256)), "license_units")
     used = found.select("template", "unit", "words").dropDuplicates(["template", "unit"]).select("template", "unit", F.explode("words").alias("word")).groupBy("template", "unit", "word").agg(F.count(F.lit(1)).cast("double").alias("uses"))
     heavy = used.join(F.broadcast(idf), "word", "left").withColumn("weight", F.col("uses") * F.coalesce("idf", rarest)).drop("idf")
@@ -219,7 +185,10 @@ def unwrapped(files: DataFrame, templates: list[tuple[str, str]], n_texts: int,
 
 
 def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """path, license, score and whether the whole text matched, for every file with a match."""
+    """path, license, score and whether the whole text matched, for every file with a match.
+
+    What is broadcast are the words of the templates, a fixed table of a few thousand rows.
+    """
     spark = files.sparkSession
     full = [*templates, *NOTICES, *texts()]
     known = _values(spark, full).select("template", "license", F.explode(words(F.col("text"))).alias("word"))
@@ -231,12 +200,14 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tupl
     rarest = F.log(F.lit(total + 1.0)) + 1.0
     heaviest = cut(use.join(F.broadcast(every), "word").select("template", "license", "word", (F.col("uses") * F.col("idf")).alias("weight")))
     norms = heaviest.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    signs = _signs(heaviest.collect(), threshold)
+    close = _near(files, signs)
     # steps 1 and 2 know the words of ``templates`` only
     weights = heaviest.where(F.col("template") < len(templates))
     idf = cut(every.join(F.broadcast(weights.select("word").distinct()), "word"))
-    anchors = F.array(*[F.lit(w) for w in _anchors(weights.collect(), threshold)])
 
-    parts = files.select("path", F.explode(parts_of(F.col("text"), anchors)).alias("found")).select("path", "found.whole", "found.words")
+    declared = close.where(F.exists("near", lambda k: k < len(templates)))
+    parts = declared.select("path", F.explode(parts_of(F.col("text"))).alias("found")).select("path", "found.whole", "found.words")
     # a sentence is told apart by its words in order; repeats of one scale its vector, which leaves the cosine as it is
     part = F.when(F.col("whole"), F.lit("")).otherwise(F.sha2(F.array_join("words", " ").cast("binary"), 256))
     parts = parts.select("path", "whole", part.alias("part"), F.explode("words").alias("word"))
@@ -248,7 +219,7 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tupl
     dots = heavy.join(held, "word").groupBy("path", "whole", "part", "template", "license", "norm").agg(F.sum(F.col("weight") * F.col("theirs")).alias("dot"))
     scored = dots.join(sizes, ["path", "whole", "part"]).withColumn("score", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)).where(F.col("score") >= threshold)
     lined = scored.groupBy("path").agg(F.max(F.struct("score", "license")).alias("best"), F.max(F.when(F.col("whole"), F.struct("score", "license"))).alias("entire"))
-    joined = unwrapped(files, full, len(texts()), heaviest, norms, every, rarest, threshold)
+    joined = unwrapped(close, full, len(texts()), signs, heaviest, norms, every, rarest, threshold)
     return lined.unionByName(joined).groupBy("path").agg(F.max("best").alias("best"), F.max("entire").alias("entire"))
 
 
@@ -257,10 +228,15 @@ def directory(path: F.Column) -> F.Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
 
 
+RESULTS = ["license", "score", "origin", "from_dir"]
+
+
 def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """license, score, origin (own, inherited, none) and the directory inherited from, for every row
-    of ``files`` (path, text); other columns stay, the text goes."""
-    rows = files.withColumn("path", F.coalesce("path", F.lit("")))
+    of ``files`` (path, text); other columns stay, the text goes. Columns of ``files`` that are named
+    like the results give way to them."""
+    kept = [c for c in files.columns if c != "text" and c not in RESULTS]
+    rows = set_aside(files.select(*[F.col(f"`{c}`") for c in files.columns if c not in RESULTS]), ["path", "text"]).withColumn("path", F.coalesce("path", F.lit("")))
     found = stored(matches(rows.select("path", "text"), threshold), "licenses")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     grants = found.select(directory(F.col("path")).alias("ancestor"), F.coalesce("entire", F.when(name.rlike(LICENCE_NAME), F.col("best"))).alias("best")).where("best is not null")
@@ -268,14 +244,15 @@ def scan(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     places = rows.select(directory(F.col("path")).alias("dir")).distinct()
     steps = F.split("dir", "/")
     up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
-    near = places.select("dir", F.explode(F.array_distinct(up)).alias("ancestor")).join(grants, "ancestor")
+    # all directories have the root as an ancestor: such keys are salted
+    near = join_sized(places.select("dir", F.explode(F.array_distinct(up)).alias("ancestor")), grants, ["ancestor"], "inner", row_bytes=160)
     near = cut(near.groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "ancestor", "best")).alias("near")))
     slim = rows.drop("text").withColumn("dir", directory(F.col("path")))
     own = found.select("path", "best")
     out = join_sized(join_sized(slim, own, ["path"], "left", row_bytes=128), near, ["dir"], "left", row_bytes=192)
     picked = F.coalesce(F.col("best"), F.col("near.best"))
     origin = F.when(F.col("best").isNotNull(), "own").when(F.col("near").isNotNull(), "inherited").otherwise("none")
-    return out.select("*", picked["license"].alias("license"), picked["score"].alias("score"), origin.alias("origin"), F.when(F.col("best").isNull(), F.col("near.ancestor")).alias("from_dir")).drop("best", "near", "dir")
+    return out.select(*put_back(kept, ["path", "text"]), picked["license"].alias("license"), picked["score"].alias("score"), origin.alias("origin"), F.when(F.col("best").isNull(), F.col("near.ancestor")).alias("from_dir"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
