@@ -106,8 +106,9 @@ def _values(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, license, text)")
 
 
-def _signs(weights: list, threshold: float) -> dict[int, tuple[list[str], int]]:
-    """Heavy words of each template, and how many of them any text has that reaches the threshold with it.
+def _signs(weights: list, threshold: float) -> dict[int, tuple[list[str], list[float], int, float]]:
+    """Heavy words of each template with their squared weights, and how many of them and how much of
+    that weight any text has that reaches the threshold with it.
 
     The cosine is at most the norm of the template's weights on the words it shares with the text.
     """
@@ -127,7 +128,7 @@ def _signs(weights: list, threshold: float) -> dict[int, tuple[list[str], int]]:
         while reached < total * need:
             reached += heavy[least][0]
             least += 1
-        out[template] = [word for _, word in heavy], least
+        out[template] = [word for _, word in heavy], [w for w, _ in heavy], least, total * need - rest
     return out
 
 
@@ -143,15 +144,22 @@ def _runs(words: F.Column, sign: F.Column) -> F.Column:
     return F.transform(F.filter(starts, lambda at: F.size(F.array_intersect(run(at), sign["heavy"])) >= sign["least"]), run)
 
 
-def _near(files: DataFrame, signs: dict[int, tuple[list[str], int]]) -> DataFrame:
-    """path, text and ``near``, the templates of which a file has as many heavy words as a match needs.
+def _near(files: DataFrame, signs: dict) -> DataFrame:
+    """path, text and ``near``, the templates of which a file has as many and as heavy words as a match needs.
 
     This is the only look at the texts of files that are near no template.
     """
-    table = F.array(*[F.struct(F.lit(k).alias("template"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, least) in sorted(signs.items())])
-    heaviest = _list(sorted({w for heavy, _ in signs.values() for w in heavy}))
+    table = F.array(
+        *[
+            F.struct(F.lit(k).alias("template"), _list(heavy).alias("heavy"), F.from_json(F.lit(str(squares)), "array<double>").alias("squares"), F.lit(least).alias("least"), F.lit(enough).alias("enough"))
+            for k, (heavy, squares, least, enough) in sorted(signs.items())
+        ]
+    )
+    heaviest = _list(sorted({w for heavy, *_ in signs.values() for w in heavy}))
+    weight = lambda own, s: F.aggregate(F.zip_with(s["heavy"], s["squares"], lambda w, q: F.when(F.array_contains(own, w), q).otherwise(0.0)), F.lit(0.0), lambda a, q: a + q)
+    reached = lambda own, s: (F.size(F.array_intersect(own, s["heavy"])) >= s["least"]) & (weight(own, s) >= s["enough"])
     # the array around the file's words binds them, so that they are computed once
-    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.transform(F.filter(table, lambda s: F.size(F.array_intersect(own, s["heavy"])) >= s["least"]), lambda s: s["template"])))
+    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.transform(F.filter(table, lambda s: reached(own, s)), lambda s: s["template"])))
     return stored(files.select("path", "text", near.alias("near")).where(F.size("near") > 0), "near_licenses")
 
 
@@ -159,7 +167,7 @@ def unwrapped(close: DataFrame, templates: list[tuple[str, str]], n_texts: int,
     """Matches as of ``matches`` of units without regard to line ends; the last ``n_texts`` templates are full texts."""
     first = len(templates) - n_texts
     table = F.array(
-        *[F.struct(F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, least) in sorted(signs.items()) if k < first]
+        *[F.struct(F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, _, least, _) in sorted(signs.items()) if k < first]
     )
     plain = F.regexp_replace(F.lower("text"), r"(?m)^[^a-z0-9\n]*(?:rem|dnl)\b", " ")
     cut_at = lambda ends: F.transform(F.split(plain, ends), words)
