@@ -88,11 +88,30 @@ def bags(text: F.Column) -> F.Column:
     return F.transform(lines, lambda x: F.split(x, " "))
 
 
-def parts_of(text: F.Column) -> F.Column:
-    """whole and words of the text and of its sentences; every word is cut out once."""
+def parts_of(text: F.Column, near: F.Column) -> F.Column:
+    """whole and words of the text and of those of its sentences that are near one of the signs ``near``."""
     one = lambda whole, words: F.struct(F.lit(whole).alias("whole"), words.alias("words"))
     # the array around the bags binds them, so that they are computed once
-    return F.flatten(F.transform(F.array(bags(text)), lambda b: F.concat(F.array(one(True, F.flatten(b))), F.transform(b, lambda w: one(False, w)))))
+    return F.flatten(F.transform(F.array(bags(text)), lambda b: F.concat(F.array(one(True, F.flatten(b))), F.transform(F.filter(b, lambda w: F.exists(near, lambda s: _reached(w, s))), lambda w: one(False, w)))))
+
+
+def _weight(own: F.Column, sign: F.Column) -> F.Column:
+    """Squared weight of the sign's words that are among ``own``."""
+    return F.aggregate(F.zip_with(sign["heavy"], sign["squares"], lambda w, q: F.when(F.array_contains(own, w), q).otherwise(0.0)), F.lit(0.0), lambda a, q: a + q)
+
+
+def _reached(own: F.Column, sign: F.Column) -> F.Column:
+    """Whether words may reach the threshold: they have enough of the sign's heavy ones, by number and by weight."""
+    return (F.size(F.array_intersect(own, sign["heavy"])) >= sign["least"]) & (_weight(own, sign) >= sign["enough"])
+
+
+def _table(templates: list[tuple[str, str]], signs: dict) -> F.Column:
+    """The signs as an array of structs, with the number of words of each template."""
+    one = lambda k, heavy, squares, least, enough: F.struct(
+        F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"),
+        F.from_json(F.lit(str(squares)), "array<double>").alias("squares"), F.lit(least).alias("least"), F.lit(enough).alias("enough"),
+    )
+    return F.array(*[one(k, *sign) for k, sign in sorted(signs.items())])
 
 
 @cache
@@ -141,41 +160,31 @@ def _runs(words: F.Column, sign: F.Column) -> F.Column:
     n = sign["n"]
     run = lambda at: F.slice(words, at, n)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
-    return F.transform(F.filter(starts, lambda at: F.size(F.array_intersect(run(at), sign["heavy"])) >= sign["least"]), run)
+    return F.transform(F.filter(starts, lambda at: _reached(run(at), sign)), run)
 
 
-def _near(files: DataFrame, signs: dict) -> DataFrame:
+def _near(files: DataFrame, templates: list[tuple[str, str]], signs: dict) -> DataFrame:
     """path, text and ``near``, the templates of which a file has as many and as heavy words as a match needs.
 
     This is the only look at the texts of files that are near no template.
     """
-    table = F.array(
-        *[
-            F.struct(F.lit(k).alias("template"), _list(heavy).alias("heavy"), F.from_json(F.lit(str(squares)), "array<double>").alias("squares"), F.lit(least).alias("least"), F.lit(enough).alias("enough"))
-            for k, (heavy, squares, least, enough) in sorted(signs.items())
-        ]
-    )
     heaviest = _list(sorted({w for heavy, *_ in signs.values() for w in heavy}))
-    weight = lambda own, s: F.aggregate(F.zip_with(s["heavy"], s["squares"], lambda w, q: F.when(F.array_contains(own, w), q).otherwise(0.0)), F.lit(0.0), lambda a, q: a + q)
-    reached = lambda own, s: (F.size(F.array_intersect(own, s["heavy"])) >= s["least"]) & (weight(own, s) >= s["enough"])
     # the array around the file's words binds them, so that they are computed once
-    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.transform(F.filter(table, lambda s: reached(own, s)), lambda s: s["template"])))
+    near = F.flatten(F.transform(F.array(F.array_intersect(words(F.col("text")), heaviest)), lambda own: F.transform(F.filter(_table(templates, signs), lambda s: _reached(own, s)), lambda s: s["template"])))
     return stored(files.select("path", "text", near.alias("near")).where(F.size("near") > 0), "near_licenses")
 
 
 def unwrapped(close: DataFrame, templates: list[tuple[str, str]], n_texts: int, signs: dict, weights: DataFrame, norms: DataFrame, idf: DataFrame, rarest: F.Column, threshold: float) -> DataFrame:
     """Matches as of ``matches`` of units without regard to line ends; the last ``n_texts`` templates are full texts."""
     first = len(templates) - n_texts
-    table = F.array(
-        *[F.struct(F.lit(k).alias("template"), F.lit(len(re.findall("[a-z0-9]+", templates[k][1].lower()))).alias("n"), _list(heavy).alias("heavy"), F.lit(least).alias("least")) for k, (heavy, _, least, _) in sorted(signs.items()) if k < first]
-    )
+    table = _table(templates, {k: sign for k, sign in signs.items() if k < first})
     plain = F.regexp_replace(F.lower("text"), r"(?m)^[^a-z0-9\n]*(?:rem|dnl)\b", " ")
     cut_at = lambda ends: F.transform(F.split(plain, ends), words)
     blank = r"\n[^a-z0-9\n]*(?=\n)"
     rows = close.select("path", "near", words(plain).alias("words"), F.array_distinct(F.concat(cut_at(blank), cut_at(blank + r"|[.!?][ \t\r\n]+"))).alias("pieces"))
     pairs = rows.select("path", "words", "pieces", F.explode(F.filter(table, lambda s: F.array_contains("near", s["template"]))).alias("sign"))
     sign = F.col("sign")
-    pieces = F.filter("pieces", lambda x: F.size(F.array_intersect(x, sign["heavy"])) >= sign["least"])
+    pieces = F.filter("pieces", lambda x: _reached(x, sign))
     units = F.array_distinct(F.concat(pieces, _runs(F.col("words"), sign)))
     found = pairs.select("path", "sign.template", F.lit(False).alias("whole"), F.explode(units).alias("words"))
     entire = close.select("path", F.explode(F.filter("near", lambda k: k >= first)).alias("template"), F.lit(True).alias("whole"), words(F.col("text")).alias("words"))
@@ -209,13 +218,14 @@ def matches(files: DataFrame, threshold: float = THRESHOLD, templates: list[tupl
     heaviest = cut(use.join(F.broadcast(every), "word").select("template", "license", "word", (F.col("uses") * F.col("idf")).alias("weight")))
     norms = heaviest.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     signs = _signs(heaviest.collect(), threshold)
-    close = _near(files, signs)
+    close = _near(files, full, signs)
     # steps 1 and 2 know the words of ``templates`` only
     weights = heaviest.where(F.col("template") < len(templates))
     idf = cut(every.join(F.broadcast(weights.select("word").distinct()), "word"))
 
+    own = F.filter(_table(full, {k: sign for k, sign in signs.items() if k < len(templates)}), lambda s: F.array_contains("near", s["template"]))
     declared = close.where(F.exists("near", lambda k: k < len(templates)))
-    parts = declared.select("path", F.explode(parts_of(F.col("text"))).alias("found")).select("path", "found.whole", "found.words")
+    parts = declared.select("path", F.explode(parts_of(F.col("text"), own)).alias("found")).select("path", "found.whole", "found.words")
     # a sentence is told apart by its words in order; repeats of one scale its vector, which leaves the cosine as it is
     part = F.when(F.col("whole"), F.lit("")).otherwise(F.sha2(F.array_join("words", " ").cast("binary"), 256))
     parts = parts.select("path", "whole", part.alias("part"), F.explode("words").alias("word"))
