@@ -15,13 +15,18 @@ window's own length of an occurrence of the rarest one.
 Terms are 64-bit hashes of words. Two words that share a hash could only matter inside 13 matching
 words in a row.
 
-Defined cases: a null text has no words; an item without words has no windows; an item of fewer
-words than the window is one window of all its words; equal items are all reported; repeated
-document rows each give a row; extra columns of either table are ignored.
+A proximity match needs no order and includes the exact ones.
+
+Defined cases: an empty table of documents gives no rows, an empty benchmark no matches; a null text
+has no words; an item without words has no windows; an item of fewer words than the window is one
+window of all its words; equal items are all reported, and rows of one item_id are one item; an item
+without an id hits words but is not named; repeated document rows each give a row; extra columns of
+either table are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,16 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import join_sized, put_back, set_aside, stored, text_id
+from webstrata.llm.common import join_sized, put_back, row_key, set_aside, stored
 
 WINDOW = 13
 #: Bytes of text in a block of the index.
 BLOCK = 1 << 19
 #: Benchmark words handled in one pass; a larger benchmark takes more passes over the index.
 WORDS_PER_PASS = 200_000
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-INDEX = "doc_ids array<bigint>, doc_starts array<int>, terms binary, counts binary, positions binary, block bigint"
-MATCHES = "block bigint, place int, doc_id bigint, n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"
+_LOWER = {c: c + 32 for c in range(65, 91)}
+INDEX = "doc_ids array<{}>, doc_starts array<int>, terms binary, counts binary, positions binary, block bigint"
+MATCHES = "block bigint, place int, doc_id {}, n_words bigint, spans array<struct<start:int,stop:int>>, items array<string>, near array<string>"
 
 
 def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +60,7 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             terms, counts = np.unique(w.hashes[order], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids.slice(w.docs.start, len(w.docs)).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([ids.slice(w.docs.start, len(w.docs)).to_pylist()], pa.list_(ids.type)),
                     pa.array([w.first.astype(np.int32)], pa.list_(pa.int32())),
                     pa.array([terms.tobytes()], pa.binary()),
                     pa.array([counts.astype(np.int32).tobytes()], pa.binary()),
@@ -66,9 +73,9 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store the positional index of all words of ``docs`` in the shared folder."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(_index_blocks, INDEX), "postings")
+    """Store the positional index of all words of ``docs`` in the shared folder; ids keep their type."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return stored(rows.mapInArrow(_index_blocks, INDEX.format(rows.schema["doc_id"].dataType.simpleString())), "postings")
 
 
 @dataclass
@@ -80,12 +87,12 @@ class Windows:
     lengths: np.ndarray
     item_first: np.ndarray
     item_of: np.ndarray
-    item_ids: list[str]
+    item_ids: list[str | None]
 
 
 def cut_windows(items: pa.Table, size: int = WINDOW) -> Windows:
     """Windows of ``size`` consecutive words of the items (columns item_id, text)."""
-    ids = [str(x) for x in items.column(0).to_pylist()]
+    ids = items.column(0).to_pylist()
     seen: dict[tuple, set[int]] = {}
     for w in K.words(items.column(1)):
         for k, doc in enumerate(w.docs):
@@ -202,7 +209,7 @@ def _items(windows: Windows, found: list, starts: np.ndarray) -> dict[int, list[
     out: dict[int, set[int]] = {}
     for doc, win in pairs.tolist():
         out.setdefault(doc, set()).update(windows.item_of[windows.item_first[win] : windows.item_first[win + 1]].tolist())
-    return {doc: sorted(windows.item_ids[i] for i in items) for doc, items in out.items()}
+    return {doc: sorted({windows.item_ids[i] for i in items} - {None}) for doc, items in out.items()}
 
 
 def _match_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
@@ -243,22 +250,38 @@ def _match_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.
             )
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Items in pieces of at most ``most`` words, which overlap so that every window lies in one of them."""
+    for batch in batches:
+        out = []
+        for item, text in zip(*(c.to_pylist() for c in batch.columns)):
+            w = _WORD.findall((text or "").translate(_LOWER))
+            if len(w) <= most:
+                out.append((item, " ".join(w), len(w)))
+            else:
+                out += [(item, " ".join(w[at : at + most + window - 1]), min(most + window - 1, len(w) - at)) for at in range(0, len(w) - window + 1, most)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [(), (), ()], (pa.string(), pa.string(), pa.int64()))], names=["item_id", "text", "n"])
+
+
 def find(index: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Phrase and proximity matches of benchmark ``items`` in a stored index, one row a document.
 
     Returns doc_id, n_words, ``spans`` (merged word ranges inside exact matches), ``items`` and
     ``near`` (sorted ids of the items with exact and with proximity matches). A negative ``slop``
-    leaves out the proximity search. Items are read in passes of about ``WORDS_PER_PASS`` words.
+    leaves out the proximity search. Items are cut into pieces, and those are read in passes of about
+    ``WORDS_PER_PASS`` words, so a task and the driver hold no more of a benchmark than that.
     """
+    most = max(window, WORDS_PER_PASS // 8)
     tests = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
-    size = tests.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    passes = max(1, -(-int(size) // WORDS_PER_PASS))
+    tests = stored(tests.mapInArrow(lambda b: _pieces(b, window, most), "item_id string, text string, n bigint").where("n > 0"), "items")
+    passes = max(1, -(-int(tests.agg(F.sum("n")).first()[0] or 0) // WORDS_PER_PASS))
+    schema = MATCHES.format(index.schema["doc_ids"].dataType.elementType.simpleString())
     out = None
     for k in range(passes):
         share = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        windows = cut_windows(share.toArrow(), window)
+        windows = cut_windows(share.select("item_id", "text").toArrow(), window)
         held = index.sparkSession.sparkContext.broadcast(_plan(windows, _frequencies(index, windows.vocabulary), slop))
-        one = index.select("doc_ids", "doc_starts", "terms", "counts", "positions", "block").mapInArrow(lambda batches, held=held: _match_blocks(batches, held.value), MATCHES)
+        one = index.select("doc_ids", "doc_starts", "terms", "counts", "positions", "block").mapInArrow(lambda batches, held=held: _match_blocks(batches, held.value), schema)
         out = one if out is None else out.unionByName(one)
     if passes > 1:  # a document's matches of all passes together; its place tells it from others of its id
         out = out.groupBy("block", "place", "doc_id", "n_words").agg(
@@ -279,8 +302,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, slop: int = 3) -> DataFrame:
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    found = scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    names = lambda c: F.sha2(F.array_join(c, ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names("items").alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"), names("near").alias("near_sha256"))
 
 
 OP1_SQL = r"""
@@ -296,23 +321,30 @@ docs AS (SELECT id AS doc_id, w FROM words WHERE kind = 'd'),
 places AS (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS pos FROM docs, lens WHERE len(w) >= size),
 hits AS (SELECT p.doc_id, p.pos, p.size, x.item_id FROM (SELECT doc_id, pos, size, list_slice(w, pos, pos + size - 1) AS win FROM places) p JOIN wins x ON p.size = x.size AND p.win = x.win),
 covered AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + size - 1)) AS i FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id),
+occurs AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM docs),
+often AS (SELECT word, count(*) AS n FROM occurs GROUP BY word),
+terms AS (SELECT item_id, size, win, unnest(win) AS word, generate_subscripts(win, 1) AS place FROM wins),
+rare AS (SELECT item_id, size, win, arg_min(word, struct_pack(n := coalesce(n, 0), place := place)) AS word FROM terms LEFT JOIN often USING (word) GROUP BY item_id, size, win),
+close_by AS (SELECT DISTINCT o.doc_id, CAST(r.item_id AS VARCHAR) AS i FROM rare r JOIN occurs o USING (word) JOIN docs d ON d.doc_id = o.doc_id
+  WHERE list_has_all(list_slice(d.w, greatest(1, o.pos - r.size - 2), o.pos + r.size + 2), r.win)),
+near_by AS (SELECT doc_id, count(i) AS n_near, string_agg(i, ',' ORDER BY i) AS ids FROM close_by GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(n.ids, '')) AS items_sha256,
-       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
-FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)
+       coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated,
+       CAST(coalesce(k.n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(k.ids, '')) AS near_sha256
+FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN near_by k USING (doc_id)
 """
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns unchanged.
 
-    Rows are told apart by doc_id and text, so that rows which share an id are judged separately.
+    Rows are told apart by doc_id and a 128-bit digest of the text, so rows that share an id are judged
+    separately, and equal rows alike.
     """
     used = ["doc_id", "text"]
-    numbered = set_aside(docs, used).withColumn("_row", F.xxhash64("doc_id", text_id()))
-    bad = stored(
-        find(build_index(numbered, doc_id="_row"), benchmark, slop=-1).where(F.size("spans") > 0).withColumn("n_hit", covered_words()).where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("_row")).distinct(),
-        "contaminated",
-    )
-    return join_sized(numbered, bad, ["_row"], "left_anti", row_bytes=16).select(*put_back(docs.columns, used))
+    keyed = set_aside(docs, used).withColumn("_row", row_key())
+    found = find(build_index(keyed, doc_id="_row"), benchmark, slop=-1).where(F.size("spans") > 0).withColumn("n_hit", covered_words())
+    bad = stored(found.where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return join_sized(keyed, bad, ["_row"], "left_anti", row_bytes=64).select(*put_back(docs.columns, used))
