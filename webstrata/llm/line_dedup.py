@@ -3,7 +3,7 @@
 Lines of ``LINE_WORDS`` or more words are hashed, and so are runs of consecutive lines that just reach
 ``BLOCK_WORDS`` words: the shortest from every line on and the shortest up to every line. The documents
 that share a line or a run are linked to the earliest that has it, so one in n documents makes n - 1
-pairs, not n^2; a pair remembers the rarest one it shares. Each pair is aligned by patience diff over all its lines: lines that are unique on
+pairs, not n^2; the join to it is salted where a line is very common. Each pair is aligned by patience diff over all its lines: lines that are unique on
 both sides and in order are anchors, the gaps between them are aligned in the same way, and where
 none are left, equal lines are matched by occurrence. Runs of aligned lines that are consecutive in
 both documents are common blocks; blocks of ``BLOCK_WORDS`` or more words are deleted from the later
@@ -13,7 +13,8 @@ block shared with any earlier document is in one of the runs, and the run's earl
 Empty lines do not interrupt a block. Two characters of a script that is written without spaces
 count as a word.
 
-Documents are ordered by doc_id (null last), then by the text's digest. Defined cases: repeated rows
+Documents are ordered by doc_id (null last), then by the text's digest. Defined cases: an empty table
+stays empty; repeated rows
 (same doc_id and text) are one document and all keep the same lines; a null text stays null; a
 document of which every line goes keeps its row with an empty text; line matching ignores the case
 of A-Z; extra columns are kept.
@@ -195,11 +196,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = stored(docs.select(row_key().alias("key"), "text").mapInArrow(_line_batches, LINES).dropDuplicates(["key"]), "lines")
     each = lines.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).where(F.col("line.words") >= LINE_WORDS).select("key", F.col("line.hashes").alias("h"))
     each = each.unionByName(lines.select("key", F.explode("runs").alias("h")))
-    shared = each.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("head") != F.col("last")).drop("last")
-    pairs = stored(each.join(shared, "h").where(F.col("key") != F.col("head")).groupBy("key", "head").agg(F.min("n").alias("rarest")), "pairs")
+    shared = stored(each.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("head") != F.col("last")).drop("last"), "shared_lines")
+    pairs = stored(join_salted(each, shared.drop("n"), ["h"], "inner", counts=shared).where(F.col("key") != F.col("head")).select("key", "head").distinct(), "pairs")
     later = lines.select("key", F.col("hashes").alias("later"), "words", "places")
     earlier = lines.select(F.col("key").alias("head"), F.col("hashes").alias("earlier"))
-    both = join_salted(pairs.select("key", "head"), earlier, ["head"], "inner").join(later, "key")
+    both = join_salted(join_salted(pairs, earlier, ["head"], "inner"), later, ["key"], "inner", counts=pairs.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     found = both.select("key", "earlier", "later", "words", "places").mapInArrow(_align_batches, "key binary, gone array<int>")
     return found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
@@ -215,8 +216,10 @@ def with_gone(docs: DataFrame) -> DataFrame:
 
 
 def remaining(text: str = "text", gone: str = "gone") -> F.Column:
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
+    """The text without the lines ``gone``; the array around the lines binds them, so they are cut once."""
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i))
+    kept = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(left(lines), "\n")), F.lit(0))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
