@@ -10,7 +10,9 @@ Words are lower-cased runs of digits, letters and non-ASCII characters, as in de
 
 Defined cases: a null text is empty; a text without words has the empty fingerprint, whose likeness
 is 1 to another empty one and 0 to others; one to four words make one shingle. Rows with equal
-doc_id are ordered by text, null ids come last; extra columns are ignored.
+doc_id are ordered by a hash of the text, null ids come last; such rows are dealt to several tasks if
+they are many. Rows that are equal in both have copies of one guest after them. An empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import partitions
+from webstrata.llm.common import cut, partitions
 
 BINS, BITS = 512, 4
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -89,8 +92,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 @F.pandas_udf(T.DoubleType())
 def fingerprint_likeness(a, b):
     """Likeness of two fingerprint columns; null if either is null."""
-    import pandas as pd
-
     known = (a.notna() & b.notna()).to_numpy()
     sides = []
     for side in (a, b):
@@ -100,31 +101,64 @@ def fingerprint_likeness(a, b):
     return pd.Series(np.where(known, likeness(*sides), np.nan)).where(known, None)
 
 
+def _cuts(rows: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """Places where the order (doc_id, hash) is cut into about as many buckets as asked for.
+
+    First ids by quantile; then an id that has more than a bucket's share of the rows is cut by the hash.
+    The driver sees at most one id a bucket.
+    """
+    ids = rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
+    share = max(1, rows.count() // buckets)
+    often = cut(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * share)).collect()
+    cuts = {(int(c), -(1 << 63)) for c in ids}
+    for row in often:
+        parts = -(-row["n"] // share)
+        cuts |= {(row["doc_id"] if row["doc_id"] is not None else 1 << 63, -(1 << 63) + k * (1 << 64) // parts) for k in range(parts)}
+    ordered = sorted(cuts)
+    return [c[0] for c in ordered], [c[1] for c in ordered]
+
+
 def in_order(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows (bucket, guest, doc_id, text), dealt by ranges of doc_id and sorted.
 
     Each bucket ends with a guest: a copy of the row that follows its last one (for the last bucket
     the very first row). So every row has its successor beside it, and texts are shuffled once.
-    The driver sees at most one id for each bucket.
+    Buckets are found by an Arrow function over ids and hashes, and are dealt to partitions by number.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    cuts = rows.select("doc_id").where("doc_id is not null").approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.25 / buckets)
-    cuts = sorted({int(c) for c in cuts})
-    low = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(low, lambda c: c <= F.col("doc_id"))))
-    first = rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).orderBy("bucket").collect()
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    held = docs.sparkSession.sparkContext.broadcast(_cuts(rows.select("doc_id", "h"), buckets))
+
+    @F.pandas_udf(T.IntegerType())
+    def place(doc_id: pd.Series, h: pd.Series) -> pd.Series:
+        ids, hashes = (np.array(x, dtype=object) for x in held.value)
+        known = doc_id.notna().to_numpy()
+        own = np.where(known, doc_id.fillna(0).astype("int64"), 0).astype(np.int64)
+        plain = ids < (1 << 63)
+        n = int(plain.sum())
+        at = np.searchsorted(ids[:n].astype(np.int64), own, "left") if n else np.zeros(len(own), np.int64)
+        first = at.copy()
+        last = np.searchsorted(ids[:n].astype(np.int64), own, "right") if n else first
+        cut_hashes = hashes.astype(np.int64)
+        for k in np.flatnonzero(last > first):  # cuts within the row's own id
+            at[k] = first[k] + np.searchsorted(cut_hashes[first[k] : last[k]], h.iat[k], "right")
+        at[~known] = n + np.searchsorted(cut_hashes[n:], h.to_numpy()[~known], "right")
+        return pd.Series(at.astype(np.int32))
+
+    numbered = rows.withColumn("bucket", place("doc_id", "h"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    first = numbered.groupBy("bucket").agg(F.min(order).alias("head")).orderBy("bucket").collect()
     places = [r["bucket"] for r in first]
-    before = {places[k]: places[k - 1] for k in range(len(places))}
-    opens = F.lit(False)
-    seat = F.lit(None).cast("int")
-    if first:
-        lookup = F.create_map(*[x for r in first for x in (F.lit(r["bucket"]), F.lit(r["doc_id"]).cast("bigint"))])
-        seats = F.create_map(*[x for p in places for x in (F.lit(p), F.lit(before[p]))])
-        opens, seat = F.element_at(lookup, F.col("bucket")).eqNullSafe(F.col("doc_id")), F.element_at(seats, F.col("bucket"))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("guest"))
-    copies = F.when(opens, F.array(own, F.struct(seat.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    dealt = rows.withColumn("bucket", bucket).withColumn("at", F.explode(copies)).select("at.bucket", "at.guest", "doc_id", "text")
-    return dealt.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").asc_nulls_last(), "text")
+    total = len(places)
+    if not total:
+        return numbered.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
+    # buckets in use are numbered from 0, so that each is a partition of its own
+    seats = docs.sparkSession.createDataFrame([(p, k, (k - 1) % total, r["head"]["doc_id"], r["head"]["h"]) for k, (p, r) in enumerate(zip(places, first))], "bucket int, seat int, before int, head_id long, head_h long")
+    seated = numbered.join(F.broadcast(seats), "bucket")  # one row a bucket
+    opens = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
+    own = F.struct(F.col("seat").alias("bucket"), F.lit(False).alias("guest"))
+    copies = F.when(opens, F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    dealt = seated.withColumn("at", F.explode(copies)).select("at.bucket", "at.guest", "doc_id", "h", "text")
+    return dealt.repartitionById(total, "bucket").sortWithinPartitions("guest", F.col("doc_id").asc_nulls_last(), "h", "text").select("bucket", "guest", "doc_id", "text")
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +201,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
     The edited text ends with the first code points of the next document by doc_id instead of the
     document's own last quarter.
     """
-    return in_order(docs, 4 * partitions(docs.sparkSession)).mapInArrow(_compare_batches, ROWS)
+    return in_order(docs, partitions(docs.sparkSession)).mapInArrow(_compare_batches, ROWS)
 
 
 def op2_fingerprints(spark, sf_dir: str) -> DataFrame:
