@@ -11,30 +11,35 @@ table, so a declaration weighs as much as declarations have proved right. All th
 grouped aggregations, over all rows, of the language that the trigrams alone prefer; a row's own vote
 is taken out of its host's and suffix's counts.
 
-The trigram model is fitted on at most ``TRAIN_ROWS`` rows for each declared language, chosen by hash,
-for the ``LANGUAGES`` most declared languages. Trigrams are equally likely under one more candidate,
-``und``. A row is rejected if it has no letters, if ``und`` wins, or if the winner's posterior is under
-``SURE``.
-
-Defined cases: a null or empty text and one without letters are rejected with language ``und``; null
-declarations, hosts and suffixes are values of their own; repeated rows get equal results; whole
-texts are scored; extra columns are kept where rows are filtered.
+The trigram model is fitted on at most ``TRAIN_ROWS`` rows for each declared language, chosen by hash;
+every language that any row declares is a candidate. The floor under the counts of a language grows with
+its rows, so that one of few rows is not taken for an even mixture. Texts are scored against the
+languages in tiles of ``TILE``, one after the other, so a task holds the table of one tile only. Trigrams
+are equally likely under one more candidate, ``und``. A row is rejected if it has no letters, if ``und``
+wins, or if the winner's posterior is under ``SURE``.
+
+Defined cases: an empty table gives no rows; a null or empty text and one without letters are rejected
+with language ``und``; null declarations, hosts and suffixes are values of their own, declarations that
+are no language code (two or three letters) count as none; repeated rows get equal results; whole texts
+are scored; extra columns are kept where rows are filtered.
 """
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from webstrata.llm import kernels as K
 from webstrata.llm.common import join_sized, put_back, row_key, set_aside, stored
 
-TRAIN_ROWS, LANGUAGES, MIN_ROWS = 20_000, 64, 10
+TRAIN_ROWS, TILE = 20_000, 64
 GRAMS = 1 << 16
 PRIOR_ROWS, TEMPER, SURE, UNKNOWN = 20.0, 0.25, 0.7, 1e-3
 
@@ -70,56 +75,70 @@ def _grams(column: pa.Array) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
 
 @dataclass
 class Model:
-    """Log-probabilities (grams x languages) of the trigram model."""
+    """Log-probabilities (grams x languages) of the trigram model, in tiles of languages."""
 
     languages: list[str]
-    table: np.ndarray
+    tiles: list[np.ndarray]
 
 
 def fit(rows: DataFrame) -> Model:
-    """Fit the trigram model on a bounded, hashed sample of the rows with a declared language."""
+    """Fit the trigram model on a bounded, hashed sample of the rows of each declared language."""
     labelled = rows.where("declared is not null")
-    counts = labelled.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()
-    counts = [(r["declared"], r["n"]) for r in counts if r["n"] >= MIN_ROWS] or [(r["declared"], r["n"]) for r in counts]
-    if not counts:
-        return Model([], np.zeros((GRAMS, 0), np.float32))
-    share = F.create_map(*[x for name, n in counts for x in (F.lit(name), F.lit(min(1.0, TRAIN_ROWS / n)))])
-    sample = labelled.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.element_at(share, F.col("declared")) * (1 << 20)).select("declared", "text")
+    counts = [(r["declared"], r["n"]) for r in labelled.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).orderBy("declared").collect()]  # language codes: 18,000 at most
+    shares = rows.sparkSession.createDataFrame([(name, min(1.0, TRAIN_ROWS / n)) for name, n in counts], "declared string, share double")
+    sample = labelled.join(F.broadcast(shares), "declared").where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("declared", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for name, total in held.items():
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["declared", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             names = batch.column(0).to_pylist()
             for docs, code, first in _grams(batch.column(1)):
                 for k, doc in enumerate(docs):
+                    if names[doc] not in held and len(held) >= TILE:
+                        yield from emit()
                     total = held.setdefault(names[doc], np.zeros(GRAMS, np.int64))
                     total += np.bincount(code[first[k] : first[k + 1]], minlength=GRAMS)
-        for name, total in held.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(total[some])], names=["declared", "gram", "n"])
+        yield from emit()
 
-    found = sample.mapInArrow(count, "declared string, gram int, n bigint").groupBy("declared", "gram").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(name for name, _ in counts)
-    table = np.full((GRAMS, len(languages)), 0.5)
-    np.add.at(table, (found["gram"].to_numpy(), np.array([languages.index(x) for x in found["declared"]], int)), found["n"].to_numpy())
-    return Model(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    table = stored(sample.mapInArrow(count, "declared string, gram int, n bigint").groupBy("declared", "gram").agg(F.sum("n").alias("n")), "grams")
+    languages, tiles = [name for name, _ in counts], []
+    for lo in range(0, len(languages), TILE):
+        names = languages[lo : lo + TILE]
+        found = table.where(F.col("declared").between(names[0], names[-1])).toPandas()
+        tile = np.zeros((GRAMS, len(names)))
+        at = {name: k for k, name in enumerate(names)}
+        np.add.at(tile, (found["gram"].to_numpy(int), found["declared"].map(at).to_numpy(int)), found["n"].to_numpy())
+        tile += 0.5 * np.clip(tile.sum(axis=0) / GRAMS, 1e-3, 1)
+        tiles.append(np.log(tile / tile.sum(axis=0)).astype(np.float32))
+    return Model(languages, tiles)
 
 
 def scored(rows: DataFrame, model: Model) -> DataFrame:
     """Slim rows (row, declared, host, suffix, grams, likelihoods, vote); the text is left behind."""
-    held = rows.sparkSession.sparkContext.broadcast(model)
+    held = [rows.sparkSession.sparkContext.broadcast(tile) for tile in model.tiles]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value.table
         for batch in batches:
-            out, grams = np.zeros((batch.num_rows, table.shape[1])), np.zeros(batch.num_rows, np.int64)
-            for docs, code, first in _grams(batch.column(batch.num_columns - 1)):
-                n = np.diff(first)
-                grams[docs.start : docs.stop] = n
-                some = np.flatnonzero(n)
-                if len(some) and table.shape[1]:
-                    out[docs.start + some] = np.add.reduceat(table[code], first[some], axis=0, dtype=np.float64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * table.shape[1]), pa.array(out.reshape(-1)))
+            grams, parts = np.zeros(batch.num_rows, np.int64), []
+            for tile in held or [None]:
+                table = tile.value if tile is not None else np.zeros((GRAMS, 0), np.float32)
+                out = np.zeros((batch.num_rows, table.shape[1]))
+                for docs, code, first in _grams(batch.column(batch.num_columns - 1)):
+                    n = np.diff(first)
+                    grams[docs.start : docs.stop] = n
+                    some = np.flatnonzero(n)
+                    if len(some) and table.shape[1]:
+                        out[docs.start + some] = np.add.reduceat(table[code], first[some], axis=0, dtype=np.float64)
+                parts.append(out)
+            out = np.concatenate(parts, axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * out.shape[1]), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(grams), lists], names=[*batch.schema.names[:-1], "grams", "likelihoods"])
 
     names = [c for c in rows.columns if c != "text"]
@@ -129,9 +148,10 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _votes(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """For each key the votes for every language, as an array; summed before they are shuffled."""
-    sums = [F.sum(F.when(F.col("vote") == k, 1).otherwise(0)).cast("double") for k in range(n)]
-    return rows.groupBy(*keys).agg(F.array(*sums).alias("votes"))
+    """For each key the votes for every language, as an array; summed by vote before they meet."""
+    each = rows.groupBy(*keys, "vote").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = each.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("vote", "n"))).alias("by_vote"))
+    return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.coalesce(F.element_at("by_vote", k), F.lit(0.0))).alias("votes"))
 
 
 def _plus(a: F.Column, b: F.Column, weight: float) -> F.Column:
@@ -148,9 +168,10 @@ def identify(rows: DataFrame, model: Model | None = None) -> DataFrame:
     slim = stored(scored(rows, model).select("*", key("declared"), key("host"), key("suffix")), "scored")
     if not n:
         return slim.select(*[c for c in rows.columns if c != "text"], F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"))
-    own = F.array(*[F.when(F.col("vote") == k, 1.0).otherwise(0.0) for k in range(n)])
-    less = lambda a: F.zip_with(a, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    everywhere = slim.agg(F.array(*[F.sum(F.when(F.col("vote") == k, 1).otherwise(0)).cast("double") + 1.0 for k in range(n)])).first()[0]
+    less = lambda a: F.transform(a, lambda x, k: F.when(k == F.col("vote"), F.greatest(x - 1.0, F.lit(0.0))).otherwise(x))
+    everywhere = [1.0] * n
+    for r in slim.where("vote >= 0").groupBy("vote").agg(F.count(F.lit(1)).alias("n")).collect():  # one row a language
+        everywhere[r["vote"]] += r["n"]
     # how often a declaration goes with a vote: P(declared | language)
     said = stored(_votes(slim, ["_declared"], n).withColumn("said", F.zip_with("votes", F.array(*[F.lit(float(x)) for x in everywhere]), lambda x, y: F.log((x + 0.5) / (y + 1.0)))).drop("votes"), "said")
     suffix = stored(_votes(slim, ["_suffix"], n).withColumnRenamed("votes", "by_suffix"), "suffixes")
@@ -185,14 +206,22 @@ def document_rows(docs: DataFrame) -> DataFrame:
 def page_rows(pages: DataFrame) -> DataFrame:
     """Evidence of pages: the html element's lang, the url's host and the host's last label."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[A-Za-z0-9]+;", " ")
+    bare = _decoded(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " "))
     some = lambda c: F.when(c != "", c)
     declared = _primary(some(F.regexp_extract("html", r"""(?i)<html\b[^>]*\slang\s*=\s*["']?([A-Za-z]+)""", 1)))
     return pages.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("page_id").cast("bigint").alias("page_id"), row_key("page_id", "html").alias("row"), declared.alias("declared"), some(host).alias("host"), some(F.regexp_extract(host, r"([^.]+)$", 1)).alias("suffix"), bare.alias("text"))
 
 
 def _primary(code: F.Column) -> F.Column:
-    return F.lower(F.substring_index(F.substring_index(F.trim(code), "-", 1), "_", 1))
+    """The primary subtag of a language tag; null unless it has two or three letters."""
+    first = F.lower(F.substring_index(F.substring_index(F.trim(code), "-", 1), "_", 1))
+    return F.when(first.rlike("^[a-z]{2,3}$"), first)
+
+
+@F.pandas_udf(T.StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """Character references as the characters they stand for."""
+    return text.map(lambda x: html.unescape(x) if x and "&" in x else x)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
