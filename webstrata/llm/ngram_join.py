@@ -12,7 +12,9 @@
    each pair of blocks is a task of its own, so no component has to fit one task.
 5. Classes are the components of verified links.
 
-Defined cases: a null text is an empty text; equal texts are always in one class; texts of fewer than
+Joins on a band, a node or a class are salted where one of them has many rows.
+
+Defined cases: an empty table gives no rows; a null text is an empty text; equal texts are always in one class; texts of fewer than
 five words have one shingle of all words; texts without words have no shingle and link to nothing but
 their equals; differing rows may share a doc_id; extra columns are ignored.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import components, cut, join_sized, partitions, put_back, set_aside, stored, text_id
+from webstrata.llm.common import components, cut, join_salted, join_sized, partitions, put_back, set_aside, stored, text_id
 
 THRESHOLD, NGRAM, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
@@ -166,8 +168,8 @@ def nodes_and_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     texts = stored(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "texts")
 
     keyed = texts.select("node", F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    edges = keyed.join(buckets, "band").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    buckets = stored(keyed.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    edges = join_salted(keyed, buckets.drop("n"), ["band"], "inner", counts=buckets).where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     grouped = cut(components(edges))
 
     sized = grouped.join(texts.select(F.col("node"), "first", "shingles"), "node")
@@ -195,8 +197,8 @@ def nodes_and_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     # the order of classes and of their members: null ids come last, then by digest
     rank = lambda i: F.struct(F.col(i).isNull().alias("last"), F.col(i).alias("doc_id"), F.col("node"))
     own = texts.select("node", "first", "copies")
-    heads = own.join(links.select("node", "peer"), "node").groupBy("peer").agg(F.min(rank("first")).alias("head"))
-    linked = links.join(heads, "peer").select("node", "links", "head")
+    heads = cut(own.join(links.select("node", "peer"), "node").groupBy("peer").agg(F.min(rank("first")).alias("head"), F.count(F.lit(1)).alias("n")))
+    linked = join_salted(links, heads.drop("n"), ["peer"], "inner", counts=heads).select("node", "links", "head")
     nodes = own.join(linked, "node", "left").select("node", "first", "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("head", rank("first")).alias("head"))
     return signed.select("doc_id", "node"), nodes
 
@@ -205,7 +207,8 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     """One row a document: class_id (the smallest doc_id of its class), n_links (different texts of
     at least that similarity) and n_copies (rows with the same text, itself included)."""
     members, nodes = nodes_and_classes(docs, threshold, n, recall)
-    return members.join(nodes, "node").select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("links").alias("n_links"), F.col("copies").alias("n_copies"))
+    nodes = stored(nodes, "classes")
+    return join_salted(members, nodes, ["node"], "inner", counts=nodes.select("node", F.col("copies").alias("n"))).select("doc_id", F.col("head.doc_id").alias("class_id"), F.col("links").alias("n_links"), F.col("copies").alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM) -> DataFrame:
