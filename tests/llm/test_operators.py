@@ -375,15 +375,34 @@ def test_mixing(spark, rows):
         assert all(found[d].size == sizes[d] and math.isclose(found[d].target, goal) and found[d].taken in (0, sizes[d], 2 * sizes[d]) for d in of[s])
 
 
-def test_tilts_meet_the_constraint(spark):
-    import pandas as pd
+def test_many_sources_are_a_table(spark, monkeypatch):
+    """Targets and ranks of more sources than any bound on broadcasts here, against the short form."""
+    rng = random.Random(6)
+    data = [(k, f"s{rng.randrange(200):03d}" if k % 50 else None, rng.randrange(0, 60)) for k in range(3000)]
+    sizes = spark.createDataFrame(data, "doc_id long, source string, size long")
+    monkeypatch.setattr("webstrata.llm.common.BROADCAST_BYTES", 0)
+    found = {(r.sid, r.source): r for r in mixing.with_targets(mixing.ranked_sources(sizes)).collect()}
+    names = sorted({s for _, s, _ in data if s is not None}) + [None]
+    words = [sum(n for _, s, n in data if s == name) for name in names]
+    assert sorted(found, key=lambda k: k[0]) == list(enumerate(names))
+    for (sid, _), r in found.items():
+        assert r.words == words[sid] and math.isclose(r.target, mixing.targets(words)[sid], rel_tol=1e-12)
+    taken = Counter()
+    for r in mixing.with_copies(sizes).collect():
+        taken[r.source] += r["size"] * r.copies
+        assert 0 <= r.copies <= 2
+    for name, goal in zip(names, mixing.targets(words)):
+        assert abs(taken[name] - goal) <= 60
+
 
-    histogram = spark.createDataFrame([(0, 5, 10), (0, 50, 3), (1, 7, 4)], "sid int, size long, n long")
-    sources = pd.DataFrame({"words": [200, 28], "mean": [200 / 13, 7.0], "shortest": [5, 7], "target": [260.0, 9.0]})
-    lam = mixing.tilts(histogram, sources)
-    rate = lambda k, size: min(2.0, math.exp(lam[k] * size / sources["mean"][k]))
+def test_tilts_meet_the_constraint(spark):
+    histogram = spark.createDataFrame([(0, 5, 10), (0, 50, 3), (1, 7, 4), (2, 3, 5), (3, 9, 1)], "sid long, size long, n long")
+    sources = spark.createDataFrame([(0, 200, 13, 5, 260.0), (1, 28, 4, 7, 9.0), (2, 15, 5, 3, 30.0), (3, 9, 1, 9, 0.0)], "sid long, words long, full long, shortest long, target double")
+    dual = {r.sid: r for r in mixing.tilts(histogram, sources).collect()}
+    rate = lambda k, size: min(2.0, math.exp(dual[k].lam * size / dual[k].mean))
     assert math.isclose(10 * 5 * rate(0, 5) + 3 * 50 * rate(0, 50), 260, rel_tol=1e-5)
     assert math.isclose(28 * rate(1, 7), 9, rel_tol=1e-3)
+    assert dual[2].lam == mixing.FULL and dual[3].lam is None
 
 
 def test_license_inheritance(spark):
