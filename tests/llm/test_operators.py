@@ -444,6 +444,94 @@ def test_language_model(spark, rows):
     assert sum(r.score for r in kept) > sum(r.base_score for r in kept) and all(r.score <= 0 for r in kept)
 
 
+def word_model(texts, lex, weights):
+    """A function that scores texts by brute force, token by token, as the docstring of lm_scoring says."""
+    M, no_words = lm_scoring, [r"[^\x20\x09-\x0D]+"]
+    cut = lambda t: re.findall(no_words[0], (t or "").translate(LOWER))
+    docs = [cut(t) for t in texts]
+    counts = Counter(t for d in docs for t in d)
+    top = {t for t, _ in sorted(counts.items(), key=lambda x: -x[1])[: M.TOP]}
+
+    def kind(t):
+        import pyarrow as pa
+
+        return int(M.TOP + M._shapes(next(kernels.words(pa.array([t]), kernels.SOLID)))[0])
+
+    kinds = {t: kind(t) for t in counts}
+    words, tokens = Counter(), Counter()
+    for t, n in counts.items():
+        if t not in top:
+            words[kinds[t]] += 1
+            tokens[kinds[t]] += n
+
+    def context(d, i):
+        if i and d[i - 1] == d[i] or d[i] in top or d[i] not in counts:
+            return None
+        if i >= 1 and d[i - 1] not in top:
+            return d[i - 1], True, kinds[d[i]]
+        if i >= 2 and d[i - 2] not in top:
+            return d[i - 2], False, kinds[d[i]]
+        return None
+
+    uses, total = Counter(), Counter()
+    for d in docs:
+        for i in range(len(d)):
+            c = context(d, i)
+            if c:
+                uses[c, d[i]] += 1
+                total[c] += 1
+    share = Counter()
+    for (c, _), n in uses.items():
+        share[c] += (n - M.OFF) / total[c] if n >= M.LEAST else 0
+
+    def score(text):
+        d, out = cut(text), 0.0
+        for i, t in enumerate(d):
+            if (i and d[i - 1] == t) or t in top:
+                continue
+            k = kinds[t] if t in counts else kind(t)
+            own = (counts[t] + 1) / (tokens[k] + words[k] + 1)
+            c = context(d, i)
+            if c and uses[c, t] >= M.LEAST:
+                own = (uses[c, t] - M.OFF) / total[c]
+            elif c:
+                own *= 1 - share[c]
+            out += math.log10(own)
+        return out
+
+    return score
+
+
+def test_word_features_against_brute_force(spark, rows, documents):
+    import pyarrow as pa
+
+    docs = documents.select("doc_id", lm_scoring.is_held_out().alias("held_out"), "text")
+    _, lex, weights = lm_scoring.fitted(docs)
+    score = word_model([r.text for r in rows if zlib.crc32(str(r.doc_id).encode()) % 7 != 2], lex, weights)
+    found = {r.doc_id: r.score for r in lm_scoring.scores(documents).collect()}
+    table, some = weights.all_log10(), 0
+    for r in rows[:60]:
+        w = next(kernels.words(pa.array([r.text or ""]), kernels.SOLID, 1 << 30))
+        history, target, *_ = lm_scoring._events(w, lex)
+        classes = float(table[history * lm_scoring.CLASSES + target].astype(float).sum())
+        assert math.isclose(found[r.doc_id], classes + score(r.text), rel_tol=1e-6, abs_tol=1e-6)
+        some += 1
+    assert some == 60
+
+
+def test_word_features_grow_with_the_input_and_know_copies(spark, documents):
+    """Held-out texts whose words another text has in the same order gain, others hardly change."""
+    rng = random.Random(13)
+    pool = [f"{''.join(rng.choices('abcdefgh', k=6))}" for _ in range(400)]
+    text = lambda: " ".join(rng.choices(pool, k=80))
+    held = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    train = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    twins = [text() for _ in range(20)]
+    data = [(train[k], twins[k % 20]) for k in range(40)] + [(train[100 + k], text()) for k in range(300)] + [(held[k], twins[k]) for k in range(20)] + [(held[50 + k], text()) for k in range(20)]
+    found = {r.doc_id: r.score / r.n_tokens for r in lm_scoring.scores(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert min(found[held[k]] for k in range(20)) > max(found[held[50 + k]] for k in range(20)) + 0.5
+
+
 def test_model_sums_to_one():
     rng = np.random.default_rng(1)
     weights = lm_scoring.Weights(rng.normal(size=lm_scoring.Weights.empty().table.shape).astype(np.float32))
