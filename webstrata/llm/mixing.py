@@ -34,7 +34,7 @@ from webstrata.llm.common import cut, join_sized, put_back, set_aside, stored
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2
 #: Documents of one source and size that are ranked in one task.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 ROUNDS = 60
 #: The dual of sources of which every document is taken as often as allowed.
 FULL = 1e300
