@@ -161,3 +161,47 @@ def human_bytes(n: Column) -> Column:
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
         ladder = ladder.when(n < 1024 ** (power + 1), F.concat(F.round(n / 1024**power, 1).cast("string"), F.lit(unit)))
     return ladder.otherwise(F.concat(F.round(n / 1024**5, 1).cast("string"), F.lit("PiB")))
+
+
+def unparse_refresh(seconds: Column, url: Column) -> Column:
+    return F.concat(seconds.cast("string"), F.lit(";url="), url)
+
+
+def unparse_srcset(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda x: F.concat_ws(" ", x["url"], x["condition"])), ", ")
+
+
+def unparse_data_url(mime: Column, params: Column, data: Column) -> Column:
+    more = F.array_join(F.transform(params, lambda p: F.concat(F.lit(";"), p["k"], F.lit("="), p["v"])), "")
+    return F.concat(F.lit("data:"), mime, more, F.lit(";base64,"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))
+
+
+# Headers that a replay sends as they are, and rel words that only load ahead.
+VERBATIM = ["content-language", "content-security-policy", "content-security-policy-report-only", "default-style", "x-ua-compatible"]
+PRELOAD_RELS = ["dns-prefetch", "preconnect", "prefetch", "prerender", "preload", "modulepreload"]
+
+
+def replayed_headers(headers: Column, remap: Column) -> Column:
+    """Headers of a response as a replay sends them: array of (name, value).
+
+    Locations, refreshes and links point to what ``remap`` (a map of absolute addresses) gives for them
+    and go if it has nothing; links lose rel words that only load ahead; some headers stay as they are,
+    all others go.
+    """
+    name = lambda h: F.lower(h["name"])
+    text = lambda h: h["value"].cast("string")
+    at = lambda url: F.element_at(remap, F.trim(url))
+
+    def refreshed(h: Column) -> Column:
+        found = refresh_header(text(h))
+        return unparse_refresh(found["seconds"], at(found["url"]))
+
+    def linked(h: Column) -> Column:
+        rels = lambda p: F.array_join(F.filter(F.split(F.lower(p["v"]), r"\s+"), lambda r: ~r.isin(*PRELOAD_RELS)), " ")
+        less = lambda params: F.transform(params, lambda p: F.struct(p["k"].alias("k"), F.when(F.lower(p["k"]) == "rel", rels(p)).otherwise(p["v"]).alias("v")))
+        moved = F.transform(link_header(text(h)), lambda x: F.struct(at(x["url"]).alias("url"), less(x["params"]).alias("params")))
+        kept = F.filter(moved, lambda x: x["url"].isNotNull() & ~F.exists(x["params"], lambda p: (F.lower(p["k"]) == "rel") & (p["v"] == "")))
+        return F.when(F.size(kept) > 0, unparse_link_header(kept))
+
+    value = lambda h: F.when(name(h) == "location", at(text(h))).when(name(h).isin(*VERBATIM), text(h)).when(name(h) == "refresh", refreshed(h)).when(name(h) == "link", linked(h))
+    return F.filter(F.transform(headers, lambda h: F.struct(h["name"].alias("name"), value(h).alias("value"))), lambda h: h["value"].isNotNull())

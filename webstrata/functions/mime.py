@@ -21,14 +21,39 @@ CANONICAL = {
 
 # Type, kinds, file extensions.
 TYPES = [
-    ("application/gzip", "archive", ".gz .gzip"), ("application/ogg", "audio video", ".ogg"), ("application/pdf", "dyndoc", ".pdf"), ("application/postscript", "dyndoc", ".ps"),
-    ("application/rar", "archive", ".rar"), ("application/zip", "archive dyndoc", ".zip .epub .apk"), ("audio/aiff", "audio", ".aif .aiff .aifc"), ("audio/midi", "audio", ".mid .midi"),
-    ("audio/mpeg", "audio", ".mp3"), ("audio/wave", "audio", ".wav .pcm"), ("font/collection", "font", ".ttc"), ("font/otf", "font", ".otf .ttf"), ("font/ttf", "font", ".ttf .otf"),
-    ("font/woff", "font", ".woff"), ("font/woff2", "font", ".woff2"), ("image/bmp", "image", ".bmp"), ("image/gif", "image", ".gif"), ("image/jpeg", "image", ".jpg .jpeg"),
-    ("image/png", "image", ".png"), ("image/svg+xml", "image xml text", ".svg"), ("image/webp", "image", ".webp"), ("image/x-icon", "image", ".ico"), ("text/css", "css text", ".css .mcss"),
-    ("text/html", "html text", ".htm .html .xhtm .xhtml"), ("text/javascript", "javascript text", ".js .mjs"), ("text/json", "json text", ".json"), ("text/plain", "text", ".txt"),
-    ("text/vtt", "media text", ".vtt"), ("text/xml", "xml text", ".xml"), ("video/avi", "video", ".avi"), ("video/mp4", "video", ".mp4"), ("video/webm", "video", ".webm"),
-]
+    ("application/gzip", ["archive"], [".gz", ".gzip"]),
+    ("application/ogg", ["audio", "video"], [".ogg"]),
+    ("application/pdf", ["dyndoc"], [".pdf"]),
+    ("application/postscript", ["dyndoc"], [".ps"]),
+    ("application/rar", ["archive"], [".rar"]),
+    ("application/zip", ["archive", "dyndoc"], [".zip", ".epub", ".apk"]),
+    ("audio/aiff", ["audio"], [".aif", ".aiff", ".aifc"]),
+    ("audio/midi", ["audio"], [".mid", ".midi"]),
+    ("audio/mpeg", ["audio"], [".mp3"]),
+    ("audio/wave", ["audio"], [".wav", ".pcm"]),
+    ("font/collection", ["font"], [".ttc"]),
+    ("font/otf", ["font"], [".otf", ".ttf"]),
+    ("font/ttf", ["font"], [".ttf", ".otf"]),
+    ("font/woff", ["font"], [".woff"]),
+    ("font/woff2", ["font"], [".woff2"]),
+    ("image/bmp", ["image"], [".bmp"]),
+    ("image/gif", ["image"], [".gif"]),
+    ("image/jpeg", ["image"], [".jpg", ".jpeg"]),
+    ("image/png", ["image"], [".png"]),
+    ("image/svg+xml", ["image", "xml", "text"], [".svg"]),
+    ("image/webp", ["image"], [".webp"]),
+    ("image/x-icon", ["image"], [".ico"]),
+    ("text/css", ["css", "text"], [".css", ".mcss"]),
+    ("text/html", ["html", "text"], [".htm", ".html", ".xhtm", ".xhtml"]),
+    ("text/javascript", ["javascript", "text"], [".js", ".mjs"]),
+    ("text/json", ["json", "text"], [".json"]),
+    ("text/plain", ["text"], [".txt"]),
+    ("text/vtt", ["media", "text"], [".vtt"]),
+    ("text/xml", ["xml", "text"], [".xml"]),
+    ("video/avi", ["video"], [".avi"]),
+    ("video/mp4", ["video"], [".mp4"]),
+    ("video/webm", ["video"], [".webm"]),
+]
 
 # Type, offset, magic bytes in hex; first the certain ones, then the less certain.
 MAGIC = [
@@ -41,7 +66,10 @@ MAGIC = [
 ]
 
 # Tags that open an HTML document.
-HTML_TAGS = "!doctype\\shtml html head meta link title body frameset frame iframe style font script header nav article section footer table thead tbody tfoot th tr td h1 h2 h3 h4 h5 div p span b strong i em strike br a"
+HTML_TAGS = [
+    "!doctype\\shtml", "html", "head", "meta", "link", "title", "body", "frameset", "frame", "iframe", "style", "font", "script", "header", "nav", "article", "section", "footer",
+    "table", "thead", "tbody", "tfoot", "th", "tr", "td", "h1", "h2", "h3", "h4", "h5", "div", "p", "span", "b", "strong", "i", "em", "strike", "br", "a",
+]
 _LEAD = r"(?is)^[﻿\s]*"
 _PROLOG = _LEAD + r"(?:<\?xml(?:\s[^>]*)?>\s*)?(?:<!--.*?-->\s*)*"
 
@@ -53,16 +81,16 @@ def canonical(mime: Column) -> Column:
 
 def dimension(spark: SparkSession) -> DataFrame:
     """mime, kinds, extensions: a fixed, small table."""
-    return spark.createDataFrame([(m, k.split(), e.split()) for m, k, e in TYPES], "mime string, kinds array<string>, extensions array<string>")
+    return spark.createDataFrame(TYPES, "mime string, kinds array<string>, extensions array<string>")
 
 
 def extensions_of(mime: Column) -> Column:
-    table = F.create_map(*[x for m, _, e in TYPES for x in (F.lit(m), F.array(*[F.lit(v) for v in e.split()]))])
+    table = F.create_map(*[x for m, _, e in TYPES for x in (F.lit(m), F.array(*[F.lit(v) for v in e]))])
     return F.coalesce(F.element_at(table, mime), F.array().cast("array<string>"))
 
 
 def kinds_of(mime: Column) -> Column:
-    table = F.create_map(*[x for m, k, _ in TYPES for x in (F.lit(m), F.array(*[F.lit(v) for v in k.split()]))])
+    table = F.create_map(*[x for m, k, _ in TYPES for x in (F.lit(m), F.array(*[F.lit(v) for v in k]))])
     return F.coalesce(F.element_at(table, mime), F.array(F.lit("unknown")))
 
 
@@ -79,7 +107,7 @@ def sniff(data: Column) -> Column:
     text = F.when(head == "EFBBBF", F.substring(F.decode(data, "ISO-8859-1"), 4, 1 << 30)).otherwise(text)
     marked = head.startswith("FFFE") | head.startswith("FEFF") | (head == "EFBBBF")
     out = out.when(~marked & (F.instr(F.decode(data, "ISO-8859-1"), "\u0000") > 0), "application/octet-stream")
-    out = out.when(text.rlike(_PROLOG + "<(?:" + "|".join(HTML_TAGS.split()) + r")(?:\s[^>]*)?>"), "text/html")
+    out = out.when(text.rlike(_PROLOG + "<(?:" + "|".join(HTML_TAGS) + r")(?:\s[^>]*)?>"), "text/html")
     out = out.when(text.rlike(_PROLOG + r"<svg(?:\s[^>]*)?>"), "image/svg+xml").when(text.rlike(_LEAD + r"<\?xml(?:\s[^>]*)?>"), "text/xml")
     return F.when(data.isNotNull(), out.otherwise("text/plain"))
 
@@ -106,3 +134,38 @@ def censor(body: Column, kinds: Column, banned: list[str], note: bool = True) ->
     """Blank documents of banned kinds, with a comment in their place if ``note``."""
     hit = F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in banned]))
     return F.when(hit, F.when(F.lit(note) & F.array_contains(kinds, "text"), F.concat(F.lit("/* censored out "), F.array_join(kinds, ", "), F.lit(" */"))).otherwise("")).otherwise(body)
+
+
+# Declarations that say nothing, as servers send them for any file.
+VAGUE_HEADERS = ["text/plain", "text/plain; charset=ISO-8859-1", "text/plain; charset=iso-8859-1", "text/plain; charset=UTF-8"]
+
+
+def normalize(header: Column) -> Column:
+    """(kinds, mime, charset, extensions) of a Content-Type header; kinds are null where content has to tell."""
+    from webstrata.functions import http
+
+    parsed = http.content_type(header)
+    own = canonical(parsed["mime"])
+    vague = header.isin(*VAGUE_HEADERS)
+    mime = F.when(vague, parsed["mime"]).otherwise(own)
+    known = F.array(*[F.lit(m) for m, *_ in TYPES])
+    like = F.when(F.array_contains(known, own), own).when(own.endswith("+zip"), "application/zip").when(own.endswith("+xml"), "text/xml").when(own.endswith("+json"), "text/json")
+    family = F.when(own.startswith("image/"), "image").when(own.startswith("audio/"), "audio").when(own.startswith("video/"), "video").when(own.startswith("font/") | own.startswith("application/font-"), "font")
+    none = F.array().cast("array<string>")
+    exact = F.array_contains(known, own)
+    kinds = F.when(vague, F.lit(None)).when(exact, kinds_of(own)).when(own == "application/octet-stream", F.array(F.lit("unknown"))).when(family.isNotNull(), F.array(family)).when(like.isNotNull(), kinds_of(like))
+    charset = http.parameter(parsed["params"], "charset")
+    extensions = F.when(vague, none).when(exact, extensions_of(own)).when(family.isNotNull(), none).when(like.isNotNull(), extensions_of(like)).otherwise(none)
+    return F.struct(kinds.alias("kinds"), mime.alias("mime"), F.when(vague | (own != "application/octet-stream"), charset).alias("charset"), extensions.alias("extensions"))
+
+
+def may_sniff(headers: Column) -> Column:
+    """Whether a response's content may tell its type: unless a header forbids it."""
+    from webstrata.functions import http
+
+    return F.coalesce(F.lower(F.trim(http.header_value(headers, "x-content-type-options"))) != "nosniff", F.lit(True))
+
+
+def expected(possible: Column, wanted: Column) -> Column:
+    """Of the types that a link expects those that a document may be, in their order."""
+    return F.filter(wanted, lambda m: F.array_contains(possible, m))

@@ -84,7 +84,8 @@ def match(ours: DataFrame, theirs: DataFrame, on: list[str], window_ms: int = 60
     Both sides have an id, at_ms and headers, and agree on the keys ``on``. Candidates are at most
     ``window_ms`` apart, found by time slots, so a busy key is spread over its slots. Of candidates the
     best header score wins, then the nearest in time. Where two want the same record the earlier
-    wins and the other takes its next choice: resolved per key in order of arrival.
+    wins and the other takes its next choice: resolved in order of arrival within each run of candidates
+    of a key that are near each other in time.
     """
     slot = lambda t: F.floor(t / window_ms)
     a = ours.select(*on, F.col("id").alias("our_id"), F.col("at_ms").alias("our_ms"), F.col("headers").alias("our_headers"), F.explode(F.array(slot(F.col("at_ms")) - 1, slot(F.col("at_ms")), slot(F.col("at_ms")) + 1)).alias("slot"))
@@ -92,6 +93,11 @@ def match(ours: DataFrame, theirs: DataFrame, on: list[str], window_ms: int = 60
     pairs = a.join(b, [*on, "slot"]).where(F.abs(F.col("our_ms") - F.col("their_ms")) <= window_ms)
     scored = pairs.select(*on, "their_id", "our_id", "their_ms", header_score(F.col("our_headers"), F.col("their_headers")).alias("score"), F.abs(F.col("our_ms") - F.col("their_ms")).alias("gap"))
 
+    # candidates of one key that are apart in time by more than the window do not compete: such runs are groups of their own
+    order = Window.partitionBy(*on).orderBy("their_ms", "their_id")
+    opens = F.when(F.col("their_ms") - F.lag("their_ms").over(order) <= 2 * window_ms, 0).otherwise(1)
+    scored = scored.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
+
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         for _, one in pdf.sort_values(["their_ms", "their_id"]).groupby("their_id", sort=False):
@@ -102,7 +108,7 @@ def match(ours: DataFrame, theirs: DataFrame, on: list[str], window_ms: int = 60
                     break
         return pd.DataFrame(out, columns=["their_id", "our_id", "score"])
 
-    return scored.groupBy(*on).applyInPandas(choose, "their_id long, our_id long, score int")
+    return scored.groupBy(*on, "_run").applyInPandas(choose, "their_id long, our_id long, score int")
 
 
 def merged_headers(ours: Column, theirs: Column) -> Column:
@@ -147,9 +153,9 @@ def last_rows(df: DataFrame, n: int, seq: str = "seq", key: str | None = None) -
 
 
 def first_and_rest(df: DataFrame, wanted: Column, n: int, seq: str = "seq") -> DataFrame:
-    """Add ``popped``: the first n rows that are wanted, against the rest."""
-    popped = df.where(wanted).orderBy(seq).limit(n).select(seq, F.lit(True).alias("popped"))
-    return df.join(F.broadcast(popped), seq, "left").withColumn("popped", F.coalesce("popped", F.lit(False)))
+    """Add ``popped``: the first n rows that are wanted, against the rest; ``seq`` tells rows apart."""
+    last = df.where(wanted).select(seq).orderBy(seq).limit(n).agg(F.max(seq).alias("_last"))  # one row
+    return df.join(F.broadcast(last)).withColumn("popped", F.coalesce(wanted & (F.col(seq) <= F.col("_last")), F.lit(False))).drop("_last")
 
 
 def rotated(df: DataFrame, moved: Column, seq: str = "seq") -> DataFrame:
@@ -168,7 +174,7 @@ def recent_groups(df: DataFrame, n: int = 3, width: int = 80, seq: str = "seq")
     ranked = latest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last"))))  # n + 1 rows
     stop = ranked.where(F.col("rank") == n + 1).select(F.col("last").alias("stop"))
     top = ranked.where(F.col("rank") <= n)
-    counted = rows.join(F.broadcast(top), "kind").crossJoin(F.broadcast(stop.agg(F.max("stop").alias("stop")))).where(F.col("seq") > F.coalesce("stop", F.lit(-1)))
+    counted = rows.join(F.broadcast(top) if n <= 1000 else top, "kind").crossJoin(F.broadcast(stop.agg(F.max("stop").alias("stop")))).where(F.col("seq") > F.coalesce("stop", F.lit(-1)))
     label = F.concat(F.col("n").cast("string"), F.lit("x "), F.when(F.length("kind") < width, F.col("kind")).otherwise(F.concat(F.left("kind", F.lit(width)), F.lit("…"))))
     return counted.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")).select(label.alias("label"), "n", "last").orderBy("last")
 
@@ -190,3 +196,34 @@ def store_moves(before: DataFrame, after: DataFrame, key: str = "id") -> DataFra
     both = a.join(b, key, "full")
     had, want = F.coalesce("had", F.lit(0)), F.coalesce("want", F.lit(0))
     return both.select(key, had.alias("had"), want.alias("want"), F.when(want > had, "do").when(want < had, "undo").otherwise("keep").alias("move"))
+
+
+def distinct_where(df: DataFrame, wanted: Column, *keys: str) -> DataFrame:
+    """Different keys of the rows that are wanted."""
+    return df.where(wanted).select(*keys).distinct()
+
+
+def totals(df: DataFrame, key: str) -> DataFrame:
+    """Rows and different keys of a log."""
+    return df.agg(F.count(F.lit(1)).alias("visits_total"), F.count_distinct(key).alias("urls"))
+
+
+def form_body(form: Column) -> Column:
+    """The urlencoded body of a form (array of name, value), as a browser sends it."""
+    from webstrata.functions.urls import quote
+
+    return F.array_join(F.transform(form, lambda x: F.concat(quote(x["name"], "", plus=True), F.lit("="), quote(x["value"], "", plus=True))), "&")
+
+
+def multipart_body(form: Column, boundary: Column) -> Column:
+    """The multipart body of a form (array of name, value)."""
+    one = lambda x: F.concat(F.lit("--"), boundary, F.lit('\r\nContent-Disposition: form-data; name="'), F.replace(x["name"], F.lit('"'), F.lit("%22")), F.lit('"\r\n\r\n'), x["value"], F.lit("\r\n"))
+    return F.concat(F.array_join(F.transform(form, one), ""), F.lit("--"), boundary, F.lit("--\r\n"))
+
+
+def release(df: DataFrame, commands: DataFrame, key: str = "id") -> DataFrame:
+    """Rows in limbo by the last command (``collect`` or ``discard``) for them: add ``fate``, which is
+    ``held`` without one and ``collected`` for rows that are not in limbo."""
+    last = commands.groupBy(key).agg(F.max_by("command", "seq").alias("_command"))
+    fate = F.when(~F.col("in_limbo"), "collected").when(F.col("_command") == "collect", "collected").when(F.col("_command") == "discard", "discarded").otherwise("held")
+    return df.join(last, key, "left").withColumn("fate", fate).drop("_command")

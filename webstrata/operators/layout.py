@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.functions import expressions as X
-from webstrata.functions import urls
+from webstrata.functions import pipes, urls
 
 
 def day(prefix: str = "s") -> Column:
@@ -45,12 +45,16 @@ def _flat() -> Column:
 _TAILS = {"m": lambda: F.col("method"), "h": url_tag, "s": lambda: F.col("status"), "t": moment}
 
 
-def template(alias: str) -> Column:
+def template(alias: str, df: DataFrame | None = None) -> Column:
     """The path of a named layout, without its number: ``{num}`` stands where the number goes.
 
+    ``format:`` and a text gives a layout of one's own, compiled over the columns of ``df``.
+
     Names are built from letters: s scheme, (r)h (reversed) host, u path, p q path and query, n
     normalised; after the underscore m method, h URL digest, s status, t time, n number.
     """
+    if alias.startswith("format:"):
+        return pipes.compile_template(df, alias.removeprefix("format:"))
     number = F.lit("{num}")
     if alias == "default":
         return F.concat(day(), F.lit("/"), clock(), F.lit("_"), F.col("qtime_ms").cast("string"), F.lit("_"), F.col("method"), F.lit("_"), url_tag(), F.lit("_"), F.col("status"), F.lit("_"), F.col("hostname"), F.lit("_"), number)
@@ -126,22 +130,36 @@ def content_path(digest: Column, extension: Column) -> Column:
 
 
 def content_store(df: DataFrame, content: str = "content", extension: str = "extension") -> DataFrame:
-    """One row for each distinct document, with its path and the number of rows that share it."""
-    digest = F.sha2(F.col(content), 256)
-    return df.withColumn("sha256", digest).groupBy("sha256").agg(F.count(F.lit(1)).alias("uses"), F.min(extension).alias("extension"), F.first(content).alias(content)).withColumn("path", content_path(F.col("sha256"), F.col("extension")))
+    """One row for each distinct document, with its path and the number of rows that share it.
+
+    Only digests are aggregated; the documents themselves are fetched from one row of each.
+    """
+    rows = df.withColumn("sha256", F.sha2(F.col(content), 256))
+    slim = rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("uses"), F.min(extension).alias("extension"))
+    return slim.withColumn("path", content_path(F.col("sha256"), F.col("extension")))
+
+
+def with_content(stored: DataFrame, df: DataFrame, content: str = "content") -> DataFrame:
+    """Add each stored document's bytes, from one of the rows that have it."""
+    rows = df.select(F.sha2(F.col(content), 256).alias("sha256"), F.col(content).alias("content"))
+    return stored.join(rows.dropDuplicates(["sha256"]), "sha256")
 
 
 def request_id(method: Column, net_url: Column, body: Column) -> Column:
     return F.concat_ws(" ", method, net_url, F.sha2(F.coalesce(body, F.lit("").cast("binary")), 256))
 
 
+#: Numbers of arrival that are packed into bundles by one task.
+LANE = 100_000
+
+
 def bundles(rows: DataFrame, max_size: int, bucket: str = "bucket", seq: str = "seq", size: str = "size", lane: Column | None = None) -> DataFrame:
     """Number the export bundle of every row: a bundle is closed before it would pass ``max_size``.
 
-    The packing is in order of arrival, so a bucket is read by one task, but only its sizes are, and
-    ``lane`` (for example a day or a hash) splits buckets that are too long for one.
+    The packing is in order of arrival, within lanes of a bucket: by default ``LANE`` numbers of ``seq``,
+    so that no bucket has to fit one task. Only sizes are packed. A lane's last bundle may be small.
     """
-    slim = rows.select(F.col(bucket).alias("bucket"), (lane if lane is not None else F.lit(0)).cast("long").alias("lane"), F.col(seq).alias("seq"), F.col(size).cast("long").alias("size"))
+    slim = rows.select(F.col(bucket).alias("bucket"), (lane if lane is not None else F.floor(F.col(seq) / LANE)).cast("long").alias("lane"), F.col(seq).alias("seq"), F.col(size).cast("long").alias("size"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -156,3 +174,39 @@ def bundles(rows: DataFrame, max_size: int, bucket: str = "bucket", seq: str = "
         return pdf.assign(bundle=out)
 
     return slim.groupBy("bucket", "lane").applyInPandas(pack, "bucket string, lane long, seq long, size long, bundle long")
+
+
+def carry_out(plan_: DataFrame, content: str, target: str) -> DataFrame:
+    """Write the documents of a plan (path, action, content) below the folder ``target``.
+
+    Rows to ``write`` or ``replace`` are written by the tasks that hold them, to a name of their own
+    first and then moved in one step, so a task that is run again does no harm; others are left. Returns
+    path, action and ``done``. Paths must stay below the folder. ``target`` is a folder that all
+    executors share.
+    """
+    import os
+    from collections.abc import Iterator
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for path, action, data in zip(batch["path"], batch["action"], batch["content"]):
+                place = os.path.normpath(os.path.join(target, path))
+                if not place.startswith(os.path.normpath(target) + os.sep):
+                    raise ValueError(f"{path} is not below {target}")
+                if action in ("write", "replace"):
+                    os.makedirs(os.path.dirname(place), exist_ok=True)
+                    part = f"{place}.{os.getpid()}.part"
+                    with open(part, "wb") as file:
+                        file.write(data)
+                    os.replace(part, place)
+                done.append(action in ("write", "replace"))
+            yield batch[["path", "action"]].assign(done=done)
+
+    return plan_.select("path", "action", F.col(content).cast("binary").alias("content")).mapInPandas(write, "path string, action string, done boolean")
+
+
+def landing_path(bucket: Column, epoch: Column, server: Column, number: Column) -> Column:
+    """Where a submitted dump lands: bucket, day, and a name of second, server and number within it."""
+    at = F.timestamp_seconds(epoch)
+    return F.concat(bucket, F.lit("/"), F.date_format(at, "yyyy/MM/dd"), F.lit("/"), epoch.cast("string"), F.lit("_"), server.cast("string"), F.lit("_"), number.cast("string"), F.lit(".wrr"))

@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import http, urls
-from webstrata.operators.versions import distance
+from webstrata.operators.versions import nearest_join
+from webstrata.plans.runtime import cut
 
 PAGES, IMAGES, SCRIPTS, STYLES = "text/html", "image/png", "text/javascript", "text/css"
 MEDIA, TRACKS, ANY = "video/mp4", "text/vtt", "application/octet-stream"
+SOUND = "audio/mpeg"
 
 # Element, attribute, kind of link, expected type.
 ATTRIBUTES = [
     ("a", "href", "jump", PAGES), ("area", "href", "jump", PAGES), ("blockquote", "cite", "jump", PAGES), ("del", "cite", "jump", PAGES), ("ins", "cite", "jump", PAGES),
     ("object", "data", "jump", PAGES), ("q", "cite", "jump", PAGES), ("a", "ping", "action", PAGES), ("area", "ping", "action", PAGES), ("button", "formaction", "action", PAGES),
-    ("form", "action", "action", PAGES), ("input", "formaction", "action", PAGES), ("audio", "src", "requisite", MEDIA), ("embed", "src", "requisite", ANY),
+    ("form", "action", "action", PAGES), ("input", "formaction", "action", PAGES), ("audio", "src", "requisite", SOUND), ("embed", "src", "requisite", ANY),
     ("frame", "src", "requisite", PAGES), ("iframe", "src", "requisite", PAGES), ("img", "src", "requisite", IMAGES), ("input", "src", "requisite", IMAGES),
     ("script", "src", "requisite", SCRIPTS), ("source", "src", "requisite", MEDIA), ("track", "src", "requisite", TRACKS), ("video", "poster", "requisite", IMAGES), ("video", "src", "requisite", MEDIA),
 ]
@@ -47,6 +49,12 @@ def _tags(html: Column) -> Column:
     return F.regexp_extract_all(bare, F.lit(r"""(<[A-Za-z](?:"[^"]*"|'[^']*'|[^'">])*>)"""), F.lit(1))
 
 
+def only_preloads(rel: Column) -> Column:
+    """Whether a link element does no more than load something ahead."""
+    words = F.filter(F.split(F.lower(F.trim(rel)), r"\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*PRELOAD_RELS))
+
+
 def rel_kind(rel: Column) -> Column:
     """(kind, type) of a link element: any requisite word makes it a requisite."""
     words = F.split(F.lower(F.trim(rel)), r"\s+")
@@ -86,22 +94,22 @@ def chase(links: DataFrame, visits: DataFrame, max_hops: int = 8) -> DataFrame:
     a target is not archived, is in a cycle, or needs more hops.
 
     ``links`` has link_id, target and page_time; ``visits`` net_url, code, location (absolute), stime
-    and seq. Every hop is one join on the URL and one partial aggregate; rows that have ended take no
-    further part.
+    and seq. Links that ask for the same page at the same time are followed once; every hop is one
+    nearest-in-time join, checkpointed, and what has ended takes no further part.
     """
-    open_ = links.select("link_id", "target", "page_time", F.col("target").alias("at"), F.array("target").alias("seen"))
-    done = None
-    order = F.struct(distance(F.col("page_time"), F.col("stime")), F.col("stime"), F.col("seq"))
+    asked = links.select("target", "page_time").distinct()
+    open_, done = asked.select("target", "page_time", F.col("target").alias("net_url"), F.array("target").alias("seen")), None
     for hop in range(max_hops + 1):
-        near = open_.join(visits, open_["at"] == visits["net_url"], "left").groupBy("link_id", "target", "page_time", "at", "seen").agg(F.min_by(F.struct("code", "location"), F.when(F.col("code").isNotNull(), order)).alias("hit"))
-        moved = F.col("hit.code").isin(*http.REDIRECT_CODES) & F.col("hit.location").isNotNull()
-        ends = near.where(F.col("hit").isNull() | ~F.coalesce(moved, F.lit(False))).select("link_id", "target", F.when(F.col("hit").isNotNull(), F.col("at")).alias("final"), F.lit(hop).alias("hops"))
-        stuck = near.where(moved & (F.array_contains("seen", F.col("hit.location")) | F.lit(hop == max_hops))).select("link_id", "target", F.lit(None).cast("string").alias("final"), F.lit(hop).alias("hops"))
-        done = ends.unionByName(stuck) if done is None else done.unionByName(ends).unionByName(stuck)
-        if hop == max_hops:
-            return done
-        open_ = near.where(moved & ~F.array_contains("seen", F.col("hit.location"))).select("link_id", "target", "page_time", F.col("hit.location").alias("at"), F.concat("seen", F.array("hit.location")).alias("seen"))
-    return done
+        near = cut(nearest_join(open_, visits, ["net_url"], "page_time", "stime", "seq", "target", how="left"))
+        moved = F.coalesce(F.col("match.code").isin(*http.REDIRECT_CODES) & F.col("match.location").isNotNull(), F.lit(False))
+        again = F.array_contains("seen", F.col("match.location")) | F.lit(hop == max_hops)
+        ends = near.where(~moved | again).select("target", "page_time", F.when(~moved & F.col("match").isNotNull(), F.col("net_url")).alias("final"), F.lit(hop).alias("hops"))
+        done = ends if done is None else done.unionByName(ends)
+        open_ = near.where(moved & ~again).select("target", "page_time", F.col("match.location").alias("net_url"), F.concat("seen", F.array("match.location")).alias("seen"))
+        if hop == max_hops or open_.isEmpty():
+            break
+    same = (links["target"] == done["target"]) & links["page_time"].eqNullSafe(done["page_time"])
+    return links.join(done, same).select("link_id", links["target"], "final", "hops")
 
 
 def within(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -131,8 +139,53 @@ def within(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def _step(frontier: DataFrame, edges: DataFrame, seen: DataFrame, level: int) -> DataFrame | None:
     """New pages one link away, checkpointed so that plans stay short; None if there are none."""
-    from webstrata.plans.runtime import cut
-
     more = frontier.select("url").join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
     more = cut(more.withColumn("depth", F.lit(level)))
     return None if more.isEmpty() else more
+
+
+# The addresses of links that lead nowhere.
+VOID_REQUISITE, VOID_LINK = "data:text/plain,%20", "javascript:void(0)"
+
+
+def resolved(found: DataFrame, index: DataFrame, net: str = "net_url") -> DataFrame:
+    """Links of ``extract`` with ``archived``: whether the index (a row for each URL) has their target."""
+    known = index.select(F.col(net).alias("target")).distinct().withColumn("archived", F.lit(True))
+    return found.join(known, "target", "left").withColumn("archived", F.coalesce("archived", F.lit(False)))
+
+
+def relative(source: Column, target: Column) -> Column:
+    """The address of the file ``target`` from within the file ``source``, both below one folder; ? is escaped."""
+    a, b = F.slice(F.split(source, "/"), 1, F.size(F.split(source, "/")) - 1), F.split(target, "/")
+    at = F.sequence(F.lit(0), F.least(F.size(a), F.size(b) - 1))
+    same = F.array_max(F.filter(at, lambda n: F.slice(a, 1, n) == F.slice(b, 1, n)))
+    ups = F.array_repeat(F.lit(".."), F.size(a) - same)
+    return F.replace(F.array_join(F.concat(ups, F.slice(b, same + 1, F.size(b))), "/"), F.lit("?"), F.lit("%3F"))
+
+
+def remaps(found: DataFrame, paths: DataFrame, own: str = "path", fallback: Column | None = None, absolute: str | None = None) -> DataFrame:
+    """``remap`` of every page: the map of link targets to the files that take their place.
+
+    ``found`` has the page's own path as ``own`` and ``target``; ``paths`` net_url and path of all saved
+    documents. ``fallback`` is a path for targets that were not saved, as a column of ``found`` and is
+    used where it is not null; with ``absolute`` all addresses begin with that prefix.
+    """
+    joined = found.join(paths.select(F.col("net_url").alias("target"), F.col("path").alias("_to")), "target", "left")
+    to = F.coalesce("_to", fallback) if fallback is not None else F.col("_to")
+    place = F.concat(F.lit(absolute), F.replace(to, F.lit("?"), F.lit("%3F"))) if absolute is not None else relative(F.col(own), to)
+    pairs = joined.where(F.col("target").isNotNull() & to.isNotNull()).select(own, "target", place.alias("place")).distinct()
+    return pairs.groupBy(own).agg(F.map_from_entries(F.collect_list(F.struct("target", "place"))).alias("remap"))
+
+
+def mirror(pages: DataFrame, found: DataFrame, paths: DataFrame, options: str = "defaults", absolute: str | None = None) -> DataFrame:
+    """path, content and sha256 of every page (url, html, path) with its links pointing to saved files.
+
+    ``found`` are the pages' links with the page's path; all lookups are joins, so rendering is one pass
+    over the pages, each on its own.
+    """
+    from webstrata.functions import scrub
+
+    run = scrub.scrubbed("html", options)
+    joined = pages.join(remaps(found, paths, absolute=absolute), "path", "left")
+    out = joined.select("path", run("html", "url", "remap").alias("content"))
+    return out.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))

@@ -1,7 +1,9 @@
 """Versions of a URL in time: keep one of each, nearest-in-time joins, ranges, and replay lookups.
 
 Ties: of two visits equally near the earlier one wins, then the one with the smaller ``seq`` column.
-All of these aggregate before they shuffle (min_by / max_by); none sorts a URL's visits in one task.
+Keeping one of each aggregates before it shuffles (min_by / max_by). The nearest-in-time joins lay both
+sides out along time and look one row back and one ahead, so no pairs of a key are made; a key with many
+rows is cut into slots of time, and slots pass their edges on.
 """
 
 from __future__ import annotations
@@ -9,10 +11,11 @@ from __future__ import annotations
 import fnmatch
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.functions import http
+from webstrata.plans import runtime
 
 
 def _others(df: DataFrame, *keys: str) -> Column:
@@ -50,24 +53,66 @@ def distance(a: Column, b: Column) -> Column:
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, right_seq: str, left_id: str, allowed: Column | None = None, how: str = "inner") -> DataFrame:
     """As-of join in both directions: each left row with the nearest right row of its key.
 
-    ``allowed`` filters right rows before the join. Per left row only the best match so far is kept
-    (a partial aggregate), columns of the match come as the struct ``match``.
+    ``allowed`` filters right rows before the join. Columns of the match come as the struct ``match``,
+    null for left rows without one (``how="left"``) .
     """
     usable = right if allowed is None else right.where(allowed)
-    match = usable.select(*on, F.struct(*[c for c in usable.columns if c not in on]).alias("match"))
-    order = F.struct(distance(F.col(left_time), F.col(f"match.{right_time}")), F.col(f"match.{right_time}"), F.col(f"match.{right_seq}"))
-    joined = left.join(match, on, how)
-    names = [c for c in left.columns if c != left_id]
-    return joined.groupBy(left_id).agg(F.first(F.struct(*names)).alias("_left"), F.min_by("match", order).alias("match")).select(left_id, "_left.*", "match")
+    others = F.struct(*[c for c in usable.columns if c not in on])
+    once = usable.groupBy(*on, F.col(right_time).alias("_t")).agg(F.min_by(others, F.col(right_seq)).alias("match"))
+    rest = [c for c in left.columns if c not in on]
+    ours = left.select(*on, F.col(left_time).alias("_t"), F.struct(*rest).alias("_left"), F.lit(1).alias("_kind"))
+    both = once.select(*on, "_t", "match", F.lit(0).alias("_kind")).unionByName(ours, allowMissingColumns=True)
+    hot = runtime.hot_keys(both, on, F.min("_t").alias("_from"), F.max("_t").alias("_to"))
+    if hot is None:
+        both = both.withColumn("_slot", F.lit(0))
+    else:
+        width = F.greatest(F.timestamp_diff("MICROSECOND", F.col("_from"), F.col("_to")) / F.ceil(F.col("n") / runtime.HOT_ROWS), F.lit(1))
+        slot = F.floor(F.timestamp_diff("MICROSECOND", F.col("_from"), F.col("_t")) / width).cast("int")
+        both = both.join(F.broadcast(hot), on, "left").withColumn("_slot", F.coalesce(slot, F.lit(0))).drop("n", "_from", "_to")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    lane = Window.partitionBy(*on, "_slot")
+    back, ahead = lane.orderBy("_t", "_kind").rowsBetween(*upto), lane.orderBy(F.desc("_t"), "_kind").rowsBetween(*upto)
+    seen = both.select("*", F.last(F.when(F.col("_kind") == 0, F.struct("_t", "match")), True).over(back).alias("_back"), F.last(F.when(F.col("_kind") == 0, F.struct("_t", "match")), True).over(ahead).alias("_ahead"))
+    seen = seen.where("_kind = 1").drop("match", "_kind")
+    if hot is not None:  # what the slots before and after a slot end and begin with; there are few
+        is_right = F.when(F.col("_kind") == 0, F.col("_t"))
+        here = F.struct("_t", "match")
+        edges = both.join(F.broadcast(hot.select(*on)), on, "left_semi").groupBy(*on, "_slot").agg(F.max_by(here, is_right).alias("_last"), F.min_by(here, is_right).alias("_first"))
+        before = Window.partitionBy(*on).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*on).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.select(*on, "_slot", F.last("_last", True).over(before).alias("_before"), F.last("_first", True).over(after).alias("_after"))
+        seen = seen.join(F.broadcast(edges), [*on, "_slot"], "left").withColumn("_back", F.coalesce("_back", "_before")).withColumn("_ahead", F.coalesce("_ahead", "_after"))
+    nearer = F.col("_back").isNotNull() & (F.col("_ahead").isNull() | (distance(F.col("_t"), F.col("_back._t")) <= distance(F.col("_ahead._t"), F.col("_t"))))
+    out = seen.withColumn("match", F.when(nearer, F.col("_back.match")).otherwise(F.col("_ahead.match")))
+    out = out if how == "left" else out.where(F.col("match").isNotNull())
+    return out.select(*[c if c in on else F.col(f"_left.{c}") for c in left.columns], "match")
 
 
 def in_range(df: DataFrame, time: str, start: datetime, end: datetime) -> DataFrame:
     return df.where((F.col(time) >= F.lit(start)) & (F.col(time) <= F.lit(end)))
 
 
-def range_join(left: DataFrame, right: DataFrame, on: list[str], time: str, start: str, end: str) -> DataFrame:
-    """Visits of a key within each left row's interval."""
-    return left.join(right, on).where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end)))
+def range_join(left: DataFrame, right: DataFrame, on: list[str], time: str, start: str, end: str, slot: str = "1 day") -> DataFrame:
+    """Visits of a key within each left row's interval.
+
+    Both sides are joined by key and slot of time, so a busy key is spread over its slots; an interval
+    takes part in each slot that it touches.
+    """
+    length = int(slot.split()[0]) * {"hour": 3600, "day": 86400}[slot.split()[1].rstrip("s")] * 10**6
+    place = lambda c: F.floor(F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz")) / length)
+    spans = left.where(F.col(start) <= F.col(end)).withColumn("_slot", F.explode(F.sequence(place(start), place(end))))
+    return spans.join(right.withColumn("_slot", place(time)), [*on, "_slot"]).where((F.col(time) >= F.col(start)) & (F.col(time) <= F.col(end))).drop("_slot")
+
+
+def hybrid_join(roots: DataFrame, links: DataFrame, index: DataFrame, ideal: datetime, time: str = "stime", seq: str = "seq") -> DataFrame:
+    """Hybrid version choice: link_id and ``match`` of ``links`` (link_id, net_url, kind, page_time).
+
+    Requisites take the visit nearest to their page, jumps and actions the one nearest to ``ideal``.
+    ``roots`` (net_url) take the latter as well, with a null link_id.
+    """
+    want = F.when(F.col("kind") == "requisite", F.col("page_time")).otherwise(F.lit(ideal).cast("timestamp_ntz"))
+    asked = links.select("link_id", "net_url", want.alias("want")).unionByName(roots.select("net_url", F.lit(ideal).cast("timestamp_ntz").alias("want")), allowMissingColumns=True)
+    return nearest_join(asked, index, ["net_url"], "want", time, seq, "link_id").select("link_id", "net_url", "match")
 
 
 def visits(df: DataFrame, url: str, time: str) -> DataFrame:
@@ -124,11 +169,32 @@ def link_targets(links: DataFrame, visits_: DataFrame, time: str = "stime", seq:
     ``links`` has link_id, net_url and page_time; ``visits_`` net_url, code, the time and a sequence.
     """
     final = F.lit(True) if take_any else F.col("code").isin(*http.DEFINITIVE_CODES)
-    stop = final | F.col("code").isin(*http.REDIRECT_CODES)
-    order = F.struct(distance(F.col("page_time"), F.col(time)), F.col(time), F.col(seq))
-    joined = links.join(visits_.select("net_url", "code", time, seq), "net_url", "left")
-    best = joined.groupBy("link_id", "net_url", "page_time").agg(
-        F.min_by(F.struct(final.alias("final"), F.col(time).alias("at")), F.when(stop, order)).alias("met"), F.count("code").alias("n")
-    )
-    place = F.when(F.col("n") == 0, "unavailable").when(F.col("met").isNull(), "other").when(F.col("met.final"), "web").otherwise("redirect")
-    return best.select("link_id", "net_url", place.alias("namespace"), F.when(F.col("met.final"), F.col("met.at")).when(F.col("n") > 0, F.col("page_time")).alias("at"))
+    stop = F.coalesce(final | F.col("code").isin(*http.REDIRECT_CODES), F.lit(False))
+    stops = visits_.where(stop).select("net_url", time, seq, F.coalesce(final, F.lit(False)).alias("final"))
+    met = nearest_join(links, stops, ["net_url"], "page_time", time, seq, "link_id", how="left")
+    known = visits_.groupBy("net_url").agg(F.count("code").alias("n"))
+    best = met.join(known, "net_url", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    place = F.when(F.col("n") == 0, "unavailable").when(F.col("match").isNull(), "other").when(F.col("match.final"), "web").otherwise("redirect")
+    return best.select("link_id", "net_url", place.alias("namespace"), F.when(F.col("match.final"), F.col(f"match.{time}")).when(F.col("n") > 0, F.col("page_time")).alias("at"))
+
+
+def replay_location(found: DataFrame, prefix: str = "/web", key: str = "net_url", time: str = "stime") -> DataFrame:
+    """Add ``location``: where a client is sent for the exact visit, null if it has it already."""
+    at = F.date_format(F.col(time), "yyyy-MM-dd_HH:mm:ss.SSS")
+    return found.withColumn("location", F.when(~F.col("exact"), F.concat(F.lit(prefix + "/"), at, F.lit("/"), F.col(key))))
+
+
+def by_place(df: DataFrame, rhostname: str = "rhostname", pretty: str = "pretty_net_url", net: str = "net_url") -> DataFrame:
+    """URLs in the order of an index: by reversed host, readable form, sent form."""
+    return df.orderBy(rhostname, pretty, net)
+
+
+def repeats(df: DataFrame, key: str, seq: str, value: str) -> DataFrame:
+    """Add ``same``: whether a row's value equals that of the row before it (of its key)."""
+    before = F.lag(value).over(Window.partitionBy(key).orderBy(seq))
+    return df.withColumn("same", F.coalesce(before == F.col(value), F.lit(False)))
+
+
+def inverse(df: DataFrame, value: str, url: str = "net_url") -> DataFrame:
+    """Each value with the different URLs that have it, in order."""
+    return df.select(value, url).distinct().groupBy(value).agg(F.array_sort(F.collect_list(url)).alias("urls"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions import expressions as X
-from webstrata.functions import http, mime, urls
+from webstrata.functions import http, mime, pipes, scrub, urls
 from webstrata.operators import capture, filters, layout, links, versions
 from webstrata.plans.runtime import shared_dir
 from webstrata.streaming import jobs
@@ -285,9 +285,18 @@ def plan_latest(spark, sf_dir):
     return layout.plan(rows, old, mode="latest").select("path", "sha256", "action")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE r AS (SELECT source AS bucket, doc_id // {layout.LANE} AS lane, doc_id AS seq, coalesce(octet_length(encode(text)), 0) AS size,
+  row_number() OVER (PARTITION BY source, doc_id // {layout.LANE} ORDER BY doc_id) AS rn FROM documents),
+walk AS (SELECT bucket, lane, seq, size, rn, CAST(0 AS BIGINT) AS bundle, size AS held FROM r WHERE rn = 1
+  UNION ALL
+  SELECT bucket, lane, seq, size, rn, b + CASE WHEN h > 0 AND h + size > 65536 THEN 1 ELSE 0 END, CASE WHEN h > 0 AND h + size > 65536 THEN size ELSE h + size END
+  FROM (SELECT r.*, w.bundle + CASE WHEN w.held > 65536 THEN 1 ELSE 0 END AS b, CASE WHEN w.held > 65536 THEN 0 ELSE w.held END AS h
+        FROM walk w JOIN r ON r.bucket IS NOT DISTINCT FROM w.bucket AND r.lane = w.lane AND r.rn = w.rn + 1))
+SELECT bucket, lane, seq, CAST(size AS BIGINT) AS size, bundle FROM walk
+""")
 def bundle_bin_pack(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("bucket"), F.col("doc_id").alias("seq"), F.octet_length("text").alias("size"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("bucket"), F.col("doc_id").alias("seq"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
     return layout.bundles(docs, 64 << 10)
 
 
@@ -358,7 +367,7 @@ def visits_by_url(spark, sf_dir):
 
 @query("SELECT count(*) AS visits_total, count(DISTINCT url) AS urls FROM pages")
 def visit_totals(spark, sf_dir):
-    return table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("visits_total"), F.count_distinct("url").alias("urls"))
+    return capture.totals(table(spark, sf_dir, "pages"), "url")
 
 
 @query("SELECT url FROM pages WHERE url GLOB 'https://blog.*.org/*'")
@@ -413,23 +422,29 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("src", "dst").distinct()
 
 
-@query(f"WITH {_EDGES} SELECT src, dst FROM edges")
+@query(r"""
+WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || replace(href, '&amp;', '&') AS target,
+       regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || replace(href, '&amp;', '&') IN (SELECT split_part(url, '#', 1) FROM pages) AS archived FROM l
+""")
 def link_resolve_join(spark, sf_dir):
-    return _edges(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    index = url_rows(spark, sf_dir).select(urls.net_url(F.col("p")).alias("net_url"))
+    return links.resolved(links.extract(pages), index).select("page_id", "target", "archived")
 
 
 @query(f"""
 WITH RECURSIVE {_EDGES},
-walk AS (SELECT page_id AS url, 0 AS depth FROM p WHERE page_id % 25 = 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 2)
+walk AS (SELECT page_id AS url, 0 AS depth FROM p WHERE url LIKE 'https://%' UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth < 2)
 SELECT url, min(depth) AS depth FROM walk GROUP BY 1
 """)
 def link_bfs_depth2(spark, sf_dir):
-    roots = table(spark, sf_dir, "pages").where("page_id % 25 = 0").select(F.col("page_id").alias("url"))
+    roots = table(spark, sf_dir, "pages").where(F.col("url").startswith("https://")).select(F.col("page_id").alias("url"))
     return links.within(roots, _edges(spark, sf_dir).withColumn("kind", F.lit("jump")), 2)
 
 
 @query("""
-WITH RECURSIVE v AS (SELECT p_partkey AS k, CASE WHEN p_size < 20 THEN 301 ELSE 200 END AS code, (p_partkey * 7) % 500 AS target FROM part WHERE p_partkey < 500),
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), v AS (SELECT p_partkey AS k, CASE WHEN p_size < 20 THEN 301 ELSE 200 END AS code, (p_partkey * 7) % n.n AS target FROM part, n),
 walk AS (SELECT k AS link_id, k AS place, 0 AS hops, [k] AS seen FROM v
   UNION ALL
   SELECT w.link_id, v.target, w.hops + 1, list_append(w.seen, v.target) FROM walk w JOIN v ON v.k = w.place WHERE v.code = 301 AND NOT list_contains(w.seen, v.target) AND w.hops < 8),
@@ -437,10 +452,10 @@ ends AS (SELECT link_id, place, hops, row_number() OVER (PARTITION BY link_id OR
 SELECT link_id, CASE WHEN v.code = 200 THEN 'u' || CAST(place AS VARCHAR) END AS final, hops FROM ends LEFT JOIN v ON v.k = place WHERE rk = 1
 """)
 def redirect_chase(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey < 500")
+    part = table(spark, sf_dir, "part")
     name = lambda c: F.concat(F.lit("u"), c.cast("string"))
     at = F.lit(IDEAL).cast("timestamp")
-    seen = part.select(name(F.col("p_partkey")).alias("net_url"), F.when(F.col("p_size") < 20, 301).otherwise(200).alias("code"), name(F.pmod(F.col("p_partkey") * 7, F.lit(500))).alias("location"), at.alias("stime"), F.col("p_partkey").alias("seq"))
+    seen = part.select(name(F.col("p_partkey")).alias("net_url"), F.when(F.col("p_size") < 20, 301).otherwise(200).alias("code"), name(F.pmod(F.col("p_partkey") * 7, F.lit(part.count()))).alias("location"), at.alias("stime"), F.col("p_partkey").alias("seq"))
     wanted = part.select(F.col("p_partkey").alias("link_id"), name(F.col("p_partkey")).alias("target"), at.alias("page_time"))
     return links.chase(wanted, seen).select("link_id", "final", "hops")
 
@@ -566,14 +581,17 @@ def archive_missing_stores(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'error'")
 def distinct_keys(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'error'").select("user_id").distinct()
+    return capture.distinct_where(table(spark, sf_dir, "events"), F.col("event_type") == "error", "user_id")
 
 
 # --- streams ---------------------------------------------------------------------------------
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.table_stream(spark, sf_dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    """Events as four files, one a micro-batch, so that state is carried from batch to batch."""
+    path = f"{shared_dir(spark)}/webstrata/events-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartition(4, "event_id").write.parquet(path)
+    return jobs.table_stream(spark, path, "*.parquet")
 
 
 def _ran(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -586,7 +604,7 @@ def _ran(stream: DataFrame, name: str, mode: str) -> DataFrame:
 @query("SELECT event_id FROM events")
 def stream_dedup(spark, sf_dir):
     twice = _events_stream(spark, sf_dir).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    return _ran(jobs.distinct(twice, ["event_id"], "ts").select("event_id"), "dedup", "append")
+    return _ran(jobs.distinct(twice, ["event_id"], "ts", delay="60 days").select("event_id"), "dedup", "append")
 
 
 @query("SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS event_id FROM events GROUP BY 1")
@@ -601,7 +619,7 @@ s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS
 SELECT user_id, epoch_us(min(ts)) // 1000 AS started_ms, count(*) AS rows FROM s GROUP BY user_id, n
 """)
 def stream_session_settle(spark, sf_dir):
-    bursts = jobs.settled(_events_stream(spark, sf_dir), "user_id", "ts", gap="1 hour")
+    bursts = jobs.settled(_events_stream(spark, sf_dir), "user_id", "ts", gap="1 hour", delay="60 days")
     return _ran(bursts.select("user_id", F.unix_millis("started").alias("started_ms"), "rows"), "settle", "complete")
 
 
@@ -610,6 +628,170 @@ def stream_totals(spark, sf_dir):
     return _ran(jobs.totals(_events_stream(spark, sf_dir), ["event_type"], "event_id"), "totals", "complete")
 
 
+# --- pipes, templates, scrubbing, headers ---------------------------------------------------
+
+
+@query("SELECT doc_id, left(sha256(coalesce(text, '')), 4) AS tag, coalesce(lang, 'none') || '!' AS lang FROM documents WHERE length(coalesce(text, '')) > 1024 AND (source LIKE 'web%' OR coalesce(lang, '') <> 'en')")
+def linst_compiled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("none", F.lit("none"))
+    chosen = filters.apply(docs, pipes.condition(docs, every=["text|es|len|> 1024"], some=["source|~= web", "lang|es|!= en"]))
+    return chosen.select("doc_id", pipes.compile_pipe(docs, "text|es|to_utf8|sha256|take_prefix 2|to_hex").alias("tag"), pipes.compile_pipe(docs, "lang|none|add_suffix '!'").alias("lang"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d') || '/' || lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || '_' || event_type || '_{num}' AS path FROM events")
+def template_text(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", *http.time_parts(ms, "s"))
+    return rows.select("event_id", layout.template("format:%(syear)d/%(smonth)02d/%(sday)02d/%(shour)02d_%(event_type)s_%(num)d", rows).alias("path"))
+
+
+@query(r"""
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || ltrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '?' ELSE '' END || regexp_extract(url, '\?([^#]*)', 1) AS path FROM pages
+""")
+def template_url(spark, sf_dir):
+    p = F.col("p")
+    rows = url_rows(spark, sf_dir).select("page_id", p["hostname"].alias("netloc"), urls.parts_to_path(urls.npath_parts(p["raw_path"])).alias("mq_npath"), p["oqm"].alias("oqm"), F.when(p["raw_query"] == "", "").otherwise(urls.query_to_path(urls.query_parts(p["raw_query"]))).alias("mq_query"))
+    return rows.select("page_id", layout.template("url").alias("path"))
+
+
+@query(r"""
+SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<!-- censored out a script from here -->', 'g'), '<a href="/([^"]*)">', '<a href="' || regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/\1">', 'g') AS html FROM pages
+""")
+def scrub_html_text(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", scrub.scrubbed("html")("html", "url", F.lit(None).cast("map<string,string>")).alias("html"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, url, html, 'p/' || CAST(page_id AS VARCHAR) || '.htm' AS path FROM pages)
+SELECT path, sha256(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<a href="/([^"]*)">', '<a href="javascript:void(0)">', 'g')) AS sha256 FROM p
+""")
+def mirror_closed(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").withColumn("path", F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".htm")))
+    found = links.extract(pages.select("path", "url", "html"))
+    saved = pages.select(F.regexp_replace("url", "#.*$", "").alias("net_url"), "path").dropDuplicates(["net_url"])
+    return links.mirror(pages.select("path", "url", "html"), found, saved, "/all_refs,-verbose").select("path", "sha256")
+
+
+@query("SELECT page_id, url || '|https://x.example/' AS urls, 'preconnect|next' AS rels FROM pages")
+def link_header_parse(spark, sf_dir):
+    value = F.concat(F.lit("<"), F.col("url"), F.lit('>; rel=preconnect; crossorigin, , <https://x.example/>; rel="next"'))
+    found = http.link_header(value)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(found, lambda x: x["url"]), "|").alias("urls"), F.array_join(F.transform(found, lambda x: http.parameter(x["params"], "rel")), "|").alias("rels"))
+
+
+@query("SELECT page_id, CAST(page_id % 100 AS INTEGER) AS seconds, url, CAST(page_id % 100 AS VARCHAR) || ';url=' || url AS again FROM pages")
+def refresh_parse(spark, sf_dir):
+    found = http.refresh_header(F.concat(F.pmod("page_id", F.lit(100)).cast("string"), F.lit("; url="), F.col("url")))
+    rows = table(spark, sf_dir, "pages").select("page_id", found.alias("r"))
+    return rows.select("page_id", "r.seconds", "r.url", http.unparse_refresh(F.col("r.seconds"), F.col("r.url")).alias("again"))
+
+
+@query("SELECT page_id, 'http://xn--bcher-kva.example/' || CAST(page_id AS VARCHAR) AS net_url FROM pages")
+def net_url_idn(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", urls.parts(F.concat(F.lit("http://B\u00fccher.example/"), F.col("page_id").cast("string"))).alias("p"))
+    return rows.select("page_id", urls.net_url(F.col("p"), urls.idn_host(F.col("p.hostname"))).alias("net_url"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, 'text/css' AS mime FROM documents WHERE text IS NOT NULL")
+def data_url_round_trip(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    packed = http.unparse_data_url(F.lit("text/css"), F.array().cast("array<struct<k:string,v:string>>"), F.encode("text", "UTF-8"))
+    rows = docs.select("doc_id", http.data_url(packed).alias("d"))
+    return rows.select("doc_id", F.sha2("d.data", 256).alias("sha256"), F.col("d.mime").alias("mime"))
+
+
+_SIGNS = [(m, signs[0][1]) for m, signs in mime.MAGIC if len(signs) == 1 and signs[0][0] == 0]
+
+
+@query(f"SELECT doc_id, [{', '.join(repr(m) for m, _ in _SIGNS)}][doc_id % {len(_SIGNS)} + 1] AS mime FROM documents")
+def mime_sniff_magic(spark, sf_dir):
+    sign = F.element_at(F.array(*[F.lit(x) for _, x in _SIGNS]), (F.pmod("doc_id", F.lit(len(_SIGNS))) + 1).cast("int"))
+    data = F.concat(F.unhex(sign), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", mime.sniff(data).alias("mime"))
+
+
+_DECLARED = [("text/plain", "text/plain", None), ("application/json; charset=utf-8", "text/json", "json,text"), ("application/rss+xml", "application/rss+xml", "xml,text"), ("image/x-odd", "image/x-odd", "image"), ("application/octet-stream", "application/octet-stream", "unknown"), ("chemical/x-pdb", "chemical/x-pdb", None)]
+
+
+@query(f"SELECT doc_id, [{', '.join(repr(m) for _, m, _ in _DECLARED)}][doc_id % 6 + 1] AS mime, [{', '.join('NULL' if k is None else repr(k) for *_, k in _DECLARED)}][doc_id % 6 + 1] AS kinds FROM documents")
+def content_type_normal(spark, sf_dir):
+    stated = F.element_at(F.array(*[F.lit(h) for h, *_ in _DECLARED]), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", mime.normalize(stated).alias("n"))
+    return rows.select("doc_id", "n.mime", F.array_join("n.kinds", ",").alias("kinds"))
+
+
+@query("SELECT page_id, 'Location=/r/' || CAST(page_id AS VARCHAR) || '|Content-Language=en|Link=</r/' || CAST(page_id AS VARCHAR) || '>; rel=next' AS headers FROM pages")
+def replay_headers(spark, sf_dir):
+    head = lambda name, value: F.struct(F.lit(name).alias("name"), F.encode(value, "UTF-8").alias("value"))
+    url = F.col("url")
+    headers = F.array(head("Location", url), head("Server", F.lit("x")), head("Content-Language", F.lit("en")), head("Link", F.concat(F.lit("<"), url, F.lit('>; rel="prefetch next", <https://gone.example/>; rel=next'))))
+    out = http.replayed_headers(headers, F.create_map(url, F.concat(F.lit("/r/"), F.col("page_id").cast("string"))))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.transform(out, lambda h: F.concat(h["name"], F.lit("="), h["value"])), "|").alias("headers"))
+
+
+# --- more of versions and capture logs -------------------------------------------------------
+
+
+@query("SELECT event_id, ts, false AS exact FROM events WHERE user_id = 7 ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')), ts, event_id LIMIT 1")
+def replay_day(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("net_url", F.col("user_id").cast("string"))
+    return versions.replay(rows, "2024-01-15", "7", time="ts", seq="event_id").select("event_id", "ts", "exact")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS net_url, count(*) AS visits, min(ts) AS first_visit, max(ts) AS last_visit FROM events WHERE CAST(user_id AS VARCHAR) LIKE '1%' AND ts BETWEEN TIMESTAMP '2024-01-15' AND TIMESTAMP '2024-01-16' GROUP BY 1")
+def replay_listing(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("net_url", F.col("user_id").cast("string"))
+    return versions.replay(rows, "2024-01-15*", "1*", time="ts", seq="event_id")
+
+
+@query("""
+WITH l AS (SELECT event_id AS link_id, user_id % 40 AS net_url, CASE WHEN event_id % 2 = 0 THEN ts ELSE TIMESTAMP '2024-01-15' END AS want FROM events WHERE event_type = 'purchase'),
+v AS (SELECT user_id % 40 AS net_url, ts, event_id FROM events WHERE event_type <> 'purchase')
+SELECT link_id, arg_min(event_id, struct_pack(d := abs(epoch_us(want) - epoch_us(ts)), t := ts, e := event_id)) AS event_id FROM l JOIN v USING (net_url) GROUP BY link_id
+""")
+def hybrid_versions(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("net_url", F.pmod("user_id", F.lit(40)))
+    kind = F.when(F.col("event_id") % 2 == 0, "requisite").otherwise("jump")
+    wanted = rows.where("event_type = 'purchase'").select(F.col("event_id").alias("link_id"), "net_url", kind.alias("kind"), F.col("ts").alias("page_time"))
+    index = rows.where("event_type <> 'purchase'").select("net_url", "ts", "event_id")
+    found = versions.hybrid_join(wanted.limit(0).select("net_url"), wanted, index, IDEAL, time="ts", seq="event_id")
+    return found.select("link_id", F.col("match.event_id").alias("event_id"))
+
+
+@query("SELECT event_type, string_agg(DISTINCT CAST(user_id AS VARCHAR), ',' ORDER BY CAST(user_id AS VARCHAR)) AS urls FROM events GROUP BY 1")
+def inverse_values(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("net_url"))
+    return versions.inverse(rows, "event_type").select("event_type", F.array_join("urls", ",").alias("urls"))
+
+
+@query("SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type, false) AS same FROM events")
+def repeats_lag(spark, sf_dir):
+    return versions.repeats(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("event_id", "same")
+
+
+@query("SELECT event_id + 1000000 AS their_id, event_id AS our_id, 1 AS score FROM events")
+def capture_match(spark, sf_dir):
+    head = F.array(F.struct(F.lit("X-Id").alias("name"), F.encode(F.col("event_id").cast("string"), "UTF-8").alias("value")))
+    ours = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), head.alias("headers"))
+    theirs = ours.withColumn("id", F.col("id") + 1000000).withColumn("at_ms", F.col("at_ms") + 5)
+    return capture.match(ours, theirs, ["user_id", "event_type"])
+
+
+@query("SELECT event_id AS request_id, event_type AS a, value AS b FROM events")
+def capture_halves(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    first = rows.select(F.col("event_id").alias("request_id"), F.col("event_type").alias("a"), F.lit(None).cast("double").alias("b"))
+    second = rows.select(F.col("event_id").alias("request_id"), F.lit(None).cast("string").alias("a"), F.col("value").alias("b"))
+    return capture.halves(first.unionByName(second))
+
+
+@query("SELECT event_id, event_type = 'error' AS moved FROM events")
+def rotate_order(spark, sf_dir):
+    rows = capture.rotated(table(spark, sf_dir, "events"), F.col("event_type") == "error", "event_id")
+    return rows.select(F.col("new_seq.seq").alias("event_id"), F.col("new_seq.moved").alias("moved"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

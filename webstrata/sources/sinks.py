@@ -49,3 +49,58 @@ def describe(df: DataFrame, body_chars: int = 1024) -> DataFrame:
 def write_bundles(dumps: DataFrame, path: str) -> None:
     """Dumps as Parquet by bucket and bundle: each bundle's dumps lie together, in order."""
     dumps.repartition("bucket", "bundle").sortWithinPartitions("bucket", "bundle", "seq").write.partitionBy("bucket").parquet(path)
+
+
+def cbor_rows(df: DataFrame, *values: Column) -> DataFrame:
+    """One CBOR list a row (``value``, binary) of the values of each row; bytes stay bytes."""
+    import pandas as pd
+
+    from webstrata.sources.wrr import encode
+
+    def plain(x: object) -> object:
+        if isinstance(x, (list, tuple)) or hasattr(x, "tolist"):
+            return [plain(v) for v in (x.tolist() if hasattr(x, "tolist") else x)] if not hasattr(x, "dtype") or x.ndim else x.item()
+        return {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else bytes(x) if isinstance(x, bytearray) else x
+
+    def pack(batches):
+        for batch in batches:
+            yield pd.DataFrame({"value": [encode([plain(v) if not (isinstance(v, float) and v != v) else None for v in row]) for row in batch.itertuples(index=False)]})
+
+    return df.select(*[v.alias(f"v{k}") for k, v in enumerate(values)]).mapInPandas(pack, "value binary")
+
+
+def cbor_stream(parts: list[bytes]) -> bytes:
+    """Encoded values as one CBOR list of unstated length."""
+    return b"\x9f" + b"".join(parts) + b"\xff"
+
+
+def python_rows(*values: Column) -> Column:
+    """One Python list a row; strings and bytes as literals."""
+    quoted = lambda text: F.concat(F.lit("'"), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("'"))
+    return F.concat(F.lit("["), F.concat_ws(", ", *[F.coalesce(quoted(v.cast("string")), F.lit("None")) for v in values]), F.lit("]"))
+
+
+def write_bundle_files(dumps: DataFrame, folder: str) -> DataFrame:
+    """Write each bundle (bucket, lane, bundle, seq, dump) as one gzip'd file of dumps below ``folder``.
+
+    A group is one bundle, whose size ``layout.bundles`` has bounded. Files are moved into place in one
+    step, so a task that is run again does no harm. Returns path, rows and bytes; ``folder`` is shared.
+    """
+    import pandas as pd
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        import gzip
+        import os
+
+        first = pdf.sort_values("seq")
+        bucket, lane, bundle = first[["bucket", "lane", "bundle"]].iloc[0]
+        name = "".join(c if c.isalnum() or c in "._-" else f"%{ord(c):02X}" for c in str(bucket))
+        path = os.path.join(folder, name, f"{lane}_{bundle}.wrrb")
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(f"{path}.{os.getpid()}.part", "wb") as file, gzip.GzipFile("", "wb", 9, file, 0) as packed:
+            for dump in first["dump"]:
+                packed.write(gzip.decompress(dump) if dump[:2] == b"\x1f\x8b" else dump)
+        os.replace(f"{path}.{os.getpid()}.part", path)
+        return pd.DataFrame({"path": [path], "rows": [len(first)], "bytes": [os.path.getsize(path)]})
+
+    return dumps.groupBy("bucket", "lane", "bundle").applyInPandas(write, "path string, rows long, bytes long")

@@ -11,6 +11,7 @@ import gzip
 import json
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -192,9 +193,9 @@ def read(spark: SparkSession, paths: str | list[str], loader: str = "auto", erro
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = list(_rows(path, content, loader))
-                if rows:
-                    yield pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names, dtype=object)
+                rows = _rows(path, content, loader)
+                while part := list(islice(rows, 500)):  # a bundle's rows go on in parts
+                    yield pd.DataFrame([{n: r.get(n) for n in names} for r in part], columns=names, dtype=object)
 
     rows = files.mapInPandas(parse, EXCHANGE).withColumn("is_boring", F.lit(boring))
     if errors == "ignore":
@@ -205,11 +206,42 @@ def read(spark: SparkSession, paths: str | list[str], loader: str = "auto", erro
 
 
 def union(*inputs: DataFrame) -> DataFrame:
-    """Several inputs as one, each file once (by its path)."""
-    out = inputs[0]
-    for more in inputs[1:]:
-        out = out.unionByName(more)
-    return out.dropDuplicates(["source_path", "element_num"])
+    """Several inputs as one, each file once: the first input that has it counts. Only paths are shuffled."""
+    out = None
+    for k, one in enumerate(inputs):
+        numbered = one.withColumn("_input", F.lit(k))
+        out = numbered if out is None else out.unionByName(numbered)
+    first = out.groupBy(F.col("source_path").alias("_path")).agg(F.min("_input").alias("_first"))
+    return out.join(first, (F.col("source_path") == F.col("_path")) & (F.col("_input") == F.col("_first")), "left_semi").drop("_input")
+
+
+def listed(data: bytes) -> list[str]:
+    """The paths of a list in which every one ends with NUL."""
+    if data and not data.endswith(b"\0"):
+        raise ValueError("the last path does not end with NUL")
+    return [p.decode("utf-8", "surrogateescape") for p in data.split(b"\0")[:-1]]
+
+
+def in_order(rows: DataFrame, paths: list[str], path_order: str = "given", walk_order: str = "sorted") -> DataFrame:
+    """Add ``input_seq``, a sort key of rows: the place of the top-level path that a file is below, then the file's own.
+
+    ``path_order`` is given, sorted or reversed; ``walk_order`` sorted or reversed. What comes first or
+    last wins in the operators that keep one row of each key by it.
+    """
+    tops = {"given": paths, "sorted": sorted(paths), "reversed": sorted(paths, reverse=True)}[path_order]
+    place = F.lit(len(tops))
+    for k, top in reversed(list(enumerate(tops))):
+        bare = F.regexp_replace("source_path", r"^file:(//)?", "")
+        place = F.when((bare == top) | bare.startswith(top.rstrip("/") + "/"), F.lit(k)).otherwise(place)
+    walked = F.col("source_path") if walk_order == "sorted" else F.translate("source_path", "".join(map(chr, range(32, 127))), "".join(map(chr, range(126, 31, -1))))
+    return rows.withColumn("input_seq", F.struct(place.alias("path"), walked.alias("walk"), F.coalesce("element_num", F.lit(0)).alias("element")))
+
+
+def unchanged(spark: SparkSession, rows: DataFrame, paths: str | list[str], loaded_at: str = "modified") -> DataFrame:
+    """``rows`` (with their file's time as ``loaded_at``), failing if a file has changed since it was read."""
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(F.col("path").alias("source_path"), F.col("modificationTime").alias("_now"))
+    same = F.when(F.col("_now") == F.col(loaded_at), F.lit(True)).otherwise(F.raise_error(F.concat(F.col("source_path"), F.lit(" has changed"))).cast("boolean"))
+    return rows.join(now, "source_path", "left").where(same).drop("_now")
 
 
 def dumps(df: DataFrame, *keep: str) -> DataFrame:

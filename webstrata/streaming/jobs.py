@@ -76,6 +76,58 @@ def assembled(stream: DataFrame, key: str, parts: list[str], wait_ms: int = 3000
     return stream.select(F.col(key).cast("string").alias(key), *parts).groupBy(key).applyInPandasWithState(update, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def matched(ours: DataFrame, theirs: DataFrame, on: list[str], within: str = "1 minute") -> DataFrame:
+    """Stream-stream match of two observers' records of one exchange: pairs of equal keys at most
+    ``within`` apart. Both have id and at; watermarks bound how long either side waits."""
+    a = ours.select(*on, F.col("id").alias("our_id"), F.col("at").alias("our_at")).withWatermark("our_at", within)
+    b = theirs.select(*[F.col(c).alias(f"_{c}") for c in on], F.col("id").alias("their_id"), F.col("at").alias("their_at")).withWatermark("their_at", within)
+    near = (F.col("our_at") >= F.col("their_at") - F.expr(f"INTERVAL {within}")) & (F.col("our_at") <= F.col("their_at") + F.expr(f"INTERVAL {within}"))
+    same = near
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return a.join(b, same).select(*on, "our_id", "their_id", "our_at", "their_at")
+
+
+def in_flight(stream: DataFrame, key: str, wait_ms: int = 60_000) -> DataFrame:
+    """Exchanges from their events (``key``, seq, kind, value), one row or more for each key.
+
+    ``request`` opens, ``headers`` sets the status, ``redirect`` and ``auth`` emit what there is and go
+    on, ``complete`` and ``error`` emit and end; ``flush`` emits at once. What stays open for ``wait_ms``
+    of processing time goes out as ``timeout``. Only the open request is state.
+    """
+    schema, state_schema = f"{key} string, part int, request string, status string, ended string", "part int, request string, status string"
+
+    def update(key_value: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        part, request, status = state.get if state.exists else (0, None, None)
+        out = []
+        if state.hasTimedOut:
+            out.append((key_value[0], part, request, status, "timeout"))
+            state.remove()
+        else:
+            open_ = state.exists
+            for event in pd.concat(list(frames)).sort_values("seq").itertuples():
+                if event.kind == "request":
+                    request, open_ = event.value, True
+                elif event.kind == "headers":
+                    status, open_ = event.value, True
+                elif open_:
+                    out.append((key_value[0], part, request, status, event.kind))
+                    part, status, open_ = part + 1, None, event.kind in ("redirect", "auth")
+            if open_:
+                state.update((part, request, status))
+                state.setTimeoutDuration(wait_ms)
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=[key, "part", "request", "status", "ended"])
+
+    return stream.select(F.col(key).cast("string").alias(key), "seq", "kind", "value").groupBy(key).applyInPandasWithState(update, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def retried(failures: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose archiving failed for a reason that may pass, to be put in again: one for each store."""
+    return rows.join(failures.where(F.col("recoverable")).select(key, "store").distinct(), key)
+
+
 def archive_to(stores: dict[int, Callable[[DataFrame, int], None]], failures: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that hands every batch to each store whose bit is not yet in
     ``archived``. A store that raises gets its rows written to ``failures`` with the reason, to be
