@@ -646,7 +646,7 @@ def template_text(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || ltrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '?' ELSE '' END || regexp_extract(url, '\?([^#]*)', 1) AS path FROM pages
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || '/' || trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '?' ELSE '' END || regexp_extract(url, '\?([^#]*)', 1) AS path FROM pages
 """)
 def template_url(spark, sf_dir):
     p = F.col("p")
