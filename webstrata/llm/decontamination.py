@@ -44,6 +44,8 @@ WINDOW = 13
 BLOCK = 1 << 19
 #: Benchmark words handled in one pass; a larger benchmark takes more passes over the index.
 WORDS_PER_PASS = 200_000
+#: Candidate starts of a block that are looked at together; it bounds memory, not the search.
+CANDIDATES = 1 << 17
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -108,6 +110,11 @@ def cut_windows(items: pa.Table, size: int = WINDOW) -> Windows:
     return Windows(vocabulary, terms, lengths, np.cumsum([0] + [len(x) for x in owners]), np.array([i for x in owners for i in x], np.int64), ids)
 
 
+def _held(batch: pa.RecordBatch, column: int, row: int, kind: type) -> np.ndarray:
+    """The numbers packed in a binary cell, not copied."""
+    return np.frombuffer(batch.column(column)[row].as_buffer(), kind)
+
+
 def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
     """Occurrences of the vocabulary's terms in the whole corpus; reads no postings."""
     held = index.sparkSession.sparkContext.broadcast(vocabulary)
@@ -116,8 +123,8 @@ def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         known = held.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms, counts = np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.int32)
+            for row in range(batch.num_rows):
+                terms, counts = _held(batch, 0, row, np.uint64), _held(batch, 1, row, np.int32)
                 at = np.searchsorted(terms, known)
                 hit = np.flatnonzero(at < len(terms))
                 hit = hit[terms[at[hit]] == known[hit]]
@@ -163,7 +170,7 @@ def _search(plan: Plan, starts: np.ndarray, terms: np.ndarray, counts: np.ndarra
     rare = rank[plan.terms[alive, 0]]
     load = np.cumsum(counts[rare])
     exact, near = [], []
-    for lo, hi in _shares(load, 1 << 20):
+    for lo, hi in _shares(load, CANDIDATES):
         wins = np.repeat(alive[lo:hi], counts[rare[lo:hi]])
         post = np.arange(len(wins)) - np.repeat(load[lo:hi] - counts[rare[lo:hi]] - (load[lo - 1] if lo else 0), counts[rare[lo:hi]])
         anchor = positions[np.repeat(first[rare[lo:hi]], counts[rare[lo:hi]]) + post].astype(np.int64)
@@ -216,7 +223,7 @@ def _match_blocks(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.
     for batch in batches:
         for row in range(batch.num_rows):
             ids, starts = batch.column(0)[row].values, batch.column(1)[row].values.to_numpy().astype(np.int64)
-            terms, counts, positions = (np.frombuffer(batch.column(i)[row].as_py(), t) for i, t in ((2, np.uint64), (3, np.int32), (4, np.int32)))
+            terms, counts, positions = (_held(batch, i, row, t) for i, t in ((2, np.uint64), (3, np.int32), (4, np.int32)))
             exact, near = _search(plan, starts, terms, counts.astype(np.int64), positions)
             edge = np.zeros(len(positions) + 1, np.int32)
             for w, at in exact:
