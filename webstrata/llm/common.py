@@ -8,6 +8,8 @@ by ``spark.checkpoint.dir``, which all executors share, so a lost executor costs
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 16 << 20
 #: Rows of one key that a single task may always get; a key is salted from a third of a task's share on.
 HOT_ROWS = 1000
+#: Bytes of texts in an Arrow batch, which a task and its Python worker both hold whole.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about ``BATCH_BYTES`` for the actions inside, unless the session sets a size.
+
+    Batches are cut by rows too; a batch of that many long texts would be held by executor and worker.
+    A single longer text is still a batch of its own.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(size, None) is not None:
+        yield
+        return
+    spark.conf.set(size, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(size)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small iterated table with a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import join_sized, put_back, row_key, set_aside, stored
+from webstrata.llm.common import join_sized, put_back, row_key, set_aside, small_batches, stored
 
 WINDOW = 13
 #: Bytes of text in a block of the index.
@@ -77,7 +77,8 @@ def _index_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Store the positional index of all words of ``docs`` in the shared folder; ids keep their type."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(_index_blocks, INDEX.format(rows.schema["doc_id"].dataType.simpleString())), "postings")
+    with small_batches(docs.sparkSession):
+        return stored(rows.mapInArrow(_index_blocks, INDEX.format(rows.schema["doc_id"].dataType.simpleString())), "postings")
 
 
 @dataclass
@@ -132,7 +133,8 @@ def _frequencies(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["term", "n"])
 
-    found = index.select("terms", "counts").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(index.sparkSession):
+        found = index.select("terms", "counts").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(vocabulary), np.int64)
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return out
@@ -353,5 +355,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     used = ["doc_id", "text"]
     keyed = set_aside(docs, used).withColumn("_row", row_key())
     found = find(build_index(keyed, doc_id="_row"), benchmark, slop=-1).where(F.size("spans") > 0).withColumn("n_hit", covered_words())
-    bad = stored(found.where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    with small_batches(docs.sparkSession):
+        bad = stored(found.where(20 * F.col("n_hit") >= F.col("n_words")).select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
     return join_sized(keyed, bad, ["_row"], "left_anti", row_bytes=64).select(*put_back(docs.columns, used))

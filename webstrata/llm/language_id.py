@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import join_sized, put_back, row_key, set_aside, stored
+from webstrata.llm.common import join_sized, put_back, row_key, set_aside, small_batches, stored
 
 TRAIN_ROWS, TILE = 20_000, 64
 GRAMS = 1 << 16
@@ -107,7 +107,8 @@ def fit(rows: DataFrame) -> Model:
                     total += np.bincount(code[first[k] : first[k + 1]], minlength=GRAMS)
         yield from emit()
 
-    table = stored(sample.mapInArrow(count, "declared string, gram int, n bigint").groupBy("declared", "gram").agg(F.sum("n").alias("n")), "grams")
+    with small_batches(rows.sparkSession):
+        table = stored(sample.mapInArrow(count, "declared string, gram int, n bigint").groupBy("declared", "gram").agg(F.sum("n").alias("n")), "grams")
     languages, tiles = [name for name, _ in counts], []
     for lo in range(0, len(languages), TILE):
         names = languages[lo : lo + TILE]
@@ -165,7 +166,8 @@ def identify(rows: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(rows)
     n = len(model.languages)
     key = lambda c: F.coalesce(c, F.lit("\u0000")).alias(f"_{c}")
-    slim = stored(scored(rows, model).select("*", key("declared"), key("host"), key("suffix")), "scored")
+    with small_batches(rows.sparkSession):
+        slim = stored(scored(rows, model).select("*", key("declared"), key("host"), key("suffix")), "scored")
     if not n:
         return slim.select(*[c for c in rows.columns if c != "text"], F.lit("und").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("rejected"))
     less = lambda a: F.transform(a, lambda x, k: F.when(k == F.col("vote"), F.greatest(x - 1.0, F.lit(0.0))).otherwise(x))

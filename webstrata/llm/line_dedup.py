@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import BROADCAST_BYTES, join_salted, put_back, row_key, set_aside, stored
+from webstrata.llm.common import BROADCAST_BYTES, join_salted, put_back, row_key, set_aside, small_batches, stored
 
 #: Words of a line that can bring two documents together, and of a block that is deleted.
 LINE_WORDS, BLOCK_WORDS = 5, 10
@@ -193,7 +193,8 @@ def _align_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(key, gone): the line numbers to delete from each document that has any; keys as ``row_key``."""
-    lines = stored(docs.select(row_key().alias("key"), "text").mapInArrow(_line_batches, LINES).dropDuplicates(["key"]), "lines")
+    with small_batches(docs.sparkSession):
+        lines = stored(docs.select(row_key().alias("key"), "text").mapInArrow(_line_batches, LINES).dropDuplicates(["key"]), "lines")
     each = lines.select("key", F.explode(F.arrays_zip("hashes", "words")).alias("line")).where(F.col("line.words") >= LINE_WORDS).select("key", F.col("line.hashes").alias("h"))
     each = each.unionByName(lines.select("key", F.explode("runs").alias("h")))
     shared = stored(each.groupBy("h").agg(F.min("key").alias("head"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("head") != F.col("last")).drop("last"), "shared_lines")
@@ -207,7 +208,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 def with_gone(docs: DataFrame) -> DataFrame:
     """``docs`` with the line numbers to delete (null if none)."""
-    gone = stored(repeated_lines(docs), "gone")
+    found = repeated_lines(docs)
+    with small_batches(docs.sparkSession):
+        gone = stored(found, "gone")
     rows, places = gone.agg(F.count(F.lit(1)), F.sum(F.size("gone"))).first()
     keyed = docs.withColumn("key", row_key())
     if rows * 48 + 4 * (places or 0) <= BROADCAST_BYTES:

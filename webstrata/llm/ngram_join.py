@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.llm import kernels as K
-from webstrata.llm.common import components, cut, join_salted, join_sized, partitions, put_back, set_aside, stored, text_id
+from webstrata.llm.common import components, cut, join_salted, join_sized, partitions, put_back, set_aside, small_batches, stored, text_id
 
 THRESHOLD, NGRAM, RECALL, MAX_HASHES = 0.8, 5, 0.9999, 128
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 1 << 19
@@ -164,7 +164,8 @@ def nodes_and_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     bands, rows = band_plan(threshold, recall)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, node binary, shingles bigint, bands array<bigint>"
-    signed = stored(source.mapInArrow(lambda b: _signatures(b, bands, rows, n), schema), "signatures")
+    with small_batches(spark):
+        signed = stored(source.mapInArrow(lambda b: _signatures(b, bands, rows, n), schema), "signatures")
     texts = stored(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "texts")
 
     keyed = texts.select("node", F.explode("bands").alias("band"))
@@ -190,7 +191,8 @@ def nodes_and_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NG
     def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return _verify_group(key, group, threshold)
 
-    links = cut(pairs.groupBy("bundle", "i", "j").applyInPandas(verify, "node binary, peer binary, links bigint").groupBy("node", "peer").agg(F.sum("links").alias("links")))
+    with small_batches(spark):
+        links = cut(pairs.groupBy("bundle", "i", "j").applyInPandas(verify, "node binary, peer binary, links bigint").groupBy("node", "peer").agg(F.sum("links").alias("links")))
     if split and split > 1:  # links of a component may lie in several tasks
         roots = components(links.select(F.col("node").alias("u"), F.col("peer").alias("v"))).withColumnRenamed("root", "peer")
         links = links.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left").withColumn("peer", F.coalesce("peer", "node"))
