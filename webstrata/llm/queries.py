@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, html_extract, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, warc
+from webstrata.llm import decontamination, fingerprints, html_extract, importance_resampling, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_warc": warc.op10_warc,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_importance_resampling": importance_resampling.op12_importance_resampling,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.OP1_SQL,
         "op7_license_scan": license_scan.OP7_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op12_importance_resampling": importance_resampling.OP12_SQL,
     }
