@@ -25,6 +25,7 @@ SOLID = np.ones(256, np.bool_)
 SOLID[0x20] = SOLID[0x09:0x0E] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+AS_IS = np.arange(256, dtype=np.uint8)
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -100,8 +101,8 @@ def _hash_piece(buf: np.ndarray, solid: np.ndarray, breaks: np.ndarray) -> tuple
     return starts, ends, hashes
 
 
-def words(column: pa.Array, kind: np.ndarray = ALNUM, piece: int = PIECE) -> Iterator[Words]:
-    """The words of a string column, in runs of whole documents of about ``piece`` bytes."""
+def words(column: pa.Array, kind: np.ndarray = ALNUM, piece: int = PIECE, fold: np.ndarray = LOWER) -> Iterator[Words]:
+    """The words of a string column, in runs of whole documents of about ``piece`` bytes; ``fold`` maps bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     data, offsets = buffers(column)
@@ -109,7 +110,7 @@ def words(column: pa.Array, kind: np.ndarray = ALNUM, piece: int = PIECE) -> Ite
     while row < rows:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + piece, "right")) - 1)
         lo, hi = int(offsets[row]), int(offsets[stop])
-        buf = LOWER[data[lo:hi]]
+        buf = fold[data[lo:hi]]
         solid = kind[buf]
         inner = offsets[row : stop + 1] - lo
         if hi - lo == 0:

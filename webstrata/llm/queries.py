@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import decontamination, fingerprints, html_extract, importance_resampling, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, warc
+from webstrata.llm import decontamination, fingerprints, html_extract, importance_resampling, language_id, license_scan, line_dedup, lm_scoring, mixing, ngram_join, periodic_runs, quality, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_warc": warc.op10_warc,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
         "op12_importance_resampling": importance_resampling.op12_importance_resampling,
+        "op13_quality_rules": quality.op13_quality_rules,
     }
 
 
