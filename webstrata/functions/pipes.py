@@ -18,7 +18,7 @@ from pyspark.sql import functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from webstrata.functions import expressions as X
-from webstrata.functions import urls
+from webstrata.functions import http, mime, scrub, urls
 
 
 class PipeError(ValueError):
@@ -144,7 +144,42 @@ ATOMS: dict[str, tuple[int, Callable[..., Column]]] = {
     "unparse_query": (0, lambda v, t: urls.unparse_query(v)),
     "pp_to_path": (0, lambda v, t: urls.parts_to_path(v)),
     "qsl_to_path": (0, lambda v, t: urls.query_to_path(v)),
+    "scrub": (2, lambda v, t, side, options, df: _scrubbed(v, t, side, options, df)),
 }
+#: Functions that look at other columns of the row than their own value.
+_WHOLE_ROW = {"scrub"}
+
+
+def _scrubbed(value: Column, kind: T.DataType, side: str, options: str, df: DataFrame) -> Column:
+    """The body of that side (request or response) of an exchange, scrubbed as what its type and content say.
+
+    HTML and CSS are rewritten for the row's URL, with the row's ``remap`` if there is such a column; documents
+    of kinds that the options ban are blanked, all others are left as they are. The result is binary.
+    """
+    if side not in ("request", "response"):
+        raise PipeError(f"{side!r} is no side of an exchange")
+    try:
+        chosen = scrub.Options.parse(options)
+    except ValueError as wrong:
+        raise PipeError(str(wrong)) from None
+    data = value if _kind(kind) == "binary" else X.to_utf8(value)
+    headers, url = _field(df, f"{side}.headers"), _field(df, "request.url")
+    found = mime.discern(http.content_type(http.header_value(headers, "content-type"))["mime"], data)
+    remap = F.col("remap") if "remap" in df.columns else F.lit(None).cast("map<string,string>")
+    banned = scrub.banned_kinds(chosen)
+
+    def verdict(f: Column) -> Column:
+        """What a document is rewritten as, or what stands in for it."""
+        has = lambda name: F.coalesce(F.array_contains(f["kinds"], name), F.lit(False))
+        hit = F.coalesce(F.arrays_overlap(f["kinds"], F.array(*[F.lit(k) for k in banned])), F.lit(False)) if banned else F.lit(False)
+        blank = F.when(hit & ~has("html"), mime.censor(F.lit(""), f["kinds"], banned or [""], chosen.verbose))
+        return F.struct(F.when(has("html"), "html").when(has("css") & ~hit, "css").alias("kind"), blank.alias("blank"))
+
+    # the array around the type binds it, so it is found out once
+    said = F.get(F.transform(F.array(found), verdict), F.lit(0))
+    text = F.make_valid_utf8(data.cast("string"))
+    html, css = (scrub.scrubbed(k, chosen)(text, url, remap).cast("binary") for k in ("html", "css"))
+    return F.when(said["kind"] == "html", html).when(said["kind"] == "css", css).otherwise(F.coalesce(said["blank"].cast("binary"), data))
 
 
 def register_atom(name: str, arguments: int, function: Callable[..., Column]) -> None:
@@ -178,7 +213,10 @@ def _field(df: DataFrame, name: str) -> Column:
 
 
 def compile_pipe(df: DataFrame, text: str) -> Column:
-    """The column that a pipe stands for over the rows of ``df``."""
+    """The column that a pipe stands for over the rows of ``df``.
+
+    The name of a preset stands for its pipe, unless ``df`` has a column of that name.
+    """
     now: Column | None = None
     for name, *arguments in (c or [""] for c in commands(text)):
         if name in ATOMS:
@@ -186,11 +224,14 @@ def compile_pipe(df: DataFrame, text: str) -> Column:
             if len(arguments) != count:
                 raise PipeError(f"{name!r} takes {count} arguments, not {len(arguments)}")
             value = F.lit(None).cast("string") if now is None else now
-            now = function(value, df.select(value).schema[0].dataType, *arguments)
+            now = function(value, df.select(value).schema[0].dataType, *arguments, *([df] if name in _WHOLE_ROW else []))
             continue
         if arguments:
             raise PipeError(f"{name!r} takes no arguments")
-        found = F.lit(CONSTANTS[name]) if name in CONSTANTS else _field(df, name)
+        if name in PRESETS and name not in df.columns and name != "dot":
+            now = compile_pipe(df, PRESETS[name]) if now is None else F.coalesce(now, compile_pipe(df, PRESETS[name]))
+            continue
+        found = F.lit(CONSTANTS[name]) if name in CONSTANTS else _field(df, "." if name == "dot" and name not in df.columns else name)
         now = found if now is None else F.coalesce(now, found)
     return now
 

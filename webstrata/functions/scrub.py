@@ -74,7 +74,10 @@ _NAVIGATION = ("refresh",)
 _TAG = re.compile(r"""<!--(?P<comment>.*?)-->|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\s*([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'=<>`]+))?""")
 _PRAGMA = re.compile(r"^\s*\[if\s|<!\[endif\]\s*$", re.I)
-_CSS_URL = re.compile(r"""@import\s+(?:url\(\s*)?(?P<q>["']?)(?P<import>[^"')\s;]+)(?P=q)\s*\)?(?P<rest>[^;]*;?)|url\(\s*(?P<p>["']?)(?P<url>[^"')]*)(?P=p)\s*\)""", re.I)
+# comments and strings are tokens of their own, so what looks like a link inside them stays
+_CSS_URL = re.compile(r"""/\*.*?(?:\*/|\Z)|@import\s+(?:url\(\s*)?(?P<q>["']?)(?P<import>[^"')\s;]+)(?P=q)\s*\)?(?P<rest>[^;]*;?)|url\(\s*(?:(?P<p>["'])(?P<quoted>(?:\\.|(?!(?P=p)).)*)(?P=p)|(?P<bare>[^"')\s]*))\s*\)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""", re.I | re.S)
+# an address ends at white space, but for commas at its end; then come a width or density, and a comma
+_CANDIDATE = re.compile(r"[\s,]*(?P<url>\S*[^\s,])(?P<none>,+)?(?(none)|\s*(?P<size>[^,(]*(?:\([^)]*\)[^,(]*)*))")
 
 
 class Scrubber:
@@ -109,7 +112,8 @@ class Scrubber:
         def one(m: re.Match) -> str:
             if m["import"] is not None:
                 return f'@import "{self.link(m["import"], "reqs")}"{m["rest"]}'
-            return f'url("{self.link(m["url"], "reqs")}")' if m["url"] and not m["url"].startswith("data:") else m[0]
+            url = m["quoted"] or m["bare"]
+            return f'url("{self.link(url, "reqs")}")' if url and not url.startswith("data:") else m[0]
 
         return _CSS_URL.sub(one, text)
 
@@ -143,7 +147,7 @@ class Scrubber:
                     continue
                 value = self.css(value)
             elif key == "srcset":
-                value = ", ".join(" ".join([self.link(c.split()[0], "reqs") or "", *c.split()[1:]]) for c in value.split(",") if c.split())
+                value = ", ".join(" ".join(x for x in (self.link(c["url"], "reqs"), (c["size"] or "").strip()) if x) for c in _CANDIDATE.finditer(value))
             elif (name, key) in _KIND_OF or (name, key) == ("link", "href"):
                 kind = _KIND_OF.get((name, key)) or ("reqs" if rels & {"stylesheet", "icon", "apple-touch-icon", "mask-icon"} else "jumps")
                 if value.lower().startswith("javascript:") and not options.scripts:
@@ -181,6 +185,11 @@ class Scrubber:
                     out.append(self._note(f"a {name}"))
                 else:
                     out.append(self._tag(name, m["attrs"]) + (self.css(inner) if name == "style" else inner) + f"</{name}>")
+            elif name in ("textarea", "title"):  # text, whatever it looks like
+                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(text, at)
+                stop = end.end() if end else len(text)
+                out.append(self._tag(name, m["attrs"]) + text[at:stop])
+                at = stop
             elif name == "noscript" and not options.scripts:
                 continue  # what stands in for scripts is shown
             elif not gone.get(name, True):
@@ -211,6 +220,14 @@ def banned_kinds(options: Options) -> list[str]:
     return out + ([] if options.unknown else ["unknown"])
 
 
+def with_meta(html: Column, meta: Column) -> Column:
+    """The document with ``meta`` at the beginning of its head, or in front if it has none."""
+    head = F.regexp_instr(html, F.lit(r"(?i)<head(?=[\s>])[^>]*>"))
+    size = F.length(F.regexp_extract(html, r"(?i)(<head(?=[\s>])[^>]*>)", 1))
+    at = F.when(head > 0, head - 1 + size).otherwise(0)
+    return F.when(F.coalesce(meta, F.lit("")) == "", html).otherwise(F.concat(F.substring(html, F.lit(1), at), meta, F.substring(html, at + 1, F.length(html))))
+
+
 def header_meta(headers: Column) -> Column:
     """Headers that a saved page keeps as ``meta`` elements."""
     kept = F.filter(headers, lambda h: F.lower(h["name"]).isin("default-style", "x-ua-compatible", "content-security-policy", "link", "refresh"))

@@ -3,11 +3,11 @@ unmarking, statistics, logs of the last rows, and archiving status."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.functions.http import TRANSIENT_CODES
+from webstrata.plans.runtime import cut
 
 # Default settings of marking and picking.
 DEFAULTS = {
@@ -78,37 +78,38 @@ def header_score(ours: Column, theirs: Column) -> Column:
     return F.aggregate(theirs, F.lit(0), lambda acc, d: acc + F.when(same(d), 1).when(named(d), -1000).otherwise(0))
 
 
-def match(ours: DataFrame, theirs: DataFrame, on: list[str], window_ms: int = 60_000) -> DataFrame:
+def match(ours: DataFrame, theirs: DataFrame, on: list[str], window_ms: int = 60_000, max_rounds: int = 1000) -> DataFrame:
     """Pair partial records of two observers one to one: (their_id, our_id, score).
 
     Both sides have an id, at_ms and headers, and agree on the keys ``on``. Candidates are at most
     ``window_ms`` apart, found by time slots, so a busy key is spread over its slots. Of candidates the
     best header score wins, then the nearest in time. Where two want the same record the earlier
-    wins and the other takes its next choice: resolved in order of arrival within each run of candidates
-    of a key that are near each other in time.
+    wins and the other takes its next choice.
+
+    Choices are settled in rounds of joins and aggregates, not key by key: all that are without a record
+    ask for the best one that is free or held by a later asker, and each record is held by its earliest
+    asker so far. As all records prefer the earlier, this ends with what a walk in order of
+    arrival would give; a round is needed for each time that someone is turned away in a row.
     """
     slot = lambda t: F.floor(t / window_ms)
     a = ours.select(*on, F.col("id").alias("our_id"), F.col("at_ms").alias("our_ms"), F.col("headers").alias("our_headers"), F.explode(F.array(slot(F.col("at_ms")) - 1, slot(F.col("at_ms")), slot(F.col("at_ms")) + 1)).alias("slot"))
     b = theirs.select(*on, F.col("id").alias("their_id"), F.col("at_ms").alias("their_ms"), F.col("headers").alias("their_headers"), slot(F.col("at_ms")).alias("slot"))
-    pairs = a.join(b, [*on, "slot"]).where(F.abs(F.col("our_ms") - F.col("their_ms")) <= window_ms)
-    scored = pairs.select(*on, "their_id", "our_id", "their_ms", header_score(F.col("our_headers"), F.col("their_headers")).alias("score"), F.abs(F.col("our_ms") - F.col("their_ms")).alias("gap"))
-
-    # candidates of one key that are apart in time by more than the window do not compete: such runs are groups of their own
-    order = Window.partitionBy(*on).orderBy("their_ms", "their_id")
-    opens = F.when(F.col("their_ms") - F.lag("their_ms").over(order) <= 2 * window_ms, 0).otherwise(1)
-    scored = scored.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_opens")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for _, one in pdf.sort_values(["their_ms", "their_id"]).groupby("their_id", sort=False):
-            for row in one.sort_values(["score", "gap", "our_id"], ascending=[False, True, True]).itertuples():
-                if row.our_id not in taken:
-                    taken.add(row.our_id)
-                    out.append((row.their_id, row.our_id, row.score))
-                    break
-        return pd.DataFrame(out, columns=["their_id", "our_id", "score"])
-
-    return scored.groupBy(*on, "_run").applyInPandas(choose, "their_id long, our_id long, score int")
+    near = a.join(b, [*on, "slot"]).where(F.abs(F.col("our_ms") - F.col("their_ms")) <= window_ms)
+    scored = near.select("their_id", "our_id", F.struct("their_ms", "their_id").alias("turn"), header_score(F.col("our_headers"), F.col("their_headers")).alias("score"), F.abs(F.col("our_ms") - F.col("their_ms")).alias("gap"))
+    pairs = cut(scored.withColumn("choice", F.struct(-F.col("score"), "gap", "our_id")).drop("gap"))
+    held = None
+    for _ in range(max_rounds):
+        asking = pairs
+        if held is not None:
+            holders = held.select("our_id", F.col("turn").alias("_turn"))
+            without = pairs.join(held.select("their_id"), "their_id", "left_anti")
+            asking = without.join(holders, "our_id", "left").where(F.col("_turn").isNull() | (F.col("turn") < F.col("_turn")))
+        asked = cut(asking.groupBy("their_id").agg(F.min_by(F.struct("our_id", "turn", "score"), "choice").alias("_a")).select("_a.our_id", "their_id", "_a.turn", "_a.score"))
+        if asked.isEmpty():
+            return (held if held is not None else asked).select("their_id", "our_id", "score")
+        every = asked if held is None else held.unionByName(asked)
+        held = cut(every.groupBy("our_id").agg(F.min_by(F.struct("their_id", "turn", "score"), "turn").alias("_h")).select("our_id", "_h.*"))
+    raise RuntimeError(f"the match did not settle in {max_rounds} rounds")
 
 
 def merged_headers(ours: Column, theirs: Column) -> Column:

@@ -36,6 +36,21 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(rf"(?is)\s{name}\s*="), F.trim(unescape(text)))
 
 
+def _attributes(tag: Column) -> Column:
+    """Array of (name, value) of the attributes in the source of a tag that have a value, the first of each name."""
+    inner = F.regexp_replace(tag, r"^<[^\s/>]+|/?>$", "")
+    pieces = F.regexp_extract_all(inner, F.lit(r"""([^\s"'<>/=]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))"""), F.lit(1))
+
+    def read(piece: Column) -> Column:
+        text = F.regexp_replace(piece, r"(?s)^[^=]*=\s*", "")
+        bare = F.when(text.startswith('"') | text.startswith("'"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+        return F.struct(F.lower(F.regexp_extract(piece, r"^([^\s=]+)", 1)).alias("name"), F.trim(unescape(bare)).alias("value"))
+
+    # the array around the pairs binds them, so they are read once
+    first = lambda pairs: F.filter(pairs, lambda x, k: F.array_position(F.transform(pairs, lambda y: y["name"]), x["name"]) == k + 1)
+    return F.get(F.transform(F.array(F.transform(pieces, read)), first), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """The character references that URLs need."""
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -72,15 +87,18 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     tags = pages.select(*keys, _tags(F.col(html)).alias("tags"))
     base = F.get(F.filter(F.transform("tags", lambda t: F.when(t.rlike(r"(?i)^<base\b"), attribute(t, "href"))), lambda b: b.isNotNull()), F.lit(0))
     tags = tags.withColumn("base", F.coalesce(urls.resolve(F.col(url), base), F.col(url)))
-    each = tags.select(*keys, "base", F.posexplode("tags").alias("place", "source")).withColumn("tag", F.lower(F.regexp_extract("source", r"^<([^\s/>]+)", 1)))
-    named = [F.when((F.col("tag") == t) & attribute(F.col("source"), a).isNotNull(), F.struct(F.lit(a).alias("attribute"), attribute(F.col("source"), a).alias("link"), F.lit(k).alias("kind"), F.lit(m).alias("mime"))) for t, a, k, m in ATTRIBUTES]
-    rel = rel_kind(attribute(F.col("source"), "rel"))
-    linked = F.when((F.col("tag") == "link") & attribute(F.col("source"), "href").isNotNull(), F.struct(F.lit("href").alias("attribute"), attribute(F.col("source"), "href").alias("link"), rel["kind"].alias("kind"), rel["mime"].alias("mime")))
     wanted = sorted({t for t, *_ in ATTRIBUTES} | {"link", "img", "source"})
-    found = F.array_compact(F.array(*named, linked))
-    images = F.transform(http.srcset(attribute(F.col("source"), "srcset")), lambda x: F.struct(F.lit("srcset").alias("attribute"), x["url"].alias("link"), F.lit("requisite").alias("kind"), F.lit(IMAGES).alias("mime")))
-    found = F.when(F.col("tag").isin("img", "source") & attribute(F.col("source"), "srcset").isNotNull(), F.concat(found, images)).otherwise(found)
-    out = each.where(F.col("tag").isin(*wanted)).select(*keys, "base", "place", "tag", F.explode(found).alias("_l"))
+    each = tags.select(*keys, "base", F.posexplode("tags").alias("place", "source")).withColumn("tag", F.lower(F.regexp_extract("source", r"^<([^\s/>]+)", 1)))
+    each = each.where(F.col("tag").isin(*wanted)).withColumn("attributes", _attributes(F.col("source"))).drop("source")
+    known = F.create_map(*[x for t, a, k, m in ATTRIBUTES for x in (F.lit(f"{t} {a}"), F.struct(F.lit(k).alias("kind"), F.lit(m).alias("mime")))])
+    one = lambda name, link, what: F.struct(name.alias("attribute"), link.alias("link"), what["kind"].alias("kind"), what["mime"].alias("mime"))
+    value = lambda name: F.get(F.filter("attributes", lambda x: x["name"] == name), F.lit(0))["value"]
+    key = lambda x: F.concat(F.col("tag"), F.lit(" "), x["name"])
+    named = F.transform(F.filter("attributes", lambda x: F.map_contains_key(known, key(x))), lambda x: one(x["name"], x["value"], F.element_at(known, key(x))))
+    linked = F.when((F.col("tag") == "link") & value("href").isNotNull(), F.array(one(F.lit("href"), value("href"), rel_kind(value("rel")))))
+    image = F.struct(F.lit("requisite").alias("kind"), F.lit(IMAGES).alias("mime"))
+    images = F.when(F.col("tag").isin("img", "source") & value("srcset").isNotNull(), F.transform(http.srcset(value("srcset")), lambda x: one(F.lit("srcset"), x["url"], image)))
+    out = each.select(*keys, "base", "place", "tag", F.explode(F.flatten(F.array_compact(F.array(named, linked, images)))).alias("_l"))
     return out.select(*keys, "place", "tag", "_l.*", urls.resolve(F.col("base"), F.col("_l.link")).alias("target"))
 
 
@@ -89,27 +107,73 @@ def hrefs(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(*[c for c in pages.columns if c != html], F.posexplode(F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("place", "href"))
 
 
-def chase(links: DataFrame, visits: DataFrame, max_hops: int = 8) -> DataFrame:
+def redirect_nodes(visits: DataFrame, max_hops: int = 8) -> DataFrame:
+    """Where each URL leads, whatever the time: (net_url, path, stop), from one shuffle of its visits.
+
+    ``path`` has the URLs after it for as long as each redirects to one place only, ``max_hops`` at most.
+    ``stop`` is what stands at the end: ``final`` where no visit redirects, ``mixed`` where visits differ, so
+    that the time decides, ``pointer`` where there are more redirects, null where nothing is archived. Paths double in each
+    round, so there are log2(max_hops) joins of one row a URL. Redirects without a target count as no visits.
+    """
+    moved = F.col("code").isin(*http.REDIRECT_CODES)
+    to = F.when(moved, F.col("location"))
+    seen = visits.where(~F.coalesce(moved, F.lit(False)) | F.col("location").isNotNull())
+    reduced = seen.groupBy("net_url").agg(F.min(to).alias("least"), F.max(to).alias("most"), F.count(to).alias("moves"), F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("moves") == 0, "final").when((F.col("moves") == F.col("n")) & (F.col("least") == F.col("most")), "pointer").otherwise("mixed")
+    reduced = cut(reduced.select("net_url", kind.alias("kind"), "least"))
+    kinds = reduced.select(F.col("net_url").alias("_last"), F.col("kind").alias("stop"))
+    paths = reduced.where("kind = 'pointer'").select("net_url", F.array("least").alias("path"))
+    size = 1
+    while size < max_hops:
+        further = paths.select(F.col("net_url").alias("_last"), F.col("path").alias("_more"))
+        # a path that is shorter has ended: its last URL is no pointer
+        longer = paths.withColumn("_last", F.when(F.size("path") == size, F.element_at("path", -1))).join(further, "_last", "left")
+        paths = cut(longer.select("net_url", F.when(F.col("_more").isNull(), F.col("path")).otherwise(F.slice(F.concat("path", "_more"), 1, max_hops)).alias("path")))
+        size *= 2
+    ended = paths.withColumn("_last", F.element_at("path", -1)).join(kinds, "_last", "left").select("net_url", "path", "stop")
+    none = F.slice(F.array("net_url"), 1, 0)
+    return cut(ended.unionByName(reduced.where("kind <> 'pointer'").select("net_url", none.alias("path"), F.col("kind").alias("stop"))))
+
+
+def chase(links: DataFrame, visits: DataFrame, max_hops: int = 8, nodes: DataFrame | None = None) -> DataFrame:
     """Follow redirects through the archive: (link_id, target, final, hops); ``final`` is null where
     a target is not archived, is in a cycle, or needs more hops.
 
     ``links`` has link_id, target and page_time; ``visits`` net_url, code, location (absolute), stime
-    and seq. Links that ask for the same page at the same time are followed once; every hop is one
-    nearest-in-time join, checkpointed, and what has ended takes no further part.
+    and seq; ``nodes`` may hold its ``redirect_nodes``. Links that ask for the same page at the same time are
+    followed once, along whole paths; only where a URL's visits differ, the one nearest in time is looked up.
     """
+    nodes = redirect_nodes(visits, max_hops) if nodes is None else nodes
+    mixed = nodes.where("stop = 'mixed' and size(path) = 0").select("net_url")
+    varied = not mixed.isEmpty()
     asked = links.select("target", "page_time").distinct()
-    open_, done = asked.select("target", "page_time", F.col("target").alias("net_url"), F.array("target").alias("seen")), None
-    for hop in range(max_hops + 1):
-        near = cut(nearest_join(open_, visits, ["net_url"], "page_time", "stime", "seq", "target", how="left"))
-        moved = F.coalesce(F.col("match.code").isin(*http.REDIRECT_CODES) & F.col("match.location").isNotNull(), F.lit(False))
-        again = F.array_contains("seen", F.col("match.location")) | F.lit(hop == max_hops)
-        ends = near.where(~moved | again).select("target", "page_time", F.when(~moved & F.col("match").isNotNull(), F.col("net_url")).alias("final"), F.lit(hop).alias("hops"))
+    open_, done = asked.withColumn("seen", F.array("target")), None
+    at = nodes.select(F.col("net_url").alias("_place"), "path", "stop")
+    for _ in range(max_hops + 1):
+        walked = open_.withColumn("_place", F.element_at("seen", -1)).join(at, "_place", "left")
+        whole = F.when(F.col("path").isNull(), F.col("seen")).otherwise(F.concat("seen", "path"))
+        again = F.array_min(F.filter(F.sequence(F.lit(1), F.size("_whole")), lambda k: F.array_position(F.col("_whole"), F.get("_whole", k - 1)) < k))
+        length = F.least(F.coalesce(again - 1, F.size("_whole")), F.lit(max_hops + 1))
+        walked = walked.withColumn("_whole", whole).withColumn("seen", F.slice("_whole", 1, length))
+        ended = F.size("seen") == F.size("_whole")
+        walked = walked.select("target", "page_time", "seen", F.when(ended, F.col("stop")).alias("stop"))
+        more = F.coalesce(F.col("stop") == "mixed", F.lit(False))
+        ends = walked.where(~more).select("target", "page_time", F.when(F.col("stop") == "final", F.element_at("seen", -1)).alias("final"), (F.size("seen") - 1).alias("hops"))
         done = ends if done is None else done.unionByName(ends)
-        open_ = near.where(moved & ~again).select("target", "page_time", F.col("match.location").alias("net_url"), F.concat("seen", F.array("match.location")).alias("seen"))
-        if hop == max_hops or open_.isEmpty():
+        if not varied:
+            break
+        waiting = cut(walked.where(more).select("target", "page_time", "seen", F.element_at("seen", -1).alias("net_url")))
+        if waiting.isEmpty():
             break
-    same = (links["target"] == done["target"]) & links["page_time"].eqNullSafe(done["page_time"])
-    return links.join(done, same).select("link_id", links["target"], "final", "hops")
+        differing = visits.join(mixed, "net_url", "left_semi")
+        targeted = ~F.coalesce(F.col("code").isin(*http.REDIRECT_CODES), F.lit(False)) | F.col("location").isNotNull()
+        near = cut(nearest_join(waiting, differing, ["net_url"], "page_time", "stime", "seq", "target", targeted))
+        to = F.when(F.col("match.code").isin(*http.REDIRECT_CODES), F.col("match.location"))
+        stuck = to.isNotNull() & (F.array_contains("seen", to) | (F.size("seen") > max_hops))
+        done = done.unionByName(near.where(to.isNull() | stuck).select("target", "page_time", F.when(to.isNull(), F.col("net_url")).alias("final"), (F.size("seen") - 1).alias("hops")))
+        open_ = near.where(to.isNotNull() & ~stuck).select("target", "page_time", F.concat("seen", F.array(to)).alias("seen"))
+    done = done.select(F.col("target").alias("_target"), F.col("page_time").alias("_time"), "final", "hops")
+    return links.join(done, (F.col("target") == F.col("_target")) & F.col("page_time").eqNullSafe(F.col("_time"))).select("link_id", "target", "final", "hops")
 
 
 def within(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

@@ -3,13 +3,15 @@
 Ties: of two visits equally near the earlier one wins, then the one with the smaller ``seq`` column.
 Keeping one of each aggregates before it shuffles (min_by / max_by). The nearest-in-time joins lay both
 sides out along time and look one row back and one ahead, so no pairs of a key are made; a key with many
-rows is cut into slots of time, and slots pass their edges on.
+rows is cut into slots by rank in time, and slots pass their edges on.
 """
 
 from __future__ import annotations
 
 import fnmatch
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,40 +56,71 @@ def nearest_join(left: DataFrame, right: DataFrame, on: list[str], left_time: st
     """As-of join in both directions: each left row with the nearest right row of its key.
 
     ``allowed`` filters right rows before the join. Columns of the match come as the struct ``match``,
-    null for left rows without one (``how="left"``) .
+    null for left rows without one (``how="left"``). Keys of few rows are one lane each. Of keys with many
+    rows each different time is asked for once; times are cut into slots of equal numbers of rows
+    (``time_slots``), slots hand their edges on, and the answers are joined back to the rows.
     """
     usable = right if allowed is None else right.where(allowed)
+    usable = usable.where(reduce(and_, [F.col(c).isNotNull() for c in on]))
     others = F.struct(*[c for c in usable.columns if c not in on])
     once = usable.groupBy(*on, F.col(right_time).alias("_t")).agg(F.min_by(others, F.col(right_seq)).alias("match"))
     rest = [c for c in left.columns if c not in on]
-    ours = left.select(*on, F.col(left_time).alias("_t"), F.struct(*rest).alias("_left"), F.lit(1).alias("_kind"))
-    both = once.select(*on, "_t", "match", F.lit(0).alias("_kind")).unionByName(ours, allowMissingColumns=True)
-    hot = runtime.hot_keys(both, on, F.min("_t").alias("_from"), F.max("_t").alias("_to"))
+    ours = left.select(*on, F.col(left_time).alias("_t"), F.struct(*rest).alias("_left"))
+    hot = runtime.hot_keys(usable.select(*on).unionByName(left.select(*on)), on)
     if hot is None:
-        both = both.withColumn("_slot", F.lit(0))
+        out = _nearer(_neighbours(_along(once, ours), on))
     else:
-        width = F.greatest(F.timestamp_diff("MICROSECOND", F.col("_from"), F.col("_to")) / F.ceil(F.col("n") / runtime.HOT_ROWS), F.lit(1))
-        slot = F.floor(F.timestamp_diff("MICROSECOND", F.col("_from"), F.col("_t")) / width).cast("int")
-        both = both.join(F.broadcast(hot), on, "left").withColumn("_slot", F.coalesce(slot, F.lit(0))).drop("n", "_from", "_to")
-    upto = (Window.unboundedPreceding, Window.currentRow)
-    lane = Window.partitionBy(*on, "_slot")
-    back, ahead = lane.orderBy("_t", "_kind").rowsBetween(*upto), lane.orderBy(F.desc("_t"), "_kind").rowsBetween(*upto)
-    seen = both.select("*", F.last(F.when(F.col("_kind") == 0, F.struct("_t", "match")), True).over(back).alias("_back"), F.last(F.when(F.col("_kind") == 0, F.struct("_t", "match")), True).over(ahead).alias("_ahead"))
-    seen = seen.where("_kind = 1").drop("match", "_kind")
-    if hot is not None:  # what the slots before and after a slot end and begin with; there are few
-        is_right = F.when(F.col("_kind") == 0, F.col("_t"))
-        here = F.struct("_t", "match")
-        edges = both.join(F.broadcast(hot.select(*on)), on, "left_semi").groupBy(*on, "_slot").agg(F.max_by(here, is_right).alias("_last"), F.min_by(here, is_right).alias("_first"))
-        before = Window.partitionBy(*on).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-        after = Window.partitionBy(*on).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-        edges = edges.select(*on, "_slot", F.last("_last", True).over(before).alias("_before"), F.last("_first", True).over(after).alias("_after"))
-        seen = seen.join(F.broadcast(edges), [*on, "_slot"], "left").withColumn("_back", F.coalesce("_back", "_before")).withColumn("_ahead", F.coalesce("_ahead", "_after"))
-    nearer = F.col("_back").isNotNull() & (F.col("_ahead").isNull() | (distance(F.col("_t"), F.col("_back._t")) <= distance(F.col("_ahead._t"), F.col("_t"))))
-    out = seen.withColumn("match", F.when(nearer, F.col("_back.match")).otherwise(F.col("_ahead.match")))
+        keys = F.broadcast(hot.select(*on))  # at most three times as many as partitions
+        calm = _nearer(_neighbours(_along(once.join(keys, on, "left_anti"), ours.join(keys, on, "left_anti")), on))
+        busy = ours.join(keys, on, "left_semi")
+        slots = time_slots(_along(once.join(keys, on, "left_semi"), busy.select(*on, "_t").distinct()), on)
+        seen = _neighbours(slots, [*on, "_slot"]).join(_edges(slots, on), [*on, "_slot"], "left")
+        seen = seen.withColumn("_back", F.coalesce("_back", "_before")).withColumn("_ahead", F.coalesce("_ahead", "_after"))
+        out = calm.unionByName(busy.join(_nearer(seen).select(*on, "_t", "match"), [*on, "_t"], "left").select(*calm.columns))
     out = out if how == "left" else out.where(F.col("match").isNotNull())
     return out.select(*[c if c in on else F.col(f"_left.{c}") for c in left.columns], "match")
 
 
+def _along(once: DataFrame, asks: DataFrame) -> DataFrame:
+    """Both sides in one table: kind 0 has a match, kind 1 asks for one."""
+    return once.withColumn("_kind", F.lit(0)).unionByName(asks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+
+
+def time_slots(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Add ``_slot``, in order of time within a key: ranges of key and time with about as many rows each.
+
+    No two rows of a kind have the same key and time, so a burst is cut as well as quiet times are. The
+    table is checkpointed, as all its readers have to see the same slots.
+    """
+    tasks = 3 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runtime.cut(rows.repartitionByRange(tasks, *on, "_t").withColumn("_slot", F.spark_partition_id()))
+
+
+def _neighbours(rows: DataFrame, lane: list[str]) -> DataFrame:
+    """Rows that ask, with the last match before and the first one after them in their lane."""
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*lane).orderBy("_t", "_kind").rowsBetween(*upto)
+    ahead = Window.partitionBy(*lane).orderBy(F.desc("_t"), "_kind").rowsBetween(*upto)
+    here = F.when(F.col("_kind") == 0, F.struct("_t", "match"))
+    seen = rows.select("*", F.last(here, True).over(back).alias("_back"), F.last(here, True).over(ahead).alias("_ahead"))
+    return seen.where("_kind = 1").drop("match", "_kind")
+
+
+def _edges(slots: DataFrame, on: list[str]) -> DataFrame:
+    """What the slots before and after each slot of a key end and begin with; a key has no more slots than there are ranges."""
+    here = F.struct("_t", "match")
+    ends = slots.where("_kind = 0").groupBy(*on, "_slot").agg(F.max_by(here, "_t").alias("_last"), F.min_by(here, "_t").alias("_first"))
+    every = slots.select(*on, "_slot").distinct().join(ends, [*on, "_slot"], "left")
+    before = Window.partitionBy(*on).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*on).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    return every.select(*on, "_slot", F.last("_last", True).over(before).alias("_before"), F.last("_first", True).over(after).alias("_after"))
+
+
+def _nearer(seen: DataFrame) -> DataFrame:
+    nearer = F.col("_back").isNotNull() & (F.col("_ahead").isNull() | (distance(F.col("_t"), F.col("_back._t")) <= distance(F.col("_ahead._t"), F.col("_t"))))
+    return seen.withColumn("match", F.when(nearer, F.col("_back.match")).otherwise(F.col("_ahead.match"))).drop("_back", "_ahead", "_before", "_after")
+
+
 def in_range(df: DataFrame, time: str, start: datetime, end: datetime) -> DataFrame:
     return df.where((F.col(time) >= F.lit(start)) & (F.col(time) <= F.lit(end)))
 

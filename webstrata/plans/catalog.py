@@ -792,6 +792,9 @@ def rotate_order(spark, sf_dir):
     return rows.select(F.col("new_seq.seq").alias("event_id"), F.col("new_seq.moved").alias("moved"))
 
 
+from webstrata.plans import site  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -74,10 +74,30 @@ def cbor_stream(parts: list[bytes]) -> bytes:
     return b"\x9f" + b"".join(parts) + b"\xff"
 
 
+def _bytes_literal(digits: Column) -> Column:
+    """A Python literal of bytes, given in hex."""
+    code = lambda k: F.conv(F.substring(digits, 2 * k + 1, F.lit(2)), 16, 10).cast("int")
+    plain = lambda c: (c >= 32) & (c < 127) & ~c.isin(39, 92)
+    shown = lambda k: F.when(plain(code(k)), F.char(code(k))).otherwise(F.concat(F.lit("\\x"), F.lower(F.substring(digits, 2 * k + 1, F.lit(2)))))
+    each = F.when(F.length(digits) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(digits) / 2) - 1, F.lit(0)).cast("int")), shown))
+    return F.concat(F.lit("b'"), F.array_join(each, ""), F.lit("'"))
+
+
 def python_rows(*values: Column) -> Column:
-    """One Python list a row; strings and bytes as literals."""
+    """One Python list a row: strings and bytes as literals, numbers and truth values bare, lists and structs as lists of those."""
     quoted = lambda text: F.concat(F.lit("'"), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("\n"), F.lit("\\n")), F.lit("'"))
-    return F.concat(F.lit("["), F.concat_ws(", ", *[F.coalesce(quoted(v.cast("string")), F.lit("None")) for v in values]), F.lit("]"))
+    # names and numbers outside of the strings of a JSON text
+    word = lambda text, old, new: F.regexp_replace(text, rf'\b{old}\b(?=(?:[^"\\]|\\.|"(?:[^"\\]|\\.)*")*$)', new)
+
+    def one(v: Column) -> Column:
+        kind, bare = F.typeof(v), v.cast("string")
+        nested = F.regexp_replace(F.to_json(F.array(v)), r"^\[|\]$", "")
+        for old, new in (("true", "True"), ("false", "False"), ("null", "None")):
+            nested = word(nested, old, new)
+        shown = F.when(kind == "string", quoted(bare)).when(kind == "binary", _bytes_literal(F.hex(bare))).when(kind == "boolean", F.initcap(bare)).when(kind.startswith("array") | kind.startswith("struct") | kind.startswith("map"), nested).when(kind.isin("tinyint", "smallint", "int", "bigint", "float", "double") | kind.startswith("decimal"), bare)
+        return F.coalesce(shown.otherwise(quoted(bare)), F.lit("None"))
+
+    return F.concat(F.lit("["), F.concat_ws(", ", *[one(v) for v in values]), F.lit("]"))
 
 
 def write_bundle_files(dumps: DataFrame, folder: str) -> DataFrame:

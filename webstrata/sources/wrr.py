@@ -233,7 +233,9 @@ def in_order(rows: DataFrame, paths: list[str], path_order: str = "given", walk_
     for k, top in reversed(list(enumerate(tops))):
         bare = F.regexp_replace("source_path", r"^file:(//)?", "")
         place = F.when((bare == top) | bare.startswith(top.rstrip("/") + "/"), F.lit(k)).otherwise(place)
-    walked = F.col("source_path") if walk_order == "sorted" else F.translate("source_path", "".join(map(chr, range(32, 127))), "".join(map(chr, range(126, 31, -1))))
+    # in hex with its digits reversed and an end mark above them all, what sorted last sorts first
+    backwards = F.concat(F.translate(F.hex(F.encode("source_path", "UTF-8")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    walked = {"sorted": F.col("source_path"), "reversed": backwards}[walk_order]
     return rows.withColumn("input_seq", F.struct(place.alias("path"), walked.alias("walk"), F.coalesce("element_num", F.lit(0)).alias("element")))
 
 

@@ -148,6 +148,13 @@ def archive_to(stores: dict[int, Callable[[DataFrame, int], None]], failures: Ca
     return run
 
 
+def run_batches(stream: DataFrame, function: Callable[[DataFrame, int], None], state: str, mode: str = "append") -> StreamingQuery:
+    """Hand every batch of what is there to a ``foreachBatch`` function, and stop; ``state`` is the checkpoint."""
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(function).start()
+    query.awaitTermination()
+    return query
+
+
 def run_now(stream: DataFrame, path: str, mode: str = "append", timeouts: bool = False) -> StreamingQuery:
     """Process what is there and stop; the result is a Parquet table at ``path``.
 
