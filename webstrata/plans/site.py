@@ -9,13 +9,13 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.operators import capture, index, links, mirror, patterns, versions
 from webstrata.plans.catalog import query, table
-from webstrata.plans.runtime import shared_dir
-from webstrata.streaming import jobs
+from webstrata.plans.runtime import cut, shared_dir
+from webstrata.streaming import flight, jobs
 
 IDEAL = datetime(2024, 1, 15)
 ORIGIN = "https://events.example/u"
@@ -156,3 +156,68 @@ def url_index_lookup(spark, sf_dir):
     jobs.run_batches(jobs.table_stream(spark, f"{folder}/in", "*.parquet"), index.appender(name, buckets=8), f"{folder}/state")
     asked = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(ORIGIN), F.pmod("o_custkey", F.lit(150)).cast("string")).alias("net_url"))
     return index.lookup(asked, name).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("visits"), F.min("seq").alias("first_event"))
+
+
+def _in_batches(rows: DataFrame, batch: Column, n: int, name: str) -> DataFrame:
+    """A stream of ``rows`` in ``n`` batches, in order."""
+    spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/webstrata/{name}-{uuid.uuid4().hex}"
+    kept = cut(rows.withColumn("_batch", batch))
+    for k in range(n):
+        kept.where(F.col("_batch") == k).drop("_batch").coalesce(1).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS u, CAST(event_id AS VARCHAR) AS request_id, epoch_us(ts) // 1000 AS ms, least((dayofmonth(ts) - 1) // 8, 3) AS b FROM events),
+w AS (SELECT max(ms) FILTER (b <= 1) AS passed FROM e)
+SELECT request_id, 0 AS part, 'GET /' || u AS request, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN '301' ELSE '200' END AS status,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'redirect' WHEN 'purchase' THEN CASE WHEN b <= 1 AND ms + 3600000 <= passed THEN 'timeout' ELSE 'flush' END ELSE 'complete' END AS ended
+FROM e, w
+UNION ALL SELECT request_id, 1, 'GET /' || u, '200', 'complete' FROM e WHERE event_type = 'click'
+""")
+def stream_in_flight(spark, sf_dir):
+    """Exchanges that end, redirect or fail; purchases never end: time runs out for the early ones, a flush sends the others out.
+
+    Of each fifth exchange the headers come before the request.
+    """
+    rows = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    kind = F.col("event_type")
+    event = lambda n, name, value: F.struct(F.lit(n).alias("n"), F.lit(name).alias("kind"), value.cast("string").alias("value"))
+    request = F.struct(F.when(F.col("event_id") % 5 == 0, 2).otherwise(0).alias("n"), F.lit("request").alias("kind"), F.concat(F.lit("GET /"), F.col("user_id").cast("string")).alias("value"))
+    log = F.array_compact(F.array(
+        request, F.when(kind != "error", event(1, "headers", F.when(kind == "click", "301").otherwise("200"))), F.when(kind == "click", event(3, "redirect", F.lit(None))), F.when(kind == "click", event(4, "headers", F.lit("200"))),
+        F.when(kind == "error", event(5, "error", F.lit(None))).when(kind != "purchase", event(5, "complete", F.lit(None))),
+    ))
+    events = rows.select(F.col("event_id").cast("string").alias("request_id"), "event_id", "at", F.explode(log).alias("e")).select("request_id", (F.col("event_id") * 10 + F.col("e.n")).alias("seq"), "at", "e.kind", "e.value")
+    end = spark.range(1).select(F.lit(None).cast("string").alias("request_id"), F.lit(1 << 60).alias("seq"), F.lit(datetime(2024, 1, 31)).cast("timestamp").alias("at"), F.lit("flush").alias("kind"), F.lit(None).cast("string").alias("value"))
+    stream = _in_batches(events.unionByName(end), F.least(F.floor((F.dayofmonth("at") - 1) / 8), F.lit(3)), 4, "in_flight")
+    out = flight.in_flight(stream, 3_600_000, lanes=8)
+    path = f"{shared_dir(spark)}/webstrata/in_flight-{uuid.uuid4().hex}"
+    flight.run_stateful(out, path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@query("""
+WITH RECURSIVE o AS (SELECT event_type, event_id AS our_id, epoch_us(ts) // 1000 AS ms, user_id % 3 AS h FROM events WHERE event_id % 2 = 0),
+t AS (SELECT event_type, event_id AS their_id, epoch_us(ts) // 1000 AS ms, user_id % 3 AS h, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+pair AS MATERIALIZED (SELECT event_type, k, their_id, our_id, CASE WHEN o.h = t.h THEN 1 ELSE -1000 END AS score, abs(o.ms - t.ms) AS gap FROM o JOIN t USING (event_type) WHERE abs(o.ms - t.ms) <= 3600000),
+walk AS (SELECT DISTINCT event_type, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS taken, NULL::BIGINT AS their_id, NULL::BIGINT AS our_id, NULL::INTEGER AS score FROM t
+  UNION ALL
+  SELECT w.event_type, t.k, CASE WHEN c.our_id IS NULL THEN taken ELSE list_append(taken, c.our_id)[-256:] END, t.their_id, c.our_id, c.score
+  FROM walk w JOIN t ON t.event_type = w.event_type AND t.k = w.k + 1 LEFT JOIN LATERAL
+    (SELECT our_id, score FROM pair p WHERE p.their_id = t.their_id AND NOT list_contains(w.taken, p.our_id) ORDER BY score DESC, gap, our_id LIMIT 1) c ON true),
+won AS (SELECT their_id, our_id, score FROM walk WHERE our_id IS NOT NULL)
+SELECT * FROM won UNION ALL SELECT their_id, NULL, NULL FROM t WHERE their_id NOT IN (SELECT their_id FROM won) UNION ALL SELECT NULL, our_id, NULL FROM o WHERE our_id NOT IN (SELECT our_id FROM won)
+""")
+def stream_contest(spark, sf_dir):
+    """The match of two observers over a stream of four batches, with what stays alone; a last row of each kind ends the watermark's wait."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("k"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), F.create_map(F.lit("X-Group"), F.pmod("user_id", F.lit(3)).cast("string")).alias("headers"))
+    both = rows.withColumn("side", F.lit(1)).unionByName(rows.where("id % 2 = 0").withColumn("side", F.lit(0)))
+    end = rows.select("k", F.lit(-1).cast("long").alias("id"), F.lit(datetime(2024, 3, 1)).cast("timestamp").alias("at"), "headers", F.lit(0).alias("side")).dropDuplicates(["k"])
+    later = end.withColumn("at", F.lit(datetime(2024, 4, 1)).cast("timestamp"))
+    day = F.when(F.month("at") == 1, F.floor((F.dayofmonth("at") - 1) / 8)).otherwise(F.month("at") + 1)
+    stream = _in_batches(both.unionByName(end).unionByName(later), day, 6, "contest")
+    out = flight.matched(stream, ["k"], within_ms=3_600_000)
+    path = f"{shared_dir(spark)}/webstrata/contest-{uuid.uuid4().hex}"
+    flight.run_stateful(out, path)
+    return spark.read.schema(out.schema).parquet(path).where(F.coalesce("our_id", F.lit(0)) >= 0)

@@ -38,6 +38,15 @@ _EARLY = T.StructType([T.StructField("id", T.StringType()), T.StructField("seq",
 PARTS = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("request", T.StringType()), T.StructField("status", T.StringType()), T.StructField("ended", T.StringType())])
 
 
+def _wake(handle: StatefulProcessorHandle, at: int, after: int = -1) -> None:
+    """Ask for a timer, unless an earlier one is set, which then looks at all that is due and asks anew.
+
+    The timer that just rings is still in the list, so those up to ``after`` do not count.
+    """
+    if min((t for t in handle.listTimers() if t > after), default=at + 1) > at:
+        handle.registerTimer(at)
+
+
 class _InFlight(StatefulProcessor):
     """One lane: a map of the exchanges that are open, and a list of events that came before their request."""
 
@@ -53,11 +62,11 @@ class _InFlight(StatefulProcessor):
         early = {}
         for x in self.early.get():
             early.setdefault(x[0], []).append(tuple(x))
-        before, now, out, latest = {k: list(v) for k, v in early.items()}, {}, [], 0
+        before, now, out, due = {k: list(v) for k, v in early.items()}, {}, [], []
         todo = pd.concat(list(rows)).sort_values("seq", kind="stable")
         for event in todo[["request_id", "seq", "kind", "value", "at_ms"]].itertuples(index=False):
             one, seq, kind, value, at = event.request_id, int(event.seq), event.kind, event.value if isinstance(event.value, str) else None, int(event.at_ms)
-            latest = max(latest, at)
+            due.append(at + self.wait_ms)
             if kind == "flush":
                 self._flush(one if isinstance(one, str) else None, now, out)
                 continue
@@ -77,8 +86,7 @@ class _InFlight(StatefulProcessor):
                 self.open.removeKey((one,))
         if early != before:
             self._keep(early)
-        if latest:
-            self.handle.registerTimer(latest + self.wait_ms)
+        _wake(self.handle, min(due))
         yield pd.DataFrame(out, columns=PARTS.names)
 
     def _known(self, one: str) -> list | None:
@@ -112,11 +120,13 @@ class _InFlight(StatefulProcessor):
             now[name] = None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until, out = expiredTimerInfo.getExpiryTimeInMs() - self.wait_ms, []
+        until, out, left = timerValues.getCurrentWatermarkInMs() - self.wait_ms, [], []
         for one, state in [(k[0], tuple(v)) for k, v in self.open.iterator()]:
             if state[3] <= until:
                 out.append((one, *state[:3], "timeout"))
                 self.open.removeKey((one,))
+            else:
+                left.append(state[3])
         early: dict[str, list] = {}
         for x in self.early.get():
             early.setdefault(x[0], []).append(tuple(x))
@@ -126,6 +136,9 @@ class _InFlight(StatefulProcessor):
             out.append((one, 0, None, status[-1] if status else None, "timeout"))
         if old:
             self._keep(early)
+        left += [max(e[4] for e in events) for events in early.values()]
+        if left:
+            _wake(self.handle, min(left) + self.wait_ms, expiredTimerInfo.getExpiryTimeInMs())
         yield pd.DataFrame(sorted(out, key=lambda r: r[:2]), columns=PARTS.names)
 
     def close(self) -> None:
@@ -166,13 +179,12 @@ class _Matched(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = [(int(r.side), int(r.id), int(r.at_ms), dict(r.headers) if r.headers is not None else {}) for frame in rows for r in frame.itertuples(index=False)]
         self.waiting.appendList(new)
-        for at in {at for side, _, at, _ in new}:
-            self.handle.registerTimer(at + 2 * self.within_ms + 1)
+        _wake(self.handle, min(at for _, _, at, _ in new) + 2 * self.within_ms + 1)
         yield pd.DataFrame(columns=PAIRS.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Settle theirs in order of arrival: by now all records that can take part are there."""
-        until = expiredTimerInfo.getExpiryTimeInMs() - 2 * self.within_ms - 1
+        until = timerValues.getCurrentWatermarkInMs() - 2 * self.within_ms - 1
         held = [tuple(x) for x in self.waiting.get()]
         ours = {r[1]: r for r in held if r[0] == 0}
         theirs = sorted((r for r in held if r[0] == 1), key=lambda r: (r[2], r[1]))
@@ -189,6 +201,7 @@ class _Matched(StatefulProcessor):
         left = [o for o in ours.values() if o not in gone] + [r for r in theirs if r[2] > until]
         if left:
             self.waiting.put(left)
+            _wake(self.handle, min(r[2] for r in left) + 2 * self.within_ms + 1, expiredTimerInfo.getExpiryTimeInMs())
         else:
             self.waiting.clear()
         frame = pd.DataFrame(out, columns=PAIRS.names)
