@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from webstrata.operators import capture
-from webstrata.streaming import flight, jobs
+from webstrata.streaming import flight, jobs, stores
 
 
 def _batches(spark, folder, schema, *batches):
@@ -79,3 +79,30 @@ def test_matches_are_those_of_the_batch_operator(spark, tmp_path):
     alone = {r.their_id if r.their_id is not None else r.our_id for r in got if r.their_id is None or r.our_id is None}
     assert alone - {9000, 9001, 9002} == {r[2] for r in rows} - paired
     assert len(got) == len({(r.their_id, r.our_id) for r in got}) and 9003 not in alone
+
+
+def test_a_store_that_fails_twice(spark, tmp_path):
+    folder, seen = str(tmp_path / "s"), []
+
+    def one(rows, batch_id):
+        seen.append((1, batch_id, sorted(r.id for r in rows.collect())))
+
+    def two(rows, batch_id):
+        if batch_id in (0, 1):
+            raise OSError("no room\nat all")
+        seen.append((2, batch_id, sorted(r.id for r in rows.collect())))
+
+    schema = "id long, seq long, want long, body string"
+    stream = _batches(spark, tmp_path / "in", schema, [(1, 1, 3, "a"), (2, 2, 1, "b")], [(3, 3, 2, "c"), (1, 4, 3, "a2")], [(4, 5, 3, "d")], [(5, 6, 1, "e")])
+    run = stores.archiver({1: one, 2: two}, folder, max_attempts=3)
+    jobs.run_batches(stream, run, str(tmp_path / "progress"))
+    got = {r.id: (r.body, r.archived, r.attempts, r.state, r.reason) for r in stores.state(spark, folder, 3).collect()}
+    assert got == {1: ("a2", 3, 2, "archived", "no room"), 2: ("b", 1, 0, "archived", None), 3: ("c", 2, 1, "archived", "no room"), 4: ("d", 3, 0, "archived", None), 5: ("e", 1, 0, "archived", None)}
+    assert seen == [(1, 0, [1, 2]), (1, 1, []), (1, 2, [4]), (2, 2, [1, 3, 4]), (1, 3, [5]), (2, 3, [])]
+    run(spark.createDataFrame([(5, 6, 1, "e")], schema), 3)  # a batch that comes again changes nothing
+    assert {r.id: r.state for r in stores.state(spark, folder, 3).collect()} == dict.fromkeys(range(1, 6), "archived")
+    early = {r.state: (r.rows, r.attempts) for r in stores.counters(stores.state(spark, folder, 1)).collect()}
+    assert early == {"archived": (1, 0), "queued": (2, 3)}
+    never = stores.archiver({2: two}, str(tmp_path / "n"), max_attempts=1)
+    never(spark.createDataFrame([(9, 1, 2, "x")], schema), 0)
+    assert [(r.id, r.state, r.reason) for r in stores.state(spark, str(tmp_path / "n"), 0).collect()] == [(9, "given up", "no room")]

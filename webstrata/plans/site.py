@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from webstrata.operators import capture, index, links, mirror, patterns, versions
 from webstrata.plans.catalog import query, table
 from webstrata.plans.runtime import cut, shared_dir
-from webstrata.streaming import flight, jobs
+from webstrata.streaming import flight, jobs, stores
 
 IDEAL = datetime(2024, 1, 15)
 ORIGIN = "https://events.example/u"
@@ -221,3 +221,26 @@ def stream_contest(spark, sf_dir):
     path = f"{shared_dir(spark)}/webstrata/contest-{uuid.uuid4().hex}"
     flight.run_stateful(out, path)
     return spark.read.schema(out.schema).parquet(path).where(F.coalesce("our_id", F.lit(0)) >= 0)
+
+
+@query("""
+WITH e AS (SELECT event_id, least((dayofmonth(ts) - 1) // 8, 3) AS b, CASE WHEN event_id % 2 = 0 THEN 5 ELSE 1 END AS want FROM events)
+SELECT event_id, CAST(CASE WHEN want = 5 AND b = 0 THEN 1 ELSE want END AS INTEGER) AS archived, CAST(CASE WHEN want = 5 AND b < 2 THEN 2 - b ELSE 0 END AS INTEGER) AS attempts,
+       CASE WHEN want = 5 AND b = 0 THEN 'given up' ELSE 'archived' END AS state, CASE WHEN want = 5 AND b < 2 THEN 'no room' END AS reason FROM e
+""")
+def archive_retries(spark, sf_dir):
+    """Two stores, of which one takes nothing in the first two of four batches; rows are given up after two attempts."""
+    folder = f"{shared_dir(spark)}/webstrata/stores-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("event_id") % 2 == 0, 5).otherwise(1).alias("want"))
+    stream = _in_batches(rows, F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)), 4, "archived")
+
+    def first(some: DataFrame, batch_id: int) -> None:
+        some.write.mode("overwrite").parquet(f"{folder}/first/{batch_id}")
+
+    def second(some: DataFrame, batch_id: int) -> None:
+        if batch_id < 2:
+            raise OSError("no room")
+        some.write.mode("overwrite").parquet(f"{folder}/second/{batch_id}")
+
+    jobs.run_batches(stream, stores.archiver({1: first, 4: second}, folder, "event_id", "ts", max_attempts=2), f"{folder}/progress")
+    return stores.state(spark, folder, 3).select("event_id", "archived", "attempts", "state", "reason")
