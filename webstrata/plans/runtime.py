@@ -3,6 +3,8 @@ have too many rows for one task."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/webstrata/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hot_keys(rows: DataFrame, on: list[str], *more) -> DataFrame | None:
     """Keys with more rows than a third of a task's share (``HOT_ROWS`` at least), with ``n`` and the
     aggregates ``more``; None if there are none.
