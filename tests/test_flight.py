@@ -106,3 +106,49 @@ def test_a_store_that_fails_twice(spark, tmp_path):
     never = stores.archiver({2: two}, str(tmp_path / "n"), max_attempts=1)
     never(spark.createDataFrame([(9, 1, 2, "x")], schema), 0)
     assert [(r.id, r.state, r.reason) for r in stores.state(spark, str(tmp_path / "n"), 0).collect()] == [(9, "given up", "no room")]
+
+
+def test_a_busy_key_is_settled_without_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(flight, "CHUNK", 1000)
+    rows = [("a", k % 2, k, 1000 + k % 50, {"X": str(k % 3)}) for k in range(9000)]
+    end = [("a", 0, 9001, 10_000, {}), ("a", 0, 9002, 20_000, {})]
+    stream = _batches(spark, tmp_path / "in", RECORDS, rows, end[:1], end[1:]).withColumn("at", F.timestamp_seconds("t"))
+    out = flight.matched(stream, ["k"], within_ms=100_000)
+    flight.run_stateful(out, str(tmp_path / "out"))
+    got = [tuple(r) for r in spark.read.schema(out.schema).parquet(str(tmp_path / "out")).collect() if r.their_id is not None]
+    assert len({o for _, o, _ in got}) == len({t for t, _, _ in got}) == len(got) == 4500 and all(s == 1 for _, _, s in got)
+    processor = flight._Matched(1000)
+    assert processor._score('{"X":"1","Y":null}', '{"X":"1","Z":"2"}') == 1 and processor._score(None, '{"X":"1"}') == 0
+
+    class Counted(list):
+        """Chunks of state: calls to the store do not grow with the records."""
+
+        calls = 0
+
+        def get(self):
+            return iter(self)
+
+        def put(self, rows):
+            Counted.calls += len(rows)
+            self[:] = rows
+
+        appendList = put
+
+        def clear(self):
+            self[:] = []
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Counted()
+
+        def listTimers(self):
+            return iter([])
+
+        def registerTimer(self, at):
+            pass
+
+    import pandas as pd
+
+    processor.init(Handle())
+    list(processor.handleInputRows(("a",), iter([pd.DataFrame([(s, i, t, "{}") for _, s, i, t, _ in rows], columns=flight._RECORDS.names)]), None))
+    assert Counted.calls == 9

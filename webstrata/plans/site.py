@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webstrata.operators import capture, index, links, mirror, patterns, versions
 from webstrata.plans.catalog import query, table
-from webstrata.plans.runtime import cut, shared_dir
+from webstrata.plans.runtime import shared_dir, stored
 from webstrata.streaming import flight, jobs, stores
 
 IDEAL = datetime(2024, 1, 15)
@@ -158,13 +158,22 @@ def url_index_lookup(spark, sf_dir):
     return index.lookup(asked, name).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("visits"), F.min("seq").alias("first_event"))
 
 
+#: Files of a batch of a stream.
+FILES = 8
+
+
 def _in_batches(rows: DataFrame, batch: Column, n: int, name: str) -> DataFrame:
-    """A stream of ``rows`` in ``n`` batches, in order."""
+    """A stream of ``rows`` in ``n`` batches, in order, each of as many files, so that no task writes a whole batch."""
     spark, path = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/webstrata/{name}-{uuid.uuid4().hex}"
-    kept = cut(rows.withColumn("_batch", batch))
+    kept = stored(rows.withColumn("_batch", batch), name)
+    sizes = {r["_batch"]: r["count"] for r in kept.where(F.col("_batch").between(0, n - 1)).groupBy("_batch").count().collect()}  # n rows at most
+    files = max(1, min(FILES, *sizes.values(), FILES)) if len(sizes) == n else 1
     for k in range(n):
-        kept.where(F.col("_batch") == k).drop("_batch").coalesce(1).write.parquet(f"{path}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+        some = kept.where(F.col("_batch") == k).drop("_batch")
+        # dealt in turn from one task while there are few, so that no file is without rows
+        dealt = some.coalesce(1) if files == 1 or sizes[k] < 10_000 * files else some
+        (dealt.repartition(files) if files > 1 else dealt).write.parquet(f"{path}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
 
 
 @query("""

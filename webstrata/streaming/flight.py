@@ -7,14 +7,19 @@ their id, so that one command can reach all that are open and no lane grows with
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from webstrata.operators.settle import settle
+
 #: The state store that keeps maps, lists and timers.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LANES = 64
@@ -162,54 +167,69 @@ def in_flight(events: DataFrame, wait_ms: int = 60_000, delay: str = "0 seconds"
     return rows.groupBy("lane").transformWithStateInPandas(_InFlight(wait_ms), PARTS, "Append", "EventTime")
 
 
-_RECORD = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("at_ms", T.LongType()), T.StructField("headers", T.MapType(T.StringType(), T.StringType()))])
+_CHUNK = T.StructType([T.StructField("rows", T.BinaryType())])
+_RECORDS = pa.schema([("side", pa.int32()), ("id", pa.int64()), ("at_ms", pa.int64()), ("headers", pa.string())])
 PAIRS = T.StructType([T.StructField("their_id", T.LongType()), T.StructField("our_id", T.LongType()), T.StructField("score", T.IntegerType())])
+#: Records in a chunk of state.
+CHUNK = 1 << 16
+
+
+def _packed(rows: pa.Table) -> list[tuple[bytes]]:
+    """Records as chunks of state: one call to the store then carries many."""
+    out = []
+    for at in range(0, rows.num_rows, CHUNK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows.slice(at, CHUNK))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
 
 
 class _Matched(StatefulProcessor):
-    """One key: a list of the records of both sides that have not been settled."""
+    """One key: the records of both sides that have not been settled, in chunks."""
 
     def __init__(self, within_ms: int):
         self.within_ms = within_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _RECORD)
+        self.waiting = handle.getListState("waiting", _CHUNK)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(r.side), int(r.id), int(r.at_ms), dict(r.headers) if r.headers is not None else {}) for frame in rows for r in frame.itertuples(index=False)]
-        self.waiting.appendList(new)
-        _wake(self.handle, min(at for _, _, at, _ in new) + 2 * self.within_ms + 1)
+        new = pa.concat_tables([pa.Table.from_pandas(frame[_RECORDS.names], _RECORDS, preserve_index=False) for frame in rows])
+        self.waiting.appendList(_packed(new))
+        _wake(self.handle, pc.min(new["at_ms"]).as_py() + 2 * self.within_ms + 1)
         yield pd.DataFrame(columns=PAIRS.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Settle theirs in order of arrival: by now all records that can take part are there."""
         until = timerValues.getCurrentWatermarkInMs() - 2 * self.within_ms - 1
-        held = [tuple(x) for x in self.waiting.get()]
-        ours = {r[1]: r for r in held if r[0] == 0}
-        theirs = sorted((r for r in held if r[0] == 1), key=lambda r: (r[2], r[1]))
-        out = []
-        for record in [r for r in theirs if r[2] <= until]:
-            near = [(-self._score(o[3], record[3]), abs(o[2] - record[2]), o[1]) for o in ours.values() if abs(o[2] - record[2]) <= self.within_ms]
-            best = min(near, default=None)
-            out.append((record[1], best[2], -best[0]) if best else (record[1], None, None))
-            if best:
-                del ours[best[2]]
+        held = pa.concat_tables([pa.ipc.open_stream(x[0]).read_all() for x in self.waiting.get()])
+        due = pc.less_equal(held["at_ms"], until)
+        is_ours = pc.equal(held["side"], 0)
+        ours = held.filter(is_ours)
+        theirs = held.filter(pc.and_(pc.equal(held["side"], 1), due)).sort_by([("at_ms", "ascending"), ("id", "ascending")])
+        walk = lambda t: zip(t["at_ms"].to_pylist(), t["id"].to_pylist(), t["headers"].to_pylist())
+        out = [(their, our, score) for their, our, score, _ in settle(walk(theirs), walk(ours), self._score, self.within_ms)]
+        taken = pa.array([our for _, our, _ in out if our is not None], pa.int64())
+        ours = ours.filter(pc.invert(pc.is_in(ours["id"], value_set=taken)))
         # ours that no later record of theirs can want any more
-        gone = [o for o in ours.values() if o[2] + self.within_ms < until]
-        out += [(None, o[1], None) for o in sorted(gone, key=lambda o: (o[2], o[1]))]
-        left = [o for o in ours.values() if o not in gone] + [r for r in theirs if r[2] > until]
-        if left:
-            self.waiting.put(left)
-            _wake(self.handle, min(r[2] for r in left) + 2 * self.within_ms + 1, expiredTimerInfo.getExpiryTimeInMs())
+        gone = pc.less(ours["at_ms"], until - self.within_ms)
+        out += [(None, one, None) for one in ours.filter(gone).sort_by([("at_ms", "ascending"), ("id", "ascending")])["id"].to_pylist()]
+        left = pa.concat_tables([ours.filter(pc.invert(gone)), held.filter(pc.and_(pc.equal(held["side"], 1), pc.invert(due)))])
+        if left.num_rows:
+            self.waiting.put(_packed(left))
+            _wake(self.handle, pc.min(left["at_ms"]).as_py() + 2 * self.within_ms + 1, expiredTimerInfo.getExpiryTimeInMs())
         else:
             self.waiting.clear()
-        frame = pd.DataFrame(out, columns=PAIRS.names)
-        yield frame.astype({"their_id": "Int64", "our_id": "Int64", "score": "Int32"})
+        for at in range(0, max(1, len(out)), CHUNK):
+            frame = pd.DataFrame(out[at : at + CHUNK], columns=PAIRS.names)
+            yield frame.astype({"their_id": "Int64", "our_id": "Int64", "score": "Int32"})
 
     @staticmethod
-    def _score(ours: dict, theirs: dict) -> int:
-        return sum(1 if ours[n] == v else -1000 for n, v in theirs.items() if n in ours)
+    def _score(ours: str | None, theirs: str | None) -> int:
+        held = json.loads(ours or "{}")
+        return sum(1 if held[n] == v else -1000 for n, v in json.loads(theirs or "{}").items() if n in held)
 
     def close(self) -> None:
         pass
@@ -222,6 +242,6 @@ def matched(records: DataFrame, on: list[str], within_ms: int = 60_000, delay: s
     record is settled once the watermark is twice ``within_ms`` past it, so all that may compete for its
     partners have come; rows later than the watermark are dropped. Records without a partner go out alone.
     """
-    rows = records.withWatermark("at", delay).select(*on, F.col("side").cast("int").alias("side"), F.col("id").cast("long").alias("id"), F.unix_millis("at").alias("at_ms"), "headers", "at")
+    rows = records.withWatermark("at", delay).select(*on, F.col("side").cast("int").alias("side"), F.col("id").cast("long").alias("id"), F.unix_millis("at").alias("at_ms"), F.to_json("headers").alias("headers"), "at")
     rows = rows.where(F.col("at_ms").isNotNull())
     return rows.groupBy(*on).transformWithStateInPandas(_Matched(within_ms), PAIRS, "Append", "EventTime")
