@@ -152,3 +152,58 @@ def test_a_busy_key_is_settled_without_pairs(spark, tmp_path, monkeypatch):
     processor.init(Handle())
     list(processor.handleInputRows(("a",), iter([pd.DataFrame([(s, i, t, "{}") for _, s, i, t, _ in rows], columns=flight._RECORDS.names)]), None))
     assert Counted.calls == 9
+
+
+def test_calls_to_the_store_do_not_grow_with_the_exchanges(monkeypatch):
+    import pandas as pd
+
+    class Counted(dict):
+        calls = 0
+
+        def containsKey(self, key):
+            Counted.calls += 1
+            return key in self
+
+        def getValue(self, key):
+            Counted.calls += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            Counted.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            Counted.calls += 1
+            del self[key]
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+        keys = None
+
+    class Handle:
+        def getMapState(self, name, key, value):
+            return Counted()
+
+        def getListState(self, name, schema):
+            class Empty:
+                get = staticmethod(lambda: iter([]))
+                clear = staticmethod(lambda: None)
+
+            return Empty()
+
+        def listTimers(self):
+            return iter([])
+
+        def registerTimer(self, at):
+            pass
+
+    lane = flight._InFlight(1000)
+    lane.init(Handle())
+    columns = ["request_id", "seq", "kind", "value", "at_ms"]
+    first = pd.DataFrame([(f"r{k}", k, "request", "GET /", 5) for k in range(5000)], columns=columns)
+    second = pd.DataFrame([(f"r{k}", 5000 + k, "complete", None, 6) for k in range(4000)] + [(None, 9999, "flush", None, 7)], columns=columns)
+    assert sum(map(len, lane.handleInputRows((0,), iter([first]), None))) == 0
+    out = pd.concat(list(lane.handleInputRows((0,), iter([second]), None)))
+    assert out["ended"].value_counts().to_dict() == {"complete": 4000, "flush": 1000} and not lane.open
+    assert Counted.calls <= 6 * flight.BUCKETS

@@ -8,6 +8,7 @@ their id, so that one command can reach all that are open and no lane grows with
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,7 +39,9 @@ def run_stateful(stream: DataFrame, path: str) -> StreamingQuery:
     return query
 
 
-_OPEN = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("request", T.StringType()), T.StructField("status", T.StringType()), T.StructField("last", T.LongType())])
+#: Parts of a lane's open exchanges: a batch reads and writes a part at once, and only those that it touches.
+BUCKETS = 256
+_OPEN = T.StructType([T.StructField("rows", T.StringType())])
 _EARLY = T.StructType([T.StructField("id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType()), T.StructField("last", T.LongType())])
 PARTS = T.StructType([T.StructField("request_id", T.StringType()), T.StructField("part", T.IntegerType()), T.StructField("request", T.StringType()), T.StructField("status", T.StringType()), T.StructField("ended", T.StringType())])
 
@@ -53,17 +56,21 @@ def _wake(handle: StatefulProcessorHandle, at: int, after: int = -1) -> None:
 
 
 class _InFlight(StatefulProcessor):
-    """One lane: a map of the exchanges that are open, and a list of events that came before their request."""
+    """One lane: the exchanges that are open, in ``BUCKETS`` parts by their id, and a list of events that came before their request.
+
+    A call to the store takes far longer than an event, so there are two calls for each part and not for each exchange.
+    """
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", T.StructType([T.StructField("id", T.StringType())]), _OPEN)
+        self.open = handle.getMapState("open", T.StructType([T.StructField("bucket", T.IntegerType())]), _OPEN)
         self.early = handle.getListState("early", _EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self.parts: dict[int, dict[str, list]] = {}
         early = {}
         for x in self.early.get():
             early.setdefault(x[0], []).append(tuple(x))
@@ -84,18 +91,42 @@ class _InFlight(StatefulProcessor):
             if kind == "request":
                 for _, _, later, what, then in sorted(early.pop(one, []), key=lambda e: e[1]):
                     self._event(one, later, what, max(at, then), now, out)
+        changed = set()
         for one, state in now.items():
-            if state is not None:
-                self.open.updateValue((one,), tuple(state))
-            elif self.open.containsKey((one,)):
-                self.open.removeKey((one,))
+            bucket = self._bucket(one)
+            if self.parts[bucket].get(one) != state:
+                changed.add(bucket)
+                if state is None:
+                    del self.parts[bucket][one]
+                else:
+                    self.parts[bucket][one] = state
+        for bucket in sorted(changed):
+            self._put(bucket, self.parts[bucket])
+        self.parts = {}
         if early != before:
             self._keep(early)
         _wake(self.handle, min(due))
         yield pd.DataFrame(out, columns=PARTS.names)
 
+    @staticmethod
+    def _bucket(one: str | None) -> int:
+        return zlib.crc32((one or "").encode()) % BUCKETS
+
     def _known(self, one: str) -> list | None:
-        return list(self.open.getValue((one,))) if self.open.containsKey((one,)) else None
+        bucket = self._bucket(one)
+        if bucket not in self.parts:
+            self.parts[bucket] = self._read(self.open.getValue((bucket,))[0]) if self.open.containsKey((bucket,)) else {}
+        return self.parts[bucket].get(one)
+
+    @staticmethod
+    def _read(rows: str) -> dict[str, list]:
+        return {one: state for one, *state in json.loads(rows)}
+
+    def _put(self, bucket: int, rows: dict[str, list]) -> None:
+        if rows:
+            self.open.updateValue((bucket,), (json.dumps([[one, *state] for one, state in rows.items()]),))
+        elif self.open.containsKey((bucket,)):
+            self.open.removeKey((bucket,))
 
     def _keep(self, early: dict) -> None:
         left = [e for events in early.values() for e in events]
@@ -117,7 +148,10 @@ class _InFlight(StatefulProcessor):
 
     def _flush(self, one: str | None, now: dict, out: list) -> None:
         """Send out one exchange or all that are open, as they are."""
-        names = [one] if one is not None else list(dict.fromkeys([*now, *(k[0] for k in self.open.keys())]))
+        if one is None:
+            for (bucket,), (rows,) in [(tuple(k), tuple(v)) for k, v in self.open.iterator()]:
+                self.parts.setdefault(bucket, self._read(rows))
+        names = [one] if one is not None else list(dict.fromkeys([*now, *(name for rows in self.parts.values() for name in rows)]))
         for name in sorted(names):
             state = now[name] if name in now else self._known(name)
             if state is not None:
@@ -126,12 +160,13 @@ class _InFlight(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until, out, left = timerValues.getCurrentWatermarkInMs() - self.wait_ms, [], []
-        for one, state in [(k[0], tuple(v)) for k, v in self.open.iterator()]:
-            if state[3] <= until:
-                out.append((one, *state[:3], "timeout"))
-                self.open.removeKey((one,))
-            else:
-                left.append(state[3])
+        for (bucket,), (rows,) in [(tuple(k), tuple(v)) for k, v in self.open.iterator()]:
+            rows = self._read(rows)
+            stay = {one: state for one, state in rows.items() if state[3] > until}
+            out += [(one, *state[:3], "timeout") for one, state in rows.items() if state[3] <= until]
+            left += [state[3] for state in stay.values()]
+            if len(stay) < len(rows):
+                self._put(bucket, stay)
         early: dict[str, list] = {}
         for x in self.early.get():
             early.setdefault(x[0], []).append(tuple(x))
