@@ -165,7 +165,7 @@ def chase(links: DataFrame, visits: DataFrame, max_hops: int = 8, nodes: DataFra
         waiting = cut(walked.where(more).select("target", "page_time", "seen", F.element_at("seen", -1).alias("net_url")))
         if waiting.isEmpty():
             break
-        differing = visits.join(mixed, "net_url", "left_semi")
+        differing = visits.join(waiting.select("net_url").distinct(), "net_url", "left_semi")  # all of them are mixed
         targeted = ~F.coalesce(F.col("code").isin(*http.REDIRECT_CODES), F.lit(False)) | F.col("location").isNotNull()
         near = cut(nearest_join(waiting, differing, ["net_url"], "page_time", "stime", "seq", "target", targeted))
         to = F.when(F.col("match.code").isin(*http.REDIRECT_CODES), F.col("match.location"))

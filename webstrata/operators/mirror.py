@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from webstrata.functions import http, mime, urls
 from webstrata.operators import layout, links
 from webstrata.operators.versions import nearest_join
-from webstrata.plans.runtime import cut
+from webstrata.plans.runtime import stored
 
 
 @dataclass
@@ -48,28 +48,30 @@ def _index(visits: DataFrame) -> DataFrame:
 
 def plan(visits: DataFrame, pages: DataFrame, roots: DataFrame, depth: int = 0, ideal: datetime | None = None, max_hops: int = 8) -> Plan:
     """All that a mirror of ``roots`` (visit) saves, at most ``depth`` jumps away, and every link of it."""
-    index = cut(_index(visits))
+    index = stored(_index(visits), "mirror_index")
     nodes = links.redirect_nodes(index, max_hops)
     times = visits.select("visit", F.col("stime").alias("page_time"))
 
     def linked(new: DataFrame) -> DataFrame:
         """The links of new visits with the visits that they lead to."""
-        found = links.extract(pages.select("visit", "url", "html").join(new.select("visit"), "visit", "left_semi")).join(times, "visit")
+        found = links.extract(pages.select("visit", "url", "html").join(new.select("visit"), "visit", "left_semi")).join(times.join(new.select("visit"), "visit", "left_semi"), "visit")
         free = F.col("kind") == "requisite"
         want = F.col("page_time") if ideal is None else F.when(free, F.col("page_time")).otherwise(F.lit(ideal).cast(index.schema["stime"].dataType))
         net = F.when(F.col("target").isNotNull(), urls.net_url(urls.parts(F.col("target"))))
-        found = cut(found.withColumn("want", want).withColumn("asked", _asked(net, F.col("kind") == "action")).drop("page_time"))
+        found = stored(found.withColumn("want", want).withColumn("asked", _asked(net, F.col("kind") == "action")).drop("page_time"), "mirror_found")
         asks = found.where("asked is not null").select("asked", "want").distinct().select(F.struct("asked", "want").alias("link_id"), F.col("asked").alias("target"), F.col("want").alias("page_time"))
-        ends = links.chase(asks, index, max_hops, nodes).where("final is not null").select("link_id.asked", "link_id.want", F.col("final").alias("net_url"))
-        met = nearest_join(ends, index.where(~F.col("moved")), ["net_url"], "want", "stime", "seq", "asked").select("asked", "want", F.col("match.visit").alias("to"))
-        return cut(found.join(met, ["asked", "want"], "left").drop("asked", "want"))
+        ends = stored(links.chase(asks, index, max_hops, nodes).where("final is not null").select("link_id.asked", "link_id.want", F.col("final").alias("net_url")), "mirror_ends")
+        # only the visits of what is asked for are sorted by time
+        usable = index.where(~F.col("moved")).join(ends.select("net_url").distinct(), "net_url", "left_semi")
+        met = nearest_join(ends, usable, ["net_url"], "want", "stime", "seq", "asked").select("asked", "want", F.col("match.visit").alias("to"))
+        return stored(found.join(met, ["asked", "want"], "left").drop("asked", "want"), "mirror_links")
 
     def further(found: DataFrame, kinds: Column, saved: DataFrame, level: int, role: str) -> DataFrame | None:
         new = found.where(kinds & F.col("to").isNotNull()).select(F.col("to").alias("visit")).distinct().join(saved.select("visit"), "visit", "left_anti")
-        new = cut(new.select("visit", F.lit(level).alias("depth"), F.lit(role).alias("role")))
+        new = stored(new.select("visit", F.lit(level).alias("depth"), F.lit(role).alias("role")), "mirror_new")
         return None if new.isEmpty() else new
 
-    saved = cut(roots.select("visit").distinct().select("visit", F.lit(0).alias("depth"), F.lit("page").alias("role")))
+    saved = stored(roots.select("visit").distinct().select("visit", F.lit(0).alias("depth"), F.lit("page").alias("role")), "mirror_new")
     every, new, level = None, saved, 0
     while True:
         here = None
