@@ -231,3 +231,39 @@ def test_quality_of_odd_rows(odd):
     assert next(r for r in rows if r.id == 6).n_repeat_words == 14 * 40_000
     assert quality.accepted(odd).columns == odd.columns and quality.accepted(odd).count() == 0
     assert quality.judged(odd.limit(0)).count() == 0
+
+
+def test_texts_without_words_beside_a_band(spark, documents, monkeypatch):
+    monkeypatch.setattr(quality, "LEAST_DOCS", 5)
+    blank = spark.createDataFrame([(-1, "", "en"), (-2, None, "en"), (-3, " \n\t", "en")], "doc_id long, text string, lang string")
+    rows = {r.id: r for r in quality.judged(documents.select(*blank.columns).union(blank)).collect()}
+    assert len(rows) == documents.count() + 3 and any(r.lower is not None for r in rows.values())
+    assert all(tuple(rows[k])[1:] == (0, 0, 0, 0, 0, True, False, None, None, None, "en") for k in (-1, -2, -3))
+
+
+def test_only_rare_ngrams_leave_the_tasks(spark, documents, monkeypatch):
+    docs = documents.unionByName(documents.where("doc_id < 20"))
+    want = sorted(tuple(r) for r in quality.judged(docs).collect())
+    written = []
+
+    def noting(df, name, keep=quality.stored):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(quality, "stored", noting)
+    monkeypatch.setattr(quality, "MODEL_BYTES", quality.ENTRY * 20_000)
+    got = sorted(tuple(r) for r in quality.judged(docs).collect())
+    model = max(n for name, n in written if name == "probabilities")
+    assert model > 40_000 and max(n for name, n in written if name not in ("ngrams", "probabilities")) < 2 * model
+    for a, b in zip(got, want, strict=True):
+        assert a[:8] == b[:8] and a[8] == pytest.approx(b[8], rel=1e-6)
+
+
+def test_lookup_tells_what_the_model_lacks():
+    keys = np.arange(0, 3000, 3)
+    model = quality.Model.of(keys, np.stack([-keys - 1.0, keys + 1.0]).astype(np.float32))
+    at = model.find(np.arange(3000))
+    assert (at == model.last).tolist() == [k % 3 > 0 for k in range(3000)]
+    assert model.logs[1, at].tolist() == [0 if k % 3 else k + 1 for k in range(3000)]
+    assert quality.Model.of(keys[:0], np.zeros((2, 0), np.float32)).find(keys).max() == 0

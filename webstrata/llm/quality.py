@@ -11,13 +11,14 @@ fold, so neither it nor its exact copies vouch for it.
    the discounts of counts 1, 2 and more that the counts of counts give (``probabilities``). A context has
    256 followers at most, so its sums are windows of a bounded size. Contexts that a fold lacks back off.
 3. Storage: every n-gram of the corpus has its two log probabilities in arrays sorted by hash (``packed``).
-4. Scores: tasks look every byte's n-gram up and add by document. The arrays are broadcast while they
-   are under ``MODEL_BYTES``; beyond that, documents' n-grams are joined with the stored table (``_by_join``).
+4. Scores: tasks look every byte's n-gram up and add by document. The arrays of the n-grams that occur most are
+   broadcast, ``MODEL_BYTES`` of them at most; only the n-grams that these lack, of which each occurs seldom, leave
+   the task and are joined with the stored table (``_rest``).
 5. Bands: median and median deviation of the log perplexity a word, by language, over different texts that pass the
    plain rules. A text is rejected outside ``WIDTH`` deviations; under ``SURE_WORDS`` words the band
    widens as the square root of what is missing.
 
-Defined cases: an empty table gives no rows; null and empty texts have no words and fail; languages (null
+Defined cases: an empty table gives no rows; null and empty texts have no words and fail, without perplexity and bounds; languages (null
 counts as one) of fewer than ``LEAST_DOCS`` rows share a model and a band; where fewer different texts make a
 band, none is rejected by it; repeated rows get equal results; a very long text is counted whole;
 ``accepted`` keeps all columns.
@@ -30,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F, types as T
 
@@ -40,8 +42,8 @@ ORDER, BYTES = 5, 256
 WIDTH, SURE_WORDS, LEAST_DOCS = 6.0, 100, 50
 #: Plain rules: fewest words, and most per cent of words in repeated windows of ``WINDOW`` words.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
-#: The model is broadcast up to this size.
-MODEL_BYTES = 64 << 20
+#: Up to this size, the model's most frequent n-grams are broadcast, at ``ENTRY`` bytes each.
+MODEL_BYTES, ENTRY = 64 << 20, 16
 #: Different n-grams that a task holds before it passes them on, and n-grams that are looked at together.
 HELD, STEP = 1 << 21, 1 << 18
 SYMBOLS = b"#*$%&|<>"
@@ -184,7 +186,7 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def probabilities(counts: list[DataFrame]) -> DataFrame:
-    """lang, key and the probabilities p0 and p1 that the folds give the last byte of each n-gram of the highest order."""
+    """lang, key, number n and the probabilities p0 and p1 that the folds give the last byte of each n-gram of the highest order."""
     lower = None
     for n, table in enumerate(counts, 1):
         rows = join_sized(table.withColumn("context", F.shiftright("key", 8)), _discounts(table), ["lang"], "inner", row_bytes=128)
@@ -198,7 +200,7 @@ def probabilities(counts: list[DataFrame]) -> DataFrame:
         else:
             rows = rows.withColumn("shorter", F.col("key").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
             rows = rows.join(lower.select("lang", F.col("key").alias("shorter"), F.col("p0").alias("q0"), F.col("p1").alias("q1")), ["lang", "shorter"])
-        found = [F.col("lang"), F.col("key")]
+        found = [F.col("lang"), F.col("key"), (F.col("c0") + F.col("c1")).alias("n")]
         for f in (0, 1):
             c = F.col(f"c{f}")
             d = F.when(c >= 3, F.col(f"d3{f}")).when(c == 2, F.col(f"d2{f}")).when(c == 1, F.col(f"d1{f}")).otherwise(0.0)
@@ -209,7 +211,10 @@ def probabilities(counts: list[DataFrame]) -> DataFrame:
 
 @dataclass
 class Model:
-    """Hashes of n-grams in order, where those of each leading part begin, and log probabilities for both folds."""
+    """Hashes of n-grams in order, where those of each leading part begin, and log probabilities for both folds.
+
+    A last place, of log probability 0, stands for the n-grams that the model lacks.
+    """
 
     hashes: np.ndarray
     begins: np.ndarray
@@ -221,17 +226,22 @@ class Model:
         order = np.argsort(hashes)
         bits = max(1, int(len(keys)).bit_length())
         begins = np.searchsorted(hashes[order], np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-        return Model(hashes[order], begins.astype(np.int32), logs[:, order])
+        return Model(np.append(hashes[order], np.uint64((1 << 64) - 1)), begins.astype(np.int32), np.append(logs[:, order], np.zeros((2, 1), logs.dtype), 1))
+
+    @property
+    def last(self) -> int:
+        return len(self.hashes) - 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of n-grams, all of which the model has."""
+        """Places of n-grams, ``last`` for those that the model lacks."""
         h = K.mix(keys.astype(np.uint64))
         bits = len(self.begins).bit_length() - 1
         at = self.begins[h >> np.uint64(64 - bits)]
-        todo = np.flatnonzero(self.hashes[at] != h)
+        todo = np.flatnonzero(self.hashes[at] < h)
         while len(todo):
             at[todo] += 1
-            todo = todo[self.hashes[at[todo]] != h[todo]]
+            todo = todo[self.hashes[at[todo]] < h[todo]]
+        at[self.hashes[at] != h] = self.last
         return at
 
 
@@ -258,43 +268,71 @@ def _loaded(model: DataFrame) -> dict[str, Model]:
     return {lang: Model.of(np.concatenate([k for k, _ in parts]), np.concatenate([x for _, x in parts], 1)) for lang, parts in found.items()}
 
 
-def _score_batches(batches: Iterator[pa.RecordBatch], models: dict[str, Model] | None) -> Iterator[pa.RecordBatch]:
-    """Counts of every document, and its log probability where a model is given."""
+def _held_from(table: DataFrame) -> tuple[int, bool]:
+    """From how many occurrences on n-grams are broadcast, and whether those are all."""
+    steps = table.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))  # of 512 rows at most
+    room, least = MODEL_BYTES // ENTRY, (1 << 63) - 1
+    for row in steps.orderBy(F.desc("least")).collect():
+        room -= row["size"]
+        if room < 0:
+            return least, False
+        least = row["least"]
+    return least, True
+
+
+def _rows(given: pa.Schema, rows: int, columns: dict[str, pa.Array | np.ndarray]) -> pa.RecordBatch:
+    """A batch of the columns that are stored with the scores, null where they are not in ``columns``."""
+    types = {f.name: f.type for f in list(given)[:4]} | dict.fromkeys([*COUNTS, "place", "key", "n"], pa.int64()) | {"logp": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kind) if c in columns else pa.nulls(rows, kind) for c, kind in types.items()], names=list(types))
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch], models: dict[str, Model]) -> Iterator[pa.RecordBatch]:
+    """Counts and log probability of every document, numbered by ``place``; rows with a key are n-grams that the models lack."""
+    place, none = TaskContext.get().partitionId() << 40, Model.of(np.zeros(0, np.int64), np.zeros((2, 0), np.float32))
+    held: list[tuple[str, np.ndarray]] = []
+
+    def lacking() -> pa.RecordBatch:
+        """Rows of the n-grams in ``held``, which have the document's number before the n-gram."""
+        found = [(name, *np.unique(codes, return_counts=True)) for name, codes in held]
+        codes, n = np.concatenate([x[1] for x in found]), np.concatenate([x[2] for x in found])
+        lang = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(found), dtype=np.int32), [len(x[1]) for x in found])), pa.array([x[0] for x in found], pa.string())).dictionary_decode()
+        of = codes >> 8 * ORDER
+        return _rows(batch.schema, len(codes), {"lang": lang, "fold": (1 - fold[of]).astype(np.int32), "place": place + of, "key": codes & ((1 << 8 * ORDER) - 1), "n": n})
+
     for batch in batches:
         langs, folds = batch.column(1).to_pylist(), 1 - batch.column(2).to_numpy()
         lines = K.words(batch.column(4), _LINE, fold=K.AS_IS)
         for (w, inner), by_line in zip(_texts(batch.column(4)), lines):
             counts = _plain_counts(w, by_line, inner)
             total = np.zeros(len(w.docs))
-            if models is not None:
-                own, fold = langs[w.docs.start : w.docs.stop], folds[w.docs.start : w.docs.stop]
-                names = list(dict.fromkeys(own))
-                group = np.array([names.index(x) for x in own])
-                for of, gram in _grams(*_sequence(w.buf, inner)):
-                    for k, name in enumerate(names):
-                        on = group[of] == k
-                        if on.any():
-                            at = models[name].find(gram[on])
-                            total += np.bincount(of[on], models[name].logs[fold[of[on]], at], len(w.docs))
-            same = [batch.column(k).slice(w.docs.start, len(w.docs)) for k in (0, 1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*same, *[pa.array(np.asarray(c, np.int64)) for c in counts], pa.array(total if models is not None else [None] * len(w.docs), pa.float64())], names=[*batch.schema.names[:4], *COUNTS, "logp"])
-
-
-def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-grams of each text with their number."""
-    for batch in batches:
-        for w, inner in _texts(batch.column(3)):
+            own, fold = langs[w.docs.start : w.docs.stop], folds[w.docs.start : w.docs.stop]
+            names = list(dict.fromkeys(own))
+            group = np.array([names.index(x) for x in own])
             for of, gram in _grams(*_sequence(w.buf, inner)):
-                rows, n = np.unique(np.stack([of + w.docs.start, gram], 1), axis=0, return_counts=True)
-                which = pa.array(rows[:, 0])
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(which) for k in (0, 1, 2)], pa.array(rows[:, 1]), pa.array(n)], names=["text_hash", "lang", "fold", "key", "n"])
-
-
-def _by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """text_hash, lang and logp of every different text, by a join of its n-grams with the table."""
-    grams = stored(texts.dropDuplicates(["text_hash", "lang"]).select("text_hash", "lang", "fold", "text").mapInArrow(_gram_batches, "text_hash bigint, lang string, fold int, key bigint, n bigint"), "grams")
-    both = join_salted(grams, table, ["lang", "key"], "inner")
-    return both.groupBy("text_hash", "lang").agg(F.sum(F.col("n") * F.log(F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")))).alias("logp"))
+                for k, name in enumerate(names):
+                    on = np.flatnonzero(group[of] == k)
+                    if len(on):
+                        model = models.get(name, none)
+                        at = model.find(gram[on])
+                        total += np.bincount(of[on], model.logs[fold[of[on]], at], len(w.docs))
+                        lacks = on[at == model.last]
+                        if len(lacks):
+                            held.append((name, of[lacks] << 8 * ORDER | gram[lacks]))
+                if sum(len(x) for _, x in held) > STEP:
+                    yield lacking()
+                    held = []
+            if held:
+                yield lacking()
+                held = []
+            same = {batch.schema.names[k]: batch.column(k).slice(w.docs.start, len(w.docs)) for k in (0, 1, 2, 3)}
+            yield _rows(batch.schema, len(w.docs), same | dict(zip(COUNTS, counts)) | {"place": place + np.arange(len(w.docs)), "logp": total})
+            place += len(w.docs)
+
+
+def _rest(grams: DataFrame, table: DataFrame) -> DataFrame:
+    """place and the log probability of its ``grams``, by a join with the table, whose n is at least the number of a key's rows."""
+    both = join_salted(grams.withColumnRenamed("n", "times"), table.drop("n"), ["lang", "key"], "inner", counts=table.select("lang", "key", "n"))
+    return both.groupBy("place").agg(F.sum(F.col("times") * F.log(F.when(F.col("fold") == 0, F.col("p1")).otherwise(F.col("p0")))).alias("more"))
 
 
 def _bands(rows: DataFrame) -> DataFrame:
@@ -321,17 +359,21 @@ def judged(docs: DataFrame, id_column: str = "doc_id", lang: str = "lang", width
     texts = rows.select("id", F.coalesce("known", F.lit("")).alias("lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     texts = texts.select("id", "lang", F.pmod("text_hash", F.lit(2)).cast("int").alias("fold"), "text_hash", "text")
     table = probabilities(orders(ngram_counts(texts)))
-    small = table.count() * 16 <= MODEL_BYTES
-    held = docs.sparkSession.sparkContext.broadcast(_loaded(packed(table))) if small else None
-    schema = T.StructType([*texts.schema.fields[:4], *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("logp", T.DoubleType())])
+    least, whole = _held_from(table)
+    held = docs.sparkSession.sparkContext.broadcast(_loaded(packed(table.where(F.col("n") >= least))))
+    longs = [T.StructField(c, T.LongType()) for c in (*COUNTS, "place", "key", "n")]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in texts.schema.fields[:4]], *longs, T.StructField("logp", T.DoubleType())])
     with small_batches(docs.sparkSession):
-        scored = stored(texts.mapInArrow(lambda b: _score_batches(b, held.value if held else None), schema), "scored")
-        if not small:
-            scored = stored(join_salted(scored.drop("logp"), stored(_by_join(texts, table), "sums"), ["text_hash", "lang"], "left"), "scored")
+        both = stored(texts.mapInArrow(lambda b: _score_batches(b, held.value), schema), "scored")
+    scored = both.where("key is null").drop("key", "n")
+    if not whole:
+        more = _rest(both.where("key is not null").select("place", "lang", "fold", "key", "n"), table.where(F.col("n") < least))
+        scored = stored(scored.join(more, "place", "left").withColumn("logp", F.col("logp") + F.coalesce("more", F.lit(0.0))).drop("more"), "scored")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("nats", F.when(F.col("n_words") > 0, -F.col("logp") / F.col("n_words")))
     out = join_sized(scored, _bands(scored), ["lang"], "left", row_bytes=64)
-    wide = width * F.col("spread") / 1000 * F.sqrt(F.greatest(F.lit(1.0), F.lit(float(SURE_WORDS)) / F.col("n_words")))
+    less = F.when(F.col("n_words") > 0, F.lit(float(SURE_WORDS)) / F.col("n_words"))
+    wide = F.when(F.col("n_words") > 0, width * F.col("spread") / 1000 * F.sqrt(F.greatest(F.lit(1.0), less)))
     low, high = F.col("middle") / 1000 - wide, F.col("middle") / 1000 + wide
     kept = ~F.col("base_failed") & F.coalesce(F.col("nats").between(low, high), F.lit(True))
     return out.select("id", *COUNTS, "base_failed", kept.alias("kept"), F.exp("nats").alias("perplexity"), F.exp(low).alias("lower"), F.exp(high).alias("upper"), F.col("lang").alias("model"))
