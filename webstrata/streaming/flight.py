@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -245,7 +245,7 @@ class _Matched(StatefulProcessor):
         ours = held.filter(is_ours)
         theirs = held.filter(pc.and_(pc.equal(held["side"], 1), due)).sort_by([("at_ms", "ascending"), ("id", "ascending")])
         walk = lambda t: zip(t["at_ms"].to_pylist(), t["id"].to_pylist(), t["headers"].to_pylist())
-        out = [(their, our, score) for their, our, score, _ in settle(walk(theirs), walk(ours), self._score, self.within_ms)]
+        out = [(their, our, score) for their, our, score, _ in settle(walk(theirs), walk(ours), self._score, self.within_ms, self._headers)]
         taken = pa.array([our for _, our, _ in out if our is not None], pa.int64())
         ours = ours.filter(pc.invert(pc.is_in(ours["id"], value_set=taken)))
         # ours that no later record of theirs can want any more
@@ -261,6 +261,10 @@ class _Matched(StatefulProcessor):
             frame = pd.DataFrame(out[at : at + CHUNK], columns=PAIRS.names)
             yield frame.astype({"their_id": "Int64", "our_id": "Int64", "score": "Int32"})
 
+    @staticmethod
+    def _headers(kind: str | None) -> list[tuple[str, Hashable]]:
+        return [(n, v if isinstance(v, Hashable) else json.dumps(v)) for n, v in json.loads(kind or "{}").items()]
+
     @staticmethod
     def _score(ours: str | None, theirs: str | None) -> int:
         held = json.loads(ours or "{}")
